@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
             )
         before = tuple(state)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: like `cut`, but compressed and prunable."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` as a table bucketed by `key`, so that joins on the key leave these rows where they are."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)

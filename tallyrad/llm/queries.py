@@ -5,8 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, simhash
-from .common import documents
+from . import bpe, langid, quality, repeats, secrets, simhash, toxicity
+from .common import documents, fold, table
+
+#: Folds that models don't learn from.
+LABEL_FOLDS, LANGUAGE_FOLDS, LANGUAGE_HELD = 5, 3, 1
+
+
+def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """doc_id, text and a label of the documents that models may learn it from."""
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold("doc_id", LABEL_FOLDS) != 0))
+    labels = labels.groupBy("doc_id").agg(F.max(label).alias(label))
+    return documents(spark, sf_dir, "doc_id", "text").join(labels, "doc_id")
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id", LABEL_FOLDS) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.learn(learnable(spark, sf_dir, "toxic"))
+    return _judged(toxicity.score(documents(spark, sf_dir, "doc_id", "text"), model), 0.5)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality.learn(learnable(spark, sf_dir, "quality"))
+    return _judged(quality.classify(documents(spark, sf_dir, "doc_id", "text"), model), 0.3)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +64,34 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD
+    model = langid.learn(documents(spark, sf_dir, "doc_id", "text", "lang").where(~held))
+    return langid.identify(documents(spark, sf_dir, "doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op8_langid": op8_langid,
+    "op9_repeats": op9_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
