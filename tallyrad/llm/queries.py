@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, repeats, secrets, simhash, toxicity
+from . import bpe, decontamination, langid, licences, quality, repeats, secrets, simhash, topk, toxicity
 from .common import documents, fold, table
 
 #: Folds that models don't learn from.
 LABEL_FOLDS, LANGUAGE_FOLDS, LANGUAGE_HELD = 5, 3, 1
+TOXICITY_THRESHOLD, QUALITY_THRESHOLD = 0.5, 0.3
 
 
 def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -28,14 +29,19 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "licence", "unit", F.round("dice", 9).alias("dice"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(learnable(spark, sf_dir, "toxic"))
-    return _judged(toxicity.score(documents(spark, sf_dir, "doc_id", "text"), model), 0.5)
+    return _judged(toxicity.score(documents(spark, sf_dir, "doc_id", "text"), model), TOXICITY_THRESHOLD)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(learnable(spark, sf_dir, "quality"))
-    return _judged(quality.classify(documents(spark, sf_dir, "doc_id", "text"), model), 0.3)
+    return _judged(quality.classify(documents(spark, sf_dir, "doc_id", "text"), model), QUALITY_THRESHOLD)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +70,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(
+        documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    )
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", LANGUAGE_FOLDS) == LANGUAGE_HELD
     model = langid.learn(documents(spark, sf_dir, "doc_id", "text", "lang").where(~held))
@@ -84,14 +96,79 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op8_langid": op8_langid,
     "op9_repeats": op9_repeats,
+    "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Matches of a pattern (whole and one group) with what stands between them, which gives their places.
+_MATCHES = """
+{kind} AS (
+  SELECT doc_id, n, text,
+    regexp_extract_all(text, '{pattern}', 0) AS whole,
+    regexp_extract_all(text, '{pattern}', {group}) AS secret,
+    string_split_regex(text, '{pattern}') AS gap
+  FROM d
+),
+{kind}_spans AS (
+  SELECT n, {rank} AS rank, '{kind}' AS kind, length(secret) AS size,
+    sum(length(g) + coalesce(length(lag_w), 0)) OVER (PARTITION BY n ORDER BY i) AS begins, length(w) AS width
+  FROM (
+    SELECT n, i, whole[i] AS w, secret[i] AS secret, gap[i] AS g, CASE WHEN i > 1 THEN whole[i - 1] END AS lag_w
+    FROM (SELECT n, whole, secret, gap, unnest(range(1, len(whole) + 1)) AS i FROM {kind})
+  )
+)"""
+
+
+def _secrets_sql() -> str:
+    parts = [
+        _MATCHES.format(kind=kind, pattern=pattern.replace("'", "''"), group=group, rank=rank)
+        for rank, (kind, pattern, group, _) in enumerate(secrets.RULES)
+    ]
+    spans = " UNION ALL ".join(
+        f"SELECT n, rank, kind, begins, begins + width AS ends FROM {kind}_spans WHERE size >= {least}"
+        for kind, _, _, least in secrets.RULES
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS n FROM documents),
+{",".join(parts)},
+s AS ({spans}),
+g AS (
+  SELECT n, {counts},
+    string_agg(kind || ':' || CAST(begins AS BIGINT) || ':' || CAST(ends AS BIGINT), ',' ORDER BY begins, rank) AS spans
+  FROM s GROUP BY n
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in secrets.RULES)},
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (n)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_secrets": _secrets_sql(),
+    "op10_topk": """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+s AS (
+  SELECT q.n, q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.n <> v.n AND len(q.x) = len(v.x) WHERE q.vec_id % 100 = 0
+),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}

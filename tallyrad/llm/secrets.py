@@ -60,16 +60,16 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     return F.when(text.rlike(pattern), start).otherwise(F.array().cast(SPAN))
 
 
-def scan(blobs: DataFrame) -> DataFrame:
-    """The findings of each row's text (null: empty), all rules together, by start and then by rule."""
+def scan(blobs: DataFrame, text: str = "text", into: str = "findings") -> DataFrame:
+    """Adds the findings of each row's text (not null), all rules together, by start and then by rule."""
     order = {kind: n for n, (kind, *_) in enumerate(RULES)}
     ranked = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    found = F.concat(*[spans_of(F.col("text"), *rule) for rule in RULES])
+    found = F.concat(*[spans_of(F.col(text), *rule) for rule in RULES])
     keyed = F.transform(
         found, lambda s: F.struct(s["start"], F.element_at(ranked, s["kind"]).alias("rank"), s["end"], s["kind"])
     )
     ordered = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"], s["start"], s["end"]))
-    return blobs.withColumn("findings", ordered)
+    return blobs.withColumn(into, ordered)
 
 
 def versions(docs: DataFrame, path: str = "doc_id") -> DataFrame:
@@ -122,24 +122,21 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every finding in `text` replaced by a mark; all columns stay, in order.
 
-    Overlapping findings become one mark. Null texts stay null.
+    Findings that overlap are replaced by one mark. Null texts stay null.
     """
-    found = scan(docs.select(*[F.col(c) for c in docs.columns if c != "findings"]).withColumn("raw", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
+    own, spans = "redact: text", "redact: findings"
+    found = scan(docs.withColumn(own, F.coalesce("text", F.lit(""))), own, spans)
+    text = F.col(own)
     pieces = F.aggregate(
-        F.col("findings"),
+        F.col(spans),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda seen, s: F.when(
             s["start"] >= seen["at"],
             F.struct(
                 s["end"].alias("at"),
-                F.concat(
-                    seen["out"],
-                    F.substring(F.col("text"), seen["at"] + 1, s["start"] - seen["at"]),
-                    F.lit(mark),
-                ).alias("out"),
+                F.concat(seen["out"], F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit(mark)).alias("out"),
             ),
         ).otherwise(F.struct(F.greatest(seen["at"], s["end"]).alias("at"), seen["out"].alias("out"))),
     )
-    clean = F.concat(pieces["out"], F.substring(F.col("text"), pieces["at"] + 1, F.length("text")))
-    text = F.when(F.size("findings") > 0, clean).otherwise(F.col("raw"))
-    return found.withColumn("text", text).select(*docs.columns)
+    clean = F.concat(pieces["out"], F.substring(text, pieces["at"] + 1, F.length(text)))
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
