@@ -1,8 +1,15 @@
 """Queries of the analytics engine by name."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import analytics
+
+QUERIES = dict(analytics.QUERIES)
+ORACLE_SQL = dict(analytics.ORACLE_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed work units, studies and modality split for each profile and day."""
+    return analytics.daily_stats(spark, sf_dir)
