@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CLOCK = r"\s+(\d{1,2}):(\d{2})(?::\d{2})?\s*(AM|PM|am|pm)?\b"
@@ -32,46 +32,63 @@ def _moment(date: Column, hour: Column, minute: Column) -> Column:
     return F.when(valid, text.cast("timestamp_ntz"))
 
 
-def parse_moment(text: Column, as_of: Column) -> Column:
-    """Struct of study_datetime, study_date, confidence and pattern, or null; patterns are asked in order."""
+def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -> DataFrame:
+    """Adds a struct of study_datetime, study_date, confidence and pattern, or null; patterns are asked in
+    order. Every step is a column of its own, so that what later steps use twice is computed once."""
 
     def part(name: str, group: int) -> Column:
         return F.regexp_extract(text, PATTERNS[name], group).try_cast("int")
 
-    def found(name: str, moment: Column, date: Column, confidence: float) -> Column:
-        return F.when(
-            text.rlike(PATTERNS[name]) & date.isNotNull(),
-            F.struct(
-                moment.alias("study_datetime"), date.alias("study_date"), F.lit(confidence).alias("confidence"),
-                F.lit(name).alias("pattern"),
-            ),
-        )
+    def own(name: str) -> str:
+        return f"{into}:{name}"
+
+    timed, months = ("US_DATE_TIME", "ISO_DATE_TIME", "US_DASH_DATE_TIME"), own("months")
+    now = df.withColumns(
+        {own(n): F.array(*[part(n, g) for g in range(1, 6 if n in timed else 4)]) for n in (*timed, "US_DATE_ONLY", "ISO_DATE_ONLY")}
+        | {months: F.lower(F.regexp_extract(text, PATTERNS["ABBREV_MONTH"], 0))}
+        | {own("said"): F.lower(F.regexp_extract(text, PATTERNS["RELATIVE_DATE"], 1))}
+    )
+    at = lambda name, k: F.get(F.col(f"`{own(name)}`"), F.lit(k))
+    whole = F.col(f"`{months}`")
+
+    def dated(name: str) -> Column:
+        if name.startswith("ISO"):
+            return _date(at(name, 0), at(name, 1), at(name, 2))
+        short = at(name, 2)
+        year = F.when(short < 50, short + 2000).when(short < 100, short + 1900).otherwise(short)
+        return _date(year, at(name, 0), at(name, 1))
 
-    nothing = F.lit(None).cast("timestamp_ntz")
-    results = []
-    for name in ("US_DATE_TIME", "ISO_DATE_TIME", "US_DASH_DATE_TIME"):
-        first, second, third, hour, minute = (part(name, g) for g in range(1, 6))
-        if name == "ISO_DATE_TIME":
-            date = _date(first, second, third)
-        else:
-            year = F.when(third < 50, third + 2000).when(third < 100, third + 1900).otherwise(third)
-            date = _date(year, first, second)
-            half = F.upper(F.regexp_extract(text, PATTERNS[name], 6))
-            hour = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-        moment = _moment(date, hour, minute)
-        results.append(found(name, moment, F.when(moment.isNotNull(), date), 1.0))
-    m, d, y = (part("US_DATE_ONLY", g) for g in (1, 2, 3))
-    year = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    results.append(found("US_DATE_ONLY", nothing, _date(year, m, d), 0.85))
-    results.append(found("ISO_DATE_ONLY", nothing, _date(*(part("ISO_DATE_ONLY", g) for g in (1, 2, 3))), 0.85))
-    whole = F.lower(F.regexp_extract(text, PATTERNS["ABBREV_MONTH"], 0))
     month = F.coalesce(*[F.when(F.contains(whole, F.lit(name)), k + 1) for k, name in enumerate(MONTHS)])
     year = F.coalesce(F.regexp_extract(whole, r"\b(20\d{2})\b", 1).try_cast("int"), F.year(as_of))
-    results.append(found("ABBREV_MONTH", nothing, _date(year, month, part("ABBREV_MONTH", 1)), 0.75))
-    said = F.lower(F.regexp_extract(text, PATTERNS["RELATIVE_DATE"], 1))
-    day = F.when(said == "yesterday", F.date_sub(F.to_date(as_of), 1)).when(said == "today", F.to_date(as_of))
-    results.append(found("RELATIVE_DATE", nothing, day, 0.5))
-    return F.when(F.length(F.trim(text)) >= 3, F.coalesce(*results))
+    day = F.regexp_extract(whole, r"\b(\d{1,2})\b", 1).try_cast("int")
+    said = F.col(f"`{own('said')}`")
+    relative = F.when(said == "yesterday", F.date_sub(F.to_date(as_of), 1)).when(said == "today", F.to_date(as_of))
+    found = {n: dated(n) for n in (*timed, "US_DATE_ONLY", "ISO_DATE_ONLY")}
+    found |= {"ABBREV_MONTH": _date(year, month, day), "RELATIVE_DATE": relative}
+    now = now.withColumns({own(n) + ":date": d for n, d in found.items()})
+    date = lambda name: F.col(f"`{own(name)}:date`")
+
+    def clock(name: str) -> Column:
+        hour, half = at(name, 3), F.upper(F.regexp_extract(text, PATTERNS[name], 6)) if name.startswith("US") else F.lit("")
+        full = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
+        return _moment(date(name), full, at(name, 4))
+
+    now = now.withColumns({own(n) + ":time": clock(n) for n in timed})
+    nothing = F.lit(None).cast("timestamp_ntz")
+    results = []
+    for name in found:
+        time = F.col(f"`{own(name)}:time`") if name in timed else nothing
+        trust = 1.0 if name in timed else {"ABBREV_MONTH": 0.75, "RELATIVE_DATE": 0.5}.get(name, 0.85)
+        results.append(
+            F.when(
+                time.isNotNull() if name in timed else date(name).isNotNull(),
+                F.struct(
+                    time.alias("study_datetime"), date(name).alias("study_date"), F.lit(trust).alias("confidence"), F.lit(name).alias("pattern")
+                ),
+            )
+        )
+    chosen = F.when(F.length(F.trim(text)) >= 3, F.coalesce(*results))
+    return now.select(*[F.col(f"`{c}`") for c in df.columns], chosen.alias(into))
 
 
 def hhmm(text: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics
+from . import analytics, browsing
 
+#: Importing a module of queries registers them.
+MODULES = (analytics, browsing)
 QUERIES = dict(analytics.QUERIES)
 ORACLE_SQL = dict(analytics.ORACLE_SQL)
 
