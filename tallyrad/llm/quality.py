@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .lines import features
 
 #: Labelled documents that the field is fitted on, on average; chosen by a hash of the id.
-SAMPLE = 3000
+SAMPLE = 2400
 STEPS = 250
 #: Documents whose lines are handled at once.
 PART = 500
@@ -72,7 +72,8 @@ class Chains:
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, ridge: float = 1e-3) -> dict:
     """The field that makes the labels of all lines (each its document's) likeliest, by gradient steps."""
-    table, size, counts = features(texts)
+    parts = [features(texts[i : i + PART // 2]) for i in range(0, len(texts), PART // 2)]
+    table, counts = (np.concatenate([part[k] for part in parts]) for k in (0, 2))
     mean, scale = table.mean(axis=0), table.std(axis=0) + 1e-6
     mean[0], scale[0] = 0, 1
     x = with_neighbours((table - mean) / scale, counts)
@@ -114,17 +115,24 @@ def quality(texts: list[str | None], model: dict) -> np.ndarray:
     return np.bincount(doc, p * weight, len(texts)) / np.bincount(doc, weight, len(texts))
 
 
-def sample_of(labelled: DataFrame, label: str, size: int) -> DataFrame:
-    """About `size` rows with a label and a text, half of each label where there are enough; by a hash of the id."""
-    rows = labelled.where(F.col(label).isNotNull()).select("doc_id", "text", label)
-    counts = rows.groupBy(label).agg((F.lit(size / 2) / F.count("*")).alias("share"))
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:
+    """About `size` documents with a label, half of each label where there are enough: doc_id, text, label.
+
+    The sample is drawn from the labels, by a hash of the id, before texts are read, so what is broadcast has
+    about `size` rows whatever the corpus; of repeated labels of a document the highest counts.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    return rows.join(F.broadcast(counts), label).where(place < F.col("share")).select("doc_id", "text", label)
+    share = F.coalesce(*[F.when(F.col(label) == k, size / 2 / n) for k, n in counts.items()], F.lit(0.0))
+    chosen = rows.where(place < share)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A field fitted on about `sample` of the rows doc_id, text, quality; none if there is no such row."""
-    rows = sample_of(labelled, "quality", sample).orderBy("doc_id").toPandas()
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """A field fitted on about `sample` of the documents that labels (doc_id, quality) name; none if there are
+    none. Both labels are 0 or 1."""
+    rows = sample_of(docs, labels, "quality", sample).orderBy("doc_id").toPandas()
     return fit(rows["text"].tolist(), rows["quality"].astype(int).tolist()) if len(rows) else None
 
 

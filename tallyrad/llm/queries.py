@@ -14,10 +14,8 @@ TOXICITY_THRESHOLD, QUALITY_THRESHOLD = 0.5, 0.3
 
 
 def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """doc_id, text and a label of the documents that models may learn it from."""
-    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold("doc_id", LABEL_FOLDS) != 0))
-    labels = labels.groupBy("doc_id").agg(F.max(label).alias(label))
-    return documents(spark, sf_dir, "doc_id", "text").join(labels, "doc_id")
+    """doc_id and a label of the documents that models may learn it from."""
+    return table(spark, sf_dir, "labels").select("doc_id", label).where(fold("doc_id", LABEL_FOLDS) != 0)
 
 
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
@@ -35,13 +33,15 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.learn(learnable(spark, sf_dir, "toxic"))
-    return _judged(toxicity.score(documents(spark, sf_dir, "doc_id", "text"), model), TOXICITY_THRESHOLD)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.learn(docs, learnable(spark, sf_dir, "toxic"))
+    return _judged(toxicity.score(docs, model), TOXICITY_THRESHOLD)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.learn(learnable(spark, sf_dir, "quality"))
-    return _judged(quality.classify(documents(spark, sf_dir, "doc_id", "text"), model), QUALITY_THRESHOLD)
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.learn(docs, learnable(spark, sf_dir, "quality"))
+    return _judged(quality.classify(docs, model), QUALITY_THRESHOLD)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,13 @@ from .common import stored
 BLOCK = 4096
 QUERIES = 1024
 LEAF = 48
+#: A node stays a leaf if the next level would need more centres than one for every so many of its points.
+#: Where distances are all alike, as in many dimensions, smaller balls hold one point each and prune nothing.
+CROWD = 12
 #: Each level of a tree covers its points with balls this much smaller.
-SHRINK = 0.65
+SHRINK = 0.8
 NONE = np.iinfo(np.int64).min
+NONE_LAST = NONE + 1
 
 
 class Node:
@@ -50,16 +54,19 @@ def cover_tree(x: np.ndarray) -> Node:
         if len(points) <= LEAF or node.radius == 0:
             node.points = points
             continue
-        radius, centre = node.radius * SHRINK, node.centre
-        while len(points):
+        radius, centre, rest, found = node.radius * SHRINK, node.centre, points, []
+        while len(rest) and len(found) <= len(points) // CROWD:
             inside = near <= radius
-            child = Node(centre, float(near[inside].max(initial=0)))
-            node.children.append(child)
-            todo.append((child, points[inside], near[inside]))
-            points = points[~inside]
-            if len(points):
-                centre = int(points[0])
-                near = distances(centre, points)
+            found.append((Node(centre, float(near[inside].max(initial=0))), rest[inside], near[inside]))
+            rest = rest[~inside]
+            if len(rest):
+                centre = int(rest[0])
+                near = distances(centre, rest)
+        if len(rest):
+            node.points = points
+        else:
+            node.children = [child for child, _, _ in found]
+            todo.extend(found)
     return root
 
 
@@ -110,11 +117,15 @@ class Search:
             q, v = (m[p].astype(object) for m, p in zip(self.whole, (a.points, b.points)))
             scores = q.dot(v.T).astype(np.int64)
         scores[self.own[a.points][:, None] == self.rows[b.points]] = NONE
-        scores = np.hstack([self.scores[a.points], scores])
-        ids = np.hstack([self.found[a.points], np.broadcast_to(self.ids[b.points], (len(a.points), len(b.points)))])
-        best = np.lexsort((ids, -(scores + (scores == NONE))), axis=1)[:, : self.k]
-        self.scores[a.points] = np.take_along_axis(scores, best, axis=1)
-        self.found[a.points] = np.take_along_axis(ids, best, axis=1)
+        n, ids = scores.shape[1], self.ids[b.points]
+        least = np.partition(scores, n - self.k, axis=1)[:, n - self.k] if n > self.k else np.full(len(scores), NONE)
+        least = np.maximum(least, self.scores[a.points, -1])
+        for row, query in enumerate(a.points):
+            good = np.flatnonzero((scores[row] >= least[row]) & (scores[row] > NONE))
+            if len(good):
+                have, names = np.append(self.scores[query], scores[row, good]), np.append(self.found[query], ids[good])
+                best = np.lexsort((names, np.where(have == NONE, -NONE_LAST, -have)))[: self.k]
+                self.scores[query], self.found[query] = have[best], names[best]
         a.worst = int(self.scores[a.points, -1].min())
 
 

@@ -153,12 +153,12 @@ def _first_guess(docs: list[list[str]], labels: np.ndarray) -> dict[str, float]:
 def fit(texts: list[str | None], labels: list[int]) -> dict | None:
     """Weights by subsequence, bias, and the line that turns a document's highest value into a probability.
 
-    None without both labels.
+    None without both labels, or if no toxic document has a word.
     """
     y = np.array(labels, np.int64)
-    if y.min(initial=1) == y.max(initial=0):
-        return None
     docs = [sorted(words_of(t)) for t in texts]
+    if not any(d for d, label in zip(docs, y) if label) or y.all():
+        return None
     guess = _first_guess(docs, y)
     every = sorted({w for words in docs for w in words})
     table, counts = windows_of(every)
@@ -233,9 +233,10 @@ def toxicity(texts: list[str | None], model: dict | None) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["slope"] * top + model["offset"], -30, 30)))
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """A machine fitted on about `sample` of the rows doc_id, text, toxic; none without both labels."""
-    rows = sample_of(labelled, "toxic", sample).orderBy("doc_id").toPandas()
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+    """A machine fitted on about `sample` of the documents that labels (doc_id, toxic) name; none without both
+    labels, 0 and 1."""
+    rows = sample_of(docs, labels, "toxic", sample).orderBy("doc_id").toPandas()
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 
