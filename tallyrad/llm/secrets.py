@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Kind, pattern (group 2 or 0 is the secret), least length of that group, cheap test that a match needs.
 #: Fixed values; letters that stand for both cases are written as classes, which no engine folds further.
 RULES = [
@@ -105,9 +107,12 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
     Null and empty texts have no findings; repeated rows and copies are scanned once and each keep their
     row. Without a ledger every blob is unseen. Other columns are neither read nor returned.
+
+    New ledger rows are written before they are joined back: blobs are scanned once, and both sides of the join
+    are plain shuffles, so that Spark can split the rows of a blob that very many paths share.
     """
     history = versions(docs.select("doc_id", "text"))
-    fresh = update(history, ledger)
+    fresh = stored(update(history, ledger))
     known = fresh if ledger is None else ledger.select("blob", "rules_version", "findings").unionByName(fresh)
     return findings(history, known).withColumnRenamed("path", "doc_id")
 
