@@ -1,9 +1,9 @@
 """Benchmark passages in training documents, found by spaced seeds and verified word by word.
 
-A seed is five words out of eight or nine in a row; its mask ignores the others. The masks find every overlap
-of 13 words of which two were substituted. Seeds of benchmark items and of documents are joined by their
-hashes. Around each hit the item is laid over the document without gaps, and the best stretch is taken: a match
-counts 1, a substitution costs 2.
+A seed is four or five words out of a few in a row; its mask ignores the others. The masks find every stretch of
+13 words or more, and every shorter item, of which at most a fifth was substituted. Seeds of benchmark items and
+of documents are joined by their hashes. Around each hit the item is laid over the document without gaps, and of
+the stretches that are long and alike enough the best is taken: a match counts 1, a substitution costs 2.
 """
 
 from __future__ import annotations
@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from .tokens import hashed_words, mixed
 
-MASKS = [(0, 1, 3, 6, 7), (0, 1, 4, 6, 7), (0, 2, 3, 5, 8)]
+MASKS = [(0, 1, 3, 6, 7), (0, 1, 4, 6, 7), (0, 2, 3, 5, 8), (0, 1, 2, 4, 8)]
+#: What items of so many words need besides.
+SHORT_MASKS = {
+    5: [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)], 6: [(0, 1, 2, 3), (0, 1, 3, 4)], 7: [(0, 1, 3, 4)],
+    8: [(0, 1, 2, 3)], 10: [(0, 1, 2, 4, 5)], 11: [(0, 1, 2, 4, 5)],
+}
 #: Words that an overlap spans at least (or the whole item, if it is shorter), and the share that must match.
 OVERLAP = 13
 ALIKE = 0.8
@@ -43,6 +48,28 @@ def seeds(words: np.ndarray, counts: np.ndarray, mask: tuple[int, ...]) -> tuple
     return mixed(code), fits
 
 
+def stretch(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """First word and end of the best stretch of at least `least` words of which ALIKE match; ties: first, shortest.
+
+    The best of all stretches is taken if it is long and alike enough, else the best of those of less than twice
+    the least length. A longer one that is alike enough holds one of these.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    matches = np.concatenate([[0], np.cumsum(same)])
+    lowest = np.minimum.accumulate(total)
+    end = int((total - lowest).argmax())
+    start = int(total[: end + 1].argmin())
+    if end - start >= least and matches[end] - matches[start] >= ALIKE * (end - start):
+        return start, end
+    found = []
+    for n in range(least, min(2 * least - 1, len(same)) + 1):
+        own = matches[n:] - matches[:-n]
+        start = int(own.argmax())
+        if own[start] >= ALIKE * n:
+            found.append((-int(total[start + n] - total[start]), start, start + n))
+    return min(found)[1:] if found else None
+
+
 class Index:
     """Seeds of one block of benchmark items."""
 
@@ -50,15 +77,17 @@ class Index:
         self.words, counts = hashed_words(texts)
         self.ids, self.counts, self.first = ids, counts, np.cumsum(counts) - counts
         item = np.repeat(np.arange(len(ids)), counts)
-        # items that no mask fits into are looked up by all their words
-        short = sorted({int(c) for c in counts if SHORTEST <= c <= MASKS[-1][-1]})
-        self.masks = [*MASKS, *(tuple(range(c)) for c in short)]
+        sizes: dict[tuple[int, ...], list[int]] = {}
+        for size in sorted(set(counts.tolist()) & set(SHORT_MASKS)):
+            for mask in SHORT_MASKS[size]:
+                sizes.setdefault(mask, []).append(size)
+        self.masks = [*MASKS, *sizes]
         found = []
-        for number, mask in enumerate(self.masks):
+        for mask in self.masks:
             code, at = seeds(self.words, counts, mask)
-            if number >= len(MASKS):
-                whole = counts[item[at]] == len(mask)
-                code, at = code[whole], at[whole]
+            if mask in sizes:
+                own = np.isin(counts[item[at]], sizes[mask])
+                code, at = code[own], at[own]
             found.append((code, at))
         code, at = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         order = np.argsort(code, kind="stable")
@@ -92,13 +121,9 @@ class Index:
             a, b = max(0, -shift), min(size, int(counts[doc]) - shift)
             mine = words[first[doc] + shift + a : first[doc] + shift + b]
             same = mine == self.words[self.first[item] + a : self.first[item] + b]
-            # the stretch with the highest sum
-            total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            lowest = np.minimum.accumulate(total)
-            end = int((total - lowest).argmax())
-            start = int(total[: end + 1].argmin())
-            matches = int(same[start:end].sum())
-            if end - start >= max(SHORTEST, min(OVERLAP, size)) and matches >= ALIKE * (end - start):
+            if place := stretch(same, max(SHORTEST, min(OVERLAP, size))):
+                start, end = place
+                matches = int(same[start:end].sum())
                 found = (matches, -(shift + a + start), end - start)
                 best[doc, item] = max(best.get((doc, item), found), found)
         return [(d, i, -start, n, matches) for (d, i), (matches, start, n) in sorted(best.items())]

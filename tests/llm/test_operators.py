@@ -236,6 +236,23 @@ def test_every_pair_of_substitutions_is_found():
     assert blocks > 0
 
 
+def test_every_placement_of_substitutions_is_reported():
+    r = random.Random(16)
+    for size, changes in [(5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 1), (13, 2), (14, 2), (15, 3), (16, 3), (17, 3)]:
+        words = [f"w{k}" for k in range(size)]
+        index = decontamination.Index([1], [" ".join(words)])
+        places = list(combinations(range(size), changes))
+        texts = [" ".join(["q", *("zz" if k in p else w for k, w in enumerate(words)), "q"]) for p in places]
+        assert len(index.verified(*hashed_words(texts))) == len(places), (size, changes)
+        worse = [" ".join("zz" if k in p else w for k, w in enumerate(words)) for p in combinations(range(size), size // 5 + 1)]
+        least, found = min(size, decontamination.OVERLAP), {x[0]: x for x in index.verified(*hashed_words(worse))}
+        for d in r.sample(range(len(worse)), min(len(worse), 200)):
+            same = [w != "zz" for w in worse[d].split()]
+            spans = [(a, n) for n in range(least, size + 1) for a in range(size - n + 1) if sum(same[a : a + n]) >= 0.8 * n]
+            assert (d in found) == bool(spans)
+            assert d not in found or (found[d][2], found[d][3]) in spans and found[d][4] == sum(same[found[d][2] : found[d][2] + found[d][3]])
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     r = random.Random(8)
     items = [sentence(r, 20) for _ in range(12)]
