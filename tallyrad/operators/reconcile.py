@@ -37,8 +37,11 @@ def weighted_totals(hospital: DataFrame) -> DataFrame:
 
 
 def audit_of_logs(logs: DataFrame, audit: DataFrame) -> DataFrame:
-    """For each log the distinct actions of its session or its day; one join for each of both keys."""
-    by_session = logs.select("id", "session_id").join(audit.select("session_id", "action"), "session_id").select("id", "action")
+    """For each log the distinct actions of its session or its day; one join for each of both keys.
+
+    The audit comes down to distinct actions of each key before it meets the logs.
+    """
+    by_session = logs.select("id", "session_id").join(audit.select("session_id", "action").distinct(), "session_id").select("id", "action")
     by_day = logs.select("id", "log_date").join(audit.select("log_date", "action").distinct(), "log_date").select("id", "action")
     actions = by_session.union(by_day).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("action")), ";").alias("actions"))
     return logs.select("id").join(actions, "id", "left").select("id", F.coalesce("actions", F.lit("")).alias("actions"))

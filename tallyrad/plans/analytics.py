@@ -371,6 +371,16 @@ def duplicate_tiers(spark, sf_dir):
     return found.select("id", "log_id", "tier")
 
 
+@query()
+def duplicate_tiers_of_all(spark, sf_dir):
+    """All logs, taken a second time some minutes later and in part without their numbers, against all logs."""
+    logs = fx.study_logs(spark, sf_dir)
+    later = logs.withColumn("study_datetime", F.col("study_datetime") + F.make_dt_interval(mins=(F.col("id") % 20).cast("int")))
+    later = later.withColumn("accession_number", F.when(F.col("id") % 3 != 0, F.col("accession_number")))
+    found = duplicates.duplicate_matches(duplicates.with_fingerprint(later), duplicates.with_fingerprint(logs))
+    return found.select("id", "log_id", "tier")
+
+
 @query()
 def match_candidates(spark, sf_dir):
     """Staged matching of all titles; the fee schedule is the fixed mappings and the parts."""
@@ -473,6 +483,18 @@ def hospital_reconciliation(spark, sf_dir):
     return rounded(reconcile.reconcile(hospital, local))
 
 
+@query()
+def hospital_reconciliation_of_all(spark, sf_dir):
+    """All logs as a hospital reports them, with other codes, modifiers and work units in part, against all logs."""
+    logs = fx.study_logs(spark, sf_dir).withColumn("exam_key", F.col("exam_name_raw"))
+    hospital = logs.select(
+        "exam_key", F.when(F.col("id") % 5 == 0, F.concat("cpt_code", F.lit("H"))).otherwise(F.col("cpt_code")).alias("cpt_code"),
+        F.when(F.col("id") % 9 != 0, F.col("modifier")).alias("modifier"),
+        (F.col("work_rvu") + F.when(F.col("id") % 4 == 0, 0.5).otherwise(0.0)).alias("work_rvu"),
+    )
+    return rounded(reconcile.reconcile(hospital, logs.select("id", "exam_key", "cpt_code", "modifier", "work_rvu")))
+
+
 @query(PRE + "SELECT round(sum(coalesce(work_rvu, 0) * (1 + id % 3)), 2) AS wrvu, CAST(sum(1 + id % 3) AS BIGINT) AS studies FROM study_logs")
 def hospital_totals(spark, sf_dir):
     rows = fx.study_logs(spark, sf_dir).withColumn("quantity", 1 + F.col("id") % 3)
@@ -491,6 +513,12 @@ def audit_of_logs(spark, sf_dir):
     return reconcile.audit_of_logs(logs.where("id % 50 = 1"), audit)
 
 
+@query()
+def audit_of_all_logs(spark, sf_dir):
+    logs = fx.study_logs(spark, sf_dir)
+    return reconcile.audit_of_logs(logs, logs.select("session_id", "log_date", F.col("match_method").alias("action")))
+
+
 @query(
     PRE
     + """

@@ -115,6 +115,16 @@ def fee_schedule_upsert(spark, sf_dir):
     return tables.import_counts(changes).select("change", "n", "significant")
 
 
+@query()
+def fee_schedule_upsert_of_all(spark, sf_dir):
+    """All parts, with other codes and work units in part, imported over all parts."""
+    cpt = fx.cpt_rvu(spark, sf_dir)
+    factor = F.when(F.col("id") % 4 == 0, 1.1).when(F.col("id") % 4 == 1, 1.01).otherwise(1.0)
+    code = F.when(F.col("id") % 5 == 0, F.concat("cpt_code", F.lit("N"))).otherwise(F.col("cpt_code"))
+    parsed = cpt.withColumn("work_rvu", F.col("work_rvu") * factor).withColumn("cpt_code", code)
+    return tables.import_counts(tables.upsert_fee_schedule(cpt, parsed)).select("change", "n", "significant")
+
+
 @query(
     PRE
     + """, k AS (SELECT *, exam_name_raw || '|' || cpt_code AS fingerprint FROM study_logs),
