@@ -154,19 +154,20 @@ def fuzzy_alias(titles: DataFrame, aliases: DataFrame, fees: DataFrame, k: int)
 
 def scored_descriptions(titles: DataFrame, fees: DataFrame) -> DataFrame:
     """Scores of titles with all descriptions: radiology_score and text_score. A score can be high enough
-    without any shared word, so each title meets each row; the schedule is cut into blocks by a hash of its
-    codes, and titles are few."""
-    f = fees.select(
-        "cpt_code", "modifier", "description", "work_rvu", F.col("description_key").alias("f_key"),
-        F.col("description_exam_key").alias("f_exam"), F.col("facts").alias("f_facts"),
-    )
-    blocks = max(1, -(-f.count() // BROADCAST_ROWS))
+    without any shared word, so each title meets each distinct description, and the scores go back to all rows
+    that have it; descriptions are cut into blocks by a hash, and titles are few."""
+    texts = fees.select("description").distinct()
+    f = texts.withColumn("f_key", T.normalize_description(F.col("description")))
+    f = f.withColumn("f_exam", T.normalize_exam_text(F.col("f_key"))).withColumn("f_facts", T.description_facts(F.col("description")))
+    blocks = max(1, -(-texts.count() // BROADCAST_ROWS))
     left = titles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = f.withColumn("block", F.pmod(F.xxhash64("cpt_code"), F.lit(blocks)).cast("int"))
+    right = f.withColumn("block", F.pmod(F.xxhash64("description"), F.lit(blocks)).cast("int"))
     both = left.join(small(right) if blocks == 1 else right, "block")
-    return both.withColumn(
+    scored = both.withColumn(
         "radiology_score", T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("description"), F.col("f_facts"))
     ).withColumn("text_score", T.combined_similarity(F.col("description_exam_key"), F.col("f_exam")))
+    rows = fees.select("cpt_code", "modifier", F.col("description").alias("own"), "work_rvu")
+    return scored.join(rows, F.col("description").eqNullSafe(F.col("own"))).drop("own")
 
 
 def fuzzy_description(titles: DataFrame, fees: DataFrame, k: int) -> DataFrame:
@@ -174,7 +175,7 @@ def fuzzy_description(titles: DataFrame, fees: DataFrame, k: int) -> DataFrame:
     scored = scored_descriptions(titles, fees).withColumn(
         "confidence", F.greatest(exact, "radiology_score", F.col("text_score") * FUZZY_TEXT)
     )
-    order = Window.partitionBy("title").orderBy(F.desc("confidence"), "cpt_code")
+    order = Window.partitionBy("title").orderBy(F.desc("confidence"), "cpt_code", "description", "work_rvu")
     best = scored.where(F.col("confidence") >= LEAST_DESCRIPTION).withColumn("place", F.row_number().over(order))
     best = best.where(F.col("place") <= 3 * k).withColumn("place", F.format_string("%06d", "place"))
     return _rows(best, 6, "fuzzy description", F.col("confidence"), "place")
@@ -203,7 +204,7 @@ def candidates(
     starts = F.min("stage").over(Window.partitionBy("title"))
     gated = every.withColumn("earlier", earlier).withColumn("starts", starts)
     gated = gated.where((F.col("earlier") < k) & ((F.col("starts") > 0) | (F.col("stage") == 0)))
-    first = F.row_number().over(Window.partitionBy("title", "cpt_code", "modifier").orderBy("stage", "seq"))
+    first = F.row_number().over(Window.partitionBy("title", "cpt_code", "modifier").orderBy("stage", "seq", "description", "work_rvu"))
     ranked = gated.withColumn("copy", first).where(F.col("copy") == 1)
     best = Window.partitionBy("title").orderBy(F.desc("confidence"), "stage", "seq", "cpt_code")
     ranked = ranked.withColumn("rank", F.row_number().over(best))
@@ -223,14 +224,14 @@ def library_search(titles: DataFrame, cpt: DataFrame, k: int = 8) -> DataFrame:
         F.col("radiology_score") * 0.40 + raw * 0.35 + F.col("text_score") * 0.25
     )
     exact = F.when(F.col("f_key") == F.col("description_key"), EXACT).otherwise(0.0)
-    order = Window.partitionBy("title").orderBy(F.desc("confidence"), F.desc("work_rvu"), "cpt_code")
+    order = Window.partitionBy("title").orderBy(F.desc("confidence"), F.desc("work_rvu"), "cpt_code", "description")
     best = scored.withColumn("confidence", F.greatest(exact, blend)).where(F.col("confidence") >= LEAST_LIBRARY)
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * k)
     fuzzy = _rows(best.withColumn("place", F.format_string("%06d", "place")), 6, "fuzzy description", F.col("confidence"), "place")
     every = direct(keys, fees).unionByName(common(keys, fees)).unionByName(exact_description(keys, fees)).unionByName(fuzzy)
     every = every.withColumn("starts", F.min("stage").over(Window.partitionBy("title")))
     every = every.where((F.col("starts") > 0) | (F.col("stage") == 0))
-    first = F.row_number().over(Window.partitionBy("title", "cpt_code", "modifier").orderBy("stage", "seq"))
+    first = F.row_number().over(Window.partitionBy("title", "cpt_code", "modifier").orderBy("stage", "seq", "description", "work_rvu"))
     place = F.row_number().over(Window.partitionBy("title").orderBy("stage", "seq", "cpt_code"))
     return (
         every.withColumn("copy", first).where(F.col("copy") == 1).withColumn("rank", place).where(F.col("rank") <= k)

@@ -404,8 +404,11 @@ SCHEDULE = [
 
 
 def _schedule(spark, sf_dir):
-    rows = [(code, "26", text, 0.5 + k / 10) for k, (code, text) in enumerate(SCHEDULE)]
-    return spark.createDataFrame(rows, "cpt_code string, modifier string, description string, work_rvu double")
+    """The fixed rows and all parts."""
+    rows = [(code, "26", text, 0.5 + k / 10, "A", "0") for k, (code, text) in enumerate(SCHEDULE)]
+    kind = "cpt_code string, modifier string, description string, work_rvu double, status_code string, pc_tc string"
+    fixed = spark.createDataFrame(rows, kind)
+    return fixed.unionByName(fx.cpt_rvu(spark, sf_dir).select(*fixed.columns))
 
 
 def _aliases(spark):

@@ -95,6 +95,7 @@ def professional_rows(spark, sf_dir):
 @query()
 def explorer_search(spark, sf_dir):
     rows = _schedule(spark, sf_dir).withColumn("modality", codes.classify_modality(F.col("cpt_code")))
+    rows = rows.withColumn("status", codes.status_category(F.col("status_code"))).withColumn("pc_tc", codes.pc_tc(F.col("pc_tc")))
     return explorer.search(rows, "stroke").select("cpt_code", "description", "score")
 
 

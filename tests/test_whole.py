@@ -5,7 +5,11 @@ from collections import Counter, defaultdict
 import pytest
 
 from __spark_entry__ import queries
-from tallyrad.operators import duplicates
+from pyspark.sql import functions as F
+
+from tallyrad.functions import text as T
+from tallyrad.operators import duplicates, matching
+from tallyrad.plans import analytics
 from tallyrad.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +95,25 @@ def test_duplicate_tiers_of_all(spark, logs):
             break
     rows = queries()["duplicate_tiers_of_all"](spark, SF).collect()
     assert {x.id: (x.log_id, x.tier) for x in rows} == want and len({t for _, t in want.values()}) == 3
+
+
+def test_titles_meet_all_parts(spark):
+    schedule = analytics._schedule(spark, SF)
+    assert schedule.count() == len(analytics.SCHEDULE) + fx.cpt_rvu(spark, SF).count()
+    odd = spark.createDataFrame([("1", "26", None, 1.0, "A", "0"), ("2", "26", None, 2.0, "A", "0")], schedule.schema)
+    keys, fees = matching.title_keys(fx.titles(spark).limit(8)), matching.fee_keys(schedule.unionByName(odd))
+    f = fees.select(*[F.col(c).alias(f"f_{c}") for c in fees.columns])
+    radiology = T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("f_description"), F.col("f_facts"))
+    every = keys.crossJoin(f).select(
+        "title", "f_cpt_code", "f_description", "f_work_rvu", F.round(radiology, 9),
+        F.round(T.combined_similarity(F.col("description_exam_key"), F.col("f_description_exam_key")), 9),
+    )
+    found = matching.scored_descriptions(keys, fees).select(
+        "title", "cpt_code", "description", "work_rvu", F.round("radiology_score", 9), F.round("text_score", 9)
+    )
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, every.collect()))
+
+
+def test_explorer_meets_all_parts(spark):
+    parts = {x.description for x in fx.cpt_rvu(spark, "/root/testdata/sf0.01").collect()}
+    assert parts & {x.description for x in queries()["explorer_search"](spark, "/root/testdata/sf0.01").collect()}
