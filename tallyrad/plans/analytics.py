@@ -332,6 +332,22 @@ def title_similarity(spark, sf_dir):
     return a.join(b, "start").where("title_a < title_b").select("title_a", "title_b", score.alias("score"))
 
 
+#: Titles are alike from this score on. Without a shared word a score is 0.2 at most.
+LEAST_ALIKE = 0.3
+
+
+@query()
+def title_similarity_of_all(spark, sf_dir):
+    """All pairs of titles that are alike, whatever they start with; pairs are found by shared words of their keys."""
+    keyed = _titles(spark, sf_dir).withColumn("exam_key", T.normalize_exam_text(F.col("title")))
+    words = keyed.select("title", "exam_key", F.explode(F.array_distinct(T.words(F.col("exam_key")))).alias("word"))
+    a = words.select("word", F.col("title").alias("title_a"), F.col("exam_key").alias("a"))
+    b = words.select("word", F.col("title").alias("title_b"), F.col("exam_key").alias("b"))
+    pairs = a.join(b, "word").where("title_a < title_b").select("title_a", "title_b", "a", "b").distinct()
+    score = T.combined_similarity(F.col("a"), F.col("b"))
+    return pairs.select("title_a", "title_b", F.round(score, 6).alias("score")).where(F.col("score") >= LEAST_ALIKE)
+
+
 _PRINTS = f"""{_TITLES}, {_EXAM},
 f AS MATERIALIZED (
   SELECT l.*, exam_key, CASE WHEN accession_number IS NOT NULL THEN 'acc:' || upper(accession_number)

@@ -117,3 +117,14 @@ def test_titles_meet_all_parts(spark):
 def test_explorer_meets_all_parts(spark):
     parts = {x.description for x in fx.cpt_rvu(spark, "/root/testdata/sf0.01").collect()}
     assert parts & {x.description for x in queries()["explorer_search"](spark, "/root/testdata/sf0.01").collect()}
+
+
+def test_title_similarity_of_all(spark):
+    keyed = fx.titles(spark).withColumn("key", T.normalize_exam_text(F.col("title"))).select("title", "key").collect()
+    pairs = [(a.title, b.title, a.key, b.key) for a in keyed for b in keyed if a.title < b.title]
+    frame = spark.createDataFrame(pairs, "title_a string, title_b string, a string, b string")
+    score = F.round(T.combined_similarity(F.col("a"), F.col("b")), 6).alias("score")
+    want = {tuple(x) for x in frame.select("title_a", "title_b", score).collect() if x.score >= analytics.LEAST_ALIKE}
+    found = queries()["title_similarity_of_all"](spark, SF).collect()
+    assert {tuple(x) for x in found} == want and len(found) == len(want)
+    assert any(a[:2] != b[:2] for a, b, _ in want)
