@@ -22,20 +22,24 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))
 _VALUE = _random.integers(0, 1 << 64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
+#: Two digests of 64 bits, each with values of bytes and a base of its own; together they name a content.
+_VALUES = [_VALUE, _random.integers(0, 1 << 64, 256, np.uint64)]
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_powers: list[list[np.ndarray]] = []
 
 
-def _power_tables() -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+def _power_tables(which: int = 0) -> list[np.ndarray]:
+    """Powers of a digest's base and of its inverse modulo 2**64."""
     if not _powers:
         size = PART + LENGTH + 1
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            _powers.append(table)
-    return _powers
+        for odd in _BASES:
+            _powers.append([])
+            for base in (odd, pow(odd, -1, 1 << 64)):
+                table = np.full(size, base, np.uint64)
+                table[0] = 1
+                np.multiply.accumulate(table, out=table)
+                _powers[-1].append(table)
+    return _powers[which]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,10 +54,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Hashes of any stretch of one part of bytes, each in constant time."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables()
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = _power_tables(which)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        terms = _VALUE[data]
+        terms = _VALUES[which][data]
         terms *= up[: len(data)]
         np.cumsum(terms, out=self.sums[1:])
 
@@ -68,7 +72,8 @@ class Rolling:
 
 @dataclass
 class Anchors:
-    """Parallel arrays. The strings that start at first..last of a row share the anchor at place."""
+    """Parallel arrays. The strings that start at first..last of a row share the anchor at place. whole and
+    again are two digests of their bytes and of where these lie around the anchor."""
 
     row: np.ndarray
     first: np.ndarray
@@ -76,11 +81,12 @@ class Anchors:
     place: np.ndarray
     gram: np.ndarray
     whole: np.ndarray
+    again: np.ndarray
 
     @staticmethod
     def join(parts: list[Anchors]) -> Anchors:
-        names = ("row", "first", "last", "place", "gram", "whole")
-        kinds = (np.int64,) * 4 + (np.uint64,) * 2
+        names = ("row", "first", "last", "place", "gram", "whole", "again")
+        kinds = (np.int64,) * 4 + (np.uint64,) * 3
         return Anchors(
             *[np.concatenate([getattr(p, n) for p in parts]) if parts else np.empty(0, k) for n, k in zip(names, kinds)]
         )
@@ -122,9 +128,8 @@ def parts(texts: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int
     return found
 
 
-def anchors_of(data: np.ndarray, pieces: list[tuple[int, int, int, int]]) -> tuple[Anchors, Rolling, np.ndarray]:
-    """Anchors of one part, with first, last and place counted in the row; also the part's hashes, and what
-    to add to a place in a row to get the place in the part."""
+def anchors_of(data: np.ndarray, pieces: list[tuple[int, int, int, int]]) -> Anchors:
+    """Anchors of one part, with first, last and place counted in the row."""
     rolling = Rolling(data)
     grams = rolling.every(GRAM)
     # 40 bits of the hash, then the place: the least of these is the leftmost of the smallest
@@ -145,10 +150,12 @@ def anchors_of(data: np.ndarray, pieces: list[tuple[int, int, int, int]]) -> tup
     place = minima[firsts]
     shape = ((place - firsts) << 32 | (lasts - firsts)).astype(np.uint64)
     whole = mixed(rolling.at(firsts, lasts + LENGTH) ^ mixed(shape))
+    gram = grams[place]
+    del rolling, grams, keyed, minima, change
+    again = mixed(Rolling(data, 1).at(firsts, lasts + LENGTH) ^ mixed(~shape))
     shift = start[of] - offset[of]
-    found = Anchors(row[of], firsts - shift, lasts - shift, place - shift, grams[place], whole)
-    return found, rolling, shift
+    return Anchors(row[of], firsts - shift, lasts - shift, place - shift, gram, whole, again)
 
 
 def find(texts: list[bytes]) -> Anchors:
-    return Anchors.join([anchors_of(data, pieces)[0] for data, pieces in parts(texts)])
+    return Anchors.join([anchors_of(data, pieces) for data, pieces in parts(texts)])

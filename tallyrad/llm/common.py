@@ -74,20 +74,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = tuple(state)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: like `cut`, but compressed and prunable."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; nothing is there yet."""
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: like `cut`, but compressed and prunable."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """`df` as a table bucketed by `key`, so that joins on the key leave these rows where they are."""
+    """`df` in the shared folder, bucketed by `key`, so that joins on the key leave these rows where they are.
+
+    There are at least two buckets for each partition that `df` is read in, so buckets stay as small as those.
+    """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(name)
+    df.repartition(n, key).write.option("path", shared_folder(spark)).bucketBy(n, key).saveAsTable(name)
     return spark.table(name)

@@ -1,9 +1,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import types as T
 
-from tallyrad.llm import anchors, repeats
+from tallyrad.llm import anchors, repeats, transforms
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("row", T.StringType())]
@@ -44,7 +47,10 @@ def corpus(seed):
     return texts
 
 
-def test_same_as_brute_force(spark):
+@pytest.mark.parametrize("hot", [0, 2, repeats.HOT])
+def test_same_as_brute_force(spark, monkeypatch, hot):
+    """With a least count of 0 all undecided grams are hot, with 2 some are."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     for seed in (1, 2):
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], SCHEMA).repartition(5)
@@ -64,3 +70,71 @@ def test_long_texts_are_cut_into_overlapping_parts(monkeypatch):
     a = anchors.find([text, b"short", text[:650]])
     starts = sorted(s for row, lo, hi in zip(a.row, a.first, a.last) if row == 0 for s in range(lo, hi + 1))
     assert starts == list(range(5000 - 199))
+
+
+def test_a_common_gram_among_different_contexts(spark):
+    """One line stands in a third of the documents, each time among other words; some neighbours are shared."""
+    r = random.Random(4)
+    prose = lambda n: "".join(r.choice("abcdefg ") for _ in range(n))
+    line = "this very line of more than thirty-two bytes is everywhere"
+    sides = [prose(120) for _ in range(4)]
+    texts = [r.choice(sides) + line + r.choice(sides)[: r.randint(80, 120)] + prose(40) for _ in range(40)]
+    texts += [prose(150) + line + prose(150) for _ in range(40)] + [prose(300) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (bytes(r.kept), len(r.spans), sum(s.end - s.start for s in r.spans)) for r in repeats.without_repeats(docs).collect()}
+    assert [i for i, w in enumerate(brute(texts)) if got[i] != w] == []
+
+
+def rows_of(grams, wholes, agains):
+    n = len(grams)
+    columns = (np.array(grams), np.array(grams), np.array(wholes), np.array(agains), np.arange(n), *[np.zeros(n, int)] * 4)
+    return repeats._batch(tuple(c.astype(np.int64) for c in columns), repeats.CANDIDATE)
+
+
+def states(batches, most=repeats.HELD):
+    found = pa.Table.from_batches(repeats.streamed(iter(batches), most))
+    return dict(zip(found["row"].to_pylist(), found["state"].to_pylist()))
+
+
+def test_one_digest_that_collides_removes_nothing():
+    assert states([rows_of([5, 5, 6, 6, 7], [1, 1, 2, 2, 3], [8, 9, 4, 4, 1])]) == {
+        0: repeats.OPEN, 1: repeats.OPEN, 2: repeats.REPEATED, 3: repeats.REPEATED,
+    }
+
+
+def test_long_groups_are_let_go_content_by_content():
+    grams, wholes = [1] * 40 + [2] * 3 + [3] * 30, [1] + [2] * 20 + [3] * 19 + [1, 2, 2] + [9] * 30
+    whole = rows_of(grams, wholes, wholes)
+    want = states([whole])
+    assert want == states([whole.slice(i, 3) for i in range(0, len(grams), 3)], most=5)
+    assert want[0] == repeats.OPEN and want[1] == repeats.BOTH and want[2] == repeats.REPEATED
+
+
+def test_bytes_decide_where_grams_collide():
+    """All contexts in one block, as if all grams had one hash: the strings found are those that bytes repeat."""
+    r = random.Random(8)
+    base = bytes(r.randrange(97, 101) for _ in range(360))
+    contexts, low, high, place = [], [], [], []
+    for k in range(60):
+        data = bytearray(base)
+        for _ in range(r.randint(0, 2)):
+            data[r.randrange(360)] = 120
+        a, b = sorted((r.randint(0, 160), r.randint(0, 160)))
+        contexts.append(bytes(data[a : b + 200]))
+        low.append(a + k), high.append(b + k), place.append(165 + k)
+    low, high, place = map(np.array, (low, high, place))
+    found = {(row, p) for row, a, b in zip(*transforms.repeated_strings(np.zeros(60, int), contexts, low, high, place)) for p in range(a, b + 1)}
+    every = [(k, p, contexts[k][p - low[k] :][:200], place[k] - p) for k in range(60) for p in range(low[k], high[k] + 1)]
+    seen = Counter((s, d) for _, _, s, d in every)
+    assert found == {(k, p) for k, p, s, d in every if seen[s, d] > 1}
+
+
+def test_common_prefixes():
+    r = random.Random(9)
+    words = [bytes(r.choice(b"ab") for _ in range(16)) for _ in range(300)]
+    block = np.array([r.randrange(3) for _ in words])
+    order, common = transforms.interleaved(block, np.frombuffer(b"".join(words), np.uint8).reshape(-1, 16))
+    assert [(block[k], words[k]) for k in order] == sorted((b, w) for b, w in zip(block, words))
+    for before, now, n in zip(order, order[1:], common[1:]):
+        same = next((i for i in range(16) if words[before][i] != words[now][i]), 16)
+        assert n == (same if block[before] == block[now] else -1)
