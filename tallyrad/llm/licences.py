@@ -1,14 +1,16 @@
 """Licence texts and notices in documents, by Dice coefficient over word bigrams.
 
-What is compared is a document's whole text, each of its paragraphs and each of its lines, normalised to words
-in lower case. With a least coefficient t and a template of b distinct bigrams, a unit of fewer than
-t / (2 - t) * b or more than (2 - t) / t * b distinct bigrams can't reach t, so templates are asked only about
-units whose size is between these bounds.
+Texts are normalised to words in lower case, without copyright statements. Compared are all runs of neighbouring
+pieces, where pieces end at line and sentence ends: so single lines, sentences, paragraphs, several paragraphs and
+whole texts. With a least coefficient t and a template of b distinct bigrams, a run of fewer than t / (2 - t) * b
+or more than (2 - t) / t * b distinct bigrams can't reach t, nor can a text that holds under b * t / (2 - t) of
+the template's own. A run does best if its first and last piece touch the template.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +20,16 @@ from .licence_templates import TEMPLATES
 
 LEAST = 0.8
 
-_WORDS = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*").findall
-_PARAGRAPHS = re.compile(r"\n[^\S\n]*\n").split
-#: Copyright lines and years differ from copy to copy and aren't part of a licence.
-_VARIES = re.compile(r"^.*\bcopyright (?:\(c\)|©|\d{4}).*$", re.M)
+_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+#: What ends a piece, between two words.
+_END = re.compile(r"\n|[.;:!?][\"')]*\s")
+#: Who holds a copyright and since when differs from copy to copy and isn't part of a licence: up to the
+#: sentence's or the line's end, with the reservation of rights that often follows.
+_VARIES = re.compile(r"\bcopyright (?:\(c\)|©|\d{4}).*?(?:\.(?=\s)|$)(?:[^\S\n]*all rights reserved\.?)?", re.M)
 
 
 def bigrams(text: str) -> set[tuple[str, str]]:
-    words = _WORDS(text)
+    words = _WORD.findall(text)
     return set(zip(words, words[1:]))
 
 
@@ -33,74 +37,91 @@ def normalised(text: str) -> str:
     return _VARIES.sub("", text.lower())
 
 
+def pieces(text: str) -> tuple[list[str], list[int]]:
+    """Words of a normalised text, and the number of the piece that each is in."""
+    words, piece, now, at = [], [], 0, 0
+    for m in _WORD.finditer(text):
+        if words and _END.search(text, at, m.start()):
+            now += 1
+        words.append(m.group())
+        piece.append(now)
+        at = m.end()
+    return words, piece
+
+
 class Templates:
     def __init__(self, texts: dict[str, list[str]], least: float = LEAST):
         self.least = least
         self.sets = [(name, bigrams(normalised(t))) for name, variants in sorted(texts.items()) for t in variants]
-        self.words = {w for _, s in self.sets for pair in s for w in pair}
         self.bounds = [(least / (2 - least) * len(s), (2 - least) / least * len(s)) for _, s in self.sets]
-        self.low, self.high = min(a for a, _ in self.bounds), max(b for _, b in self.bounds)
-        #: A unit that reaches the least coefficient with a template shares a bigram with it.
-        self.starts = {pair for _, s in self.sets for pair in s}
-
-    def best(self, unit: str) -> tuple[str, float] | None:
-        """The template nearest to a normalised unit, if it is near enough; ties go to the first name."""
-        if len(unit) < 2 * self.low:
-            return None
-        own = bigrams(unit)
-        if not self.low <= len(own) <= self.high or own.isdisjoint(self.starts):
-            return None
-        found = None
-        for (name, theirs), (low, high) in zip(self.sets, self.bounds):
-            if low <= len(own) <= high:
-                dice = 2 * len(own & theirs) / (len(own) + len(theirs))
-                if dice >= self.least and (found is None or dice > found[1]):
-                    found = (name, dice)
-        return found
-
-    def scan(self, text: str) -> list[tuple[str, str, float]]:
-        """(licence, kind of unit, coefficient): for each licence the nearest unit, larger units first in ties."""
+        self.holders = defaultdict(list)
+        for k, (_, s) in enumerate(self.sets):
+            for pair in s:
+                self.holders[pair].append(k)
+
+    def scan(self, text: str) -> list[tuple[str, int, int, float]]:
+        """(licence, first word, words, coefficient): for each licence its nearest run of pieces; of equal ones
+        the longest, then the first. Words are counted in the normalised text."""
         text = normalised(text)
-        paragraphs = _PARAGRAPHS(text)
-        units = [("text", text)]
-        if len(paragraphs) > 1:
-            units += [("paragraph", p) for p in paragraphs]
-        if "\n" in text:
-            units += [("line", line) for line in text.split("\n")]
-        found: dict[str, tuple[str, float]] = {}
-        for kind, unit in units:
-            if (near := self.best(unit)) and (near[0] not in found or near[1] > found[near[0]][1]):
-                found[near[0]] = (kind, near[1])
-        return [(name, kind, dice) for name, (kind, dice) in sorted(found.items())]
+        words = _WORD.findall(text)
+        shared = self.holders.keys() & set(zip(words, words[1:]))
+        held = Counter(k for pair in shared for k in self.holders[pair])
+        likely = [k for k, n in held.items() if n >= self.bounds[k][0]]
+        if not likely:
+            return []
+        words, piece = pieces(text)
+        starts = [w for w in range(len(words)) if not w or piece[w] != piece[w - 1]] + [len(words)]
+        pairs = list(zip(words, words[1:]))
+        found: dict[str, tuple[float, int, int]] = {}
+        for k in likely:
+            name = self.sets[k][0]
+            for run in self.runs(k, pairs, piece, starts):
+                found[name] = max(found.get(name, run), run)
+        return [(name, -first, n, dice) for name, (dice, n, first) in sorted(found.items())]
+
+    def runs(self, k: int, pairs: list, piece: list[int], starts: list[int]) -> Iterator[tuple[float, int, int]]:
+        """Coefficient, words and minus the first word of the runs near enough to a template."""
+        (_, theirs), (low, high) = self.sets[k], self.bounds[k]
+        touched = sorted({p for w, pair in enumerate(pairs) if pair in theirs for p in (piece[w], piece[w + 1])})
+        for n, first in enumerate(touched):
+            own, same, at = set(), 0, starts[first]
+            for last in touched[n:]:
+                for pair in pairs[at : starts[last + 1] - 1]:
+                    if pair not in own:
+                        own.add(pair)
+                        same += pair in theirs
+                at = max(at, starts[last + 1] - 1)
+                if len(own) > high:
+                    break
+                if len(own) >= low and (dice := 2 * same / (len(own) + len(theirs))) >= self.least:
+                    yield dice, starts[last + 1] - starts[first], -starts[first]
 
 
 def licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, licence, unit (text, paragraph or line) and dice for every licence found in a document.
+    """doc_id, licence, first_word, n_words and dice for every licence found in a document.
 
-    Null and empty texts give nothing; repeated rows are each reported; a licence that several units show is
-    reported once, with the nearest. Columns besides doc_id and text aren't read.
+    Null, empty and wordless texts give nothing; an empty table gives none; texts of any length are read whole;
+    repeated rows are each reported; a licence that several runs show is reported once, with the nearest (ties:
+    the longest, then the first). Columns besides doc_id and text, whatever their names, aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(shared.value, least)
         for batch in batches:
-            at, names, kinds, dices = [], [], [], []
+            at, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for name, kind, dice in known.scan(text) if text else ():
+                for row in known.scan(text) if text else ():
                     at.append(k)
-                    names.append(name)
-                    kinds.append(kind)
-                    dices.append(dice)
+                    rows.append(row)
+            name, first, n, dice = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(at, pa.int64())),
-                    pa.array(names, pa.string()),
-                    pa.array(kinds, pa.string()),
-                    pa.array(dices, pa.float64()),
+                    batch.column(0).take(pa.array(at, pa.int64())), pa.array(name, pa.string()),
+                    pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(dice, pa.float64()),
                 ],
-                ["doc_id", "licence", "unit", "dice"],
-            )
+                ["doc_id", "licence", "first_word", "n_words", "dice"],
+            )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, licence string, unit string, dice double")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, licence string, first_word long, n_words long, dice double"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrad.llm import bpe, common, decontamination, langid, licences, quality, queries, secrets, simhash, topk, toxicity
+from tallyrad.llm import bpe, common, decontamination, langid, quality, queries, secrets, simhash, topk, toxicity
 from tallyrad.llm.tokens import hashed_words
 
 SF = "/root/testdata/sf0.001"
@@ -42,7 +42,6 @@ def test_empty_tables(spark):
     assert bpe.encode(none, decoded=True).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert secrets.secret_scan(none).count() == 0 and secrets.redact(none).count() == 0
-    assert licences.licences(none).count() == 0
     assert decontamination.overlaps(none, bench).count() == 0
     assert decontamination.overlaps(frame(spark, ODD), bench).count() == 0
     assert quality.learn(none, labels) is None and toxicity.learn(none, labels) is None
@@ -177,35 +176,6 @@ def test_redaction(spark):
     assert rows[3].text == "[SECRET] é" and rows[0].findings is None and rows[0].score == "clash"
 
 
-def test_licences(spark):
-    mit = licences.TEMPLATES["MIT"][2]
-    texts = [
-        "Copyright (c) 2020 Someone\n\n" + mit, "words words\nReleased under the MIT License.\nmore", mit.replace("Software", "Program"),
-        "no licence here at all, just words", *ODD,
-    ]
-    got = defaultdict(dict)
-    for r in licences.licences(frame(spark, texts)).collect():
-        got[r.doc_id][r.licence] = (r.unit, round(r.dice, 6))
-    assert got[0]["MIT"] == ("text", 1.0) and got[1]["MIT"] == ("line", 1.0)
-    assert "MIT" in got[2] and got[2]["MIT"][1] < 1
-    assert set(got) == {0, 1, 2}
-
-
-def test_licence_bounds_lose_nothing():
-    known = licences.Templates(licences.TEMPLATES)
-    r = random.Random(4)
-    base = [t for texts in licences.TEMPLATES.values() for t in texts]
-    for _ in range(300):
-        words = licences.normalised(r.choice(base)).split()
-        unit = " ".join(w for w in words if r.random() > 0.1)
-        own = licences.bigrams(unit)
-        plain = [(2 * len(own & s) / (len(own) + len(s)), n) for n, s in known.sets if own or s]
-        best = max((d for d, _ in plain), default=0)
-        found = known.best(unit)
-        assert (found is None) == (best < known.least)
-        assert found is None or found[1] == best
-
-
 def test_decontamination(spark):
     r = random.Random(3)
     item, short = sentence(r, 30), sentence(r, 6)
