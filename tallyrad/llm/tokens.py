@@ -19,18 +19,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts in order, and the number of words of each text."""
-    raw = [(t or "").lower().encode() for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    inside = _WORD[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+#: Bytes hashed at once; longer texts are taken slice by slice, between words.
+SLICE = 1 << 22
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word of some bytes."""
+    edge = np.diff(_WORD[data].astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    counts = np.diff(np.searchsorted(start, bounds))
     if not len(start):
-        return np.empty(0, np.uint64), counts
+        return start, np.empty(0, np.uint64)
     place = np.arange(len(data)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(data)]])))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * _POWER[place & 255], out=sums[1:])
-    return mixed(sums[end] - sums[start]), counts
+    return start, mixed(sums[end] - sums[start])
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts in order, and the number of words of each text."""
+    raw = [(t or "").lower().encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        stop = min(at + SLICE, len(data))
+        while stop < len(data) and _WORD[data[stop - 1]]:  # a slice ends after a byte between words
+            stop += 1
+        start, code = _hashed(data[at:stop])
+        starts.append(start + at)
+        hashes.append(code)
+        at = stop
+    start = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.diff(np.searchsorted(start, bounds))

@@ -13,8 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrad.llm import bpe, common, decontamination, langid, quality, queries, secrets, simhash, topk, toxicity
-from tallyrad.llm.tokens import hashed_words
+from tallyrad.llm import bpe, common, langid, quality, queries, secrets, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType(
@@ -38,12 +37,9 @@ def sentence(r, n=30):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    bench = spark.createDataFrame([], "item_id long, text string")
     assert bpe.encode(none, decoded=True).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert secrets.secret_scan(none).count() == 0 and secrets.redact(none).count() == 0
-    assert decontamination.overlaps(none, bench).count() == 0
-    assert decontamination.overlaps(frame(spark, ODD), bench).count() == 0
     assert quality.learn(none, labels) is None and toxicity.learn(none, labels) is None
     assert quality.classify(none, None).count() == 0 and toxicity.score(none, None).count() == 0
     model = langid.learn(none.select("doc_id", "text", F.col("score").alias("lang")))
@@ -176,64 +172,6 @@ def test_redaction(spark):
     assert rows[3].text == "[SECRET] é" and rows[0].findings is None and rows[0].score == "clash"
 
 
-def test_decontamination(spark):
-    r = random.Random(3)
-    item, short = sentence(r, 30), sentence(r, 6)
-    words = item.split()
-    changed = list(words)
-    for k in range(4, 30, 6):
-        changed[k] = "zzz"
-    half = " ".join(words[:10])
-    texts = [
-        sentence(r) + " " + item.upper() + ". " + sentence(r), sentence(r) + " " + " ".join(changed), "x " + half + " " + sentence(r),
-        "begin " + short + " end", sentence(r), item, item, *ODD,
-    ]
-    bench = spark.createDataFrame([(1, item, "x"), (2, short, "x"), (3, None, "x"), (4, "", "x"), (5, "a b c", "x")], "item_id long, text string, doc_id string")
-    rows = decontamination.overlaps(frame(spark, texts), bench).collect()
-    got = {(x.doc_id, x.item_id): (x.first_word, x.n_words, x.n_matches) for x in rows}
-    assert set(got) == {(0, 1), (1, 1), (3, 2), (5, 1), (6, 1)}
-    assert got[0, 1] == (30, 30, 30) and got[3, 2] == (1, 6, 6) and got[1, 1][2] == 25 - 0 or got[1, 1][2] >= 20
-
-
-def test_every_pair_of_substitutions_is_found():
-    r = random.Random(6)
-    words = sentence(r, 13).split()
-    index = decontamination.Index([1], [" ".join(words)])
-    for a, b in combinations(range(13), 2):
-        text = " ".join("zz" if k in (a, b) else w for k, w in enumerate(words))
-        assert len(index.hits(*hashed_words([f"q {text} q"]))) >= 1
-    blocks = decontamination.BLOCK_BYTES
-    assert blocks > 0
-
-
-def test_every_placement_of_substitutions_is_reported():
-    r = random.Random(16)
-    for size, changes in [(5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 1), (13, 2), (14, 2), (15, 3), (16, 3), (17, 3)]:
-        words = [f"w{k}" for k in range(size)]
-        index = decontamination.Index([1], [" ".join(words)])
-        places = list(combinations(range(size), changes))
-        texts = [" ".join(["q", *("zz" if k in p else w for k, w in enumerate(words)), "q"]) for p in places]
-        assert len(index.verified(*hashed_words(texts))) == len(places), (size, changes)
-        worse = [" ".join("zz" if k in p else w for k, w in enumerate(words)) for p in combinations(range(size), size // 5 + 1)]
-        least, found = min(size, decontamination.OVERLAP), {x[0]: x for x in index.verified(*hashed_words(worse))}
-        for d in r.sample(range(len(worse)), min(len(worse), 200)):
-            same = [w != "zz" for w in worse[d].split()]
-            spans = [(a, n) for n in range(least, size + 1) for a in range(size - n + 1) if sum(same[a : a + n]) >= 0.8 * n]
-            assert (d in found) == bool(spans)
-            assert d not in found or (found[d][2], found[d][3]) in spans and found[d][4] == sum(same[found[d][2] : found[d][2] + found[d][3]])
-
-
-def test_decontamination_in_blocks(spark, monkeypatch):
-    r = random.Random(8)
-    items = [sentence(r, 20) for _ in range(12)]
-    docs = frame(spark, [f"{sentence(r, 5)} {x}" for x in items])
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    want = {(i, i) for i in range(12)}
-    assert {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs, bench).collect()} == want
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 300)
-    assert {(x.doc_id, x.item_id) for x in decontamination.overlaps(docs, bench).collect()} == want
-
-
 def held(ids, modulus):
     return np.array([zlib.crc32(str(i).encode()) % modulus for i in ids])
 
