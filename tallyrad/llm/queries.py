@@ -58,8 +58,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def ledger_path(spark: SparkSession) -> str | None:
+    """The folder of the ledger of secret scans, from the session's setting spark.tallyrad.secrets.ledger; without
+    it a scan begins with an empty ledger."""
+    return spark.conf.get("spark.tallyrad.secrets.ledger", None)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_scan(documents(spark, sf_dir, "doc_id", "text"))
+    found = secrets.secret_scan(documents(spark, sf_dir, "doc_id", "text"), ledger_path(spark))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long")
     spans = secrets.joined(F.col("findings"))
     return found.select(

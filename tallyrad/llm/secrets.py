@@ -1,17 +1,20 @@
 """Secret scans over a ledger of blobs, all in DataFrame functions.
 
-A blob is a text's content, named by its SHA-256. The ledger says which blob was scanned under which version
-of the rules. A scan takes every historical version of every document, keeps one row of each blob, scans only
-those that the ledger lacks under the present version, and joins the findings back to all rows with that
-content.
+A blob is a text's content, named by its SHA-256. The ledger is a table in a folder; it says which blob was scanned
+under which version of the rules, and what was found. A scan takes every historical version of every document, keeps
+one row of each blob, scans only those that the ledger lacks under the present version, adds them to the ledger, and
+joins the findings back to all rows with that content. The next run with the same folder scans only what is new.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shared_folder
 
 #: Kind, pattern (group 2 or 0 is the secret), least length of that group, cheap test that a match needs.
 #: Fixed values; letters that stand for both cases are written as classes, which no engine folds further.
@@ -29,37 +32,66 @@ RULES = [
 RULES_VERSION = "2"
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = f"blob string, rules_version string, findings {SPAN}"
+#: Matches of a text that are added up together, so that the work grows with their number and not its square.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of a rule's matches in code points: what stands between the matches says where they are."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     secret = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.arrays_zip(whole.alias("whole"), secret.alias("secret"), between.alias("gap"))
-    start = F.aggregate(
-        F.slice(pieces, 1, F.size(whole)),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")),
-        lambda seen, x: F.struct(
-            (seen["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("at"),
-            F.when(
-                F.length(x["secret"]) >= least,
-                F.concat(
-                    seen["found"],
-                    F.array(
-                        F.struct(
-                            F.lit(kind).alias("kind"),
-                            (seen["at"] + F.length(x["gap"])).alias("start"),
-                            (seen["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(seen["found"])
-            .alias("found"),
+    between = F.split(text, pattern, -1)
+    pieces = F.transform(
+        F.filter(F.arrays_zip(whole.alias("whole"), secret.alias("secret"), between.alias("gap")), lambda x: x["whole"].isNotNull()),
+        lambda x: F.struct(
+            F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("width"), (F.length(x["secret"]) >= least).alias("good")
         ),
-    )["found"]
-    return F.when(text.rlike(pattern), start).otherwise(F.array().cast(SPAN))
+    )
+
+    def chunks(p: Column) -> Column:
+        last = F.floor((F.size(p) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(p, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def starts(c: Column) -> Column:
+        """Where each chunk begins."""
+        sums = F.transform(c, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x["gap"] + x["width"]))
+        return F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")),
+        )["seen"]
+
+    def spans(p: Column, at: Column) -> Column:
+        return F.aggregate(
+            p,
+            F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")),
+            lambda s, x: let(
+                s["at"] + x["gap"],
+                lambda start: F.struct(
+                    (start + x["width"]).alias("at"),
+                    F.when(
+                        x["good"],
+                        F.concat(
+                            s["found"],
+                            F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["width"]).alias("end"))),
+                        ),
+                    )
+                    .otherwise(s["found"])
+                    .alias("found"),
+                ),
+            ),
+        )["found"]
+
+    found = let(
+        pieces, lambda p: let(chunks(p), lambda c: let(starts(c), lambda at: F.flatten(F.transform(c, lambda x, i: spans(x, at[i])))))
+    )
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def scan(blobs: DataFrame, text: str = "text", into: str = "findings") -> DataFrame:
@@ -83,38 +115,56 @@ def versions(docs: DataFrame, path: str = "doc_id") -> DataFrame:
 def unseen(history: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> DataFrame:
     """One row (blob, text) of each blob that the ledger (blob, rules_version, ...) lacks under this version.
 
-    Only ids and digests are compared; texts are shuffled once, by content, and one of each is kept.
+    Digests are compared first, without texts; then only texts of unseen blobs are dealt out by content, one of each
+    from every partition.
     """
     if ledger is not None:
         done = ledger.where(F.col("rules_version") == version).select("blob")
-        history = history.join(done, "blob", "left_anti")
+        fresh = history.select("blob").distinct().join(done, "blob", "left_anti")
+        history = history.join(fresh, "blob", "left_semi")
     return history.select("blob", "text").dropDuplicates(["blob"])
 
 
 def update(history: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> DataFrame:
-    """New ledger rows: blob, rules_version, findings. A caller appends them to the stored ledger."""
+    """New ledger rows: blob, rules_version, findings."""
     return scan(unseen(history, ledger, version)).select("blob", F.lit(version).alias("rules_version"), "findings")
 
 
-def findings(history: DataFrame, ledger: DataFrame, version: str = RULES_VERSION) -> DataFrame:
-    """path, blob and findings of every row of the history, from a ledger that has all its blobs."""
-    now = ledger.where(F.col("rules_version") == version).select("blob", "findings")
-    return history.select("path", "blob").join(now, "blob", "left")
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, None if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, blob and findings (array of kind, start, end in code points, end exclusive) for every row.
+def brought_up_to_date(history: DataFrame, path: str | None = None, version: str = RULES_VERSION) -> DataFrame:
+    """blob and findings of all blobs of a history, after the ledger in the folder `path` got the rows it lacked.
 
-    Null and empty texts have no findings; repeated rows and copies are scanned once and each keep their
-    row. Without a ledger every blob is unseen. Other columns are neither read nor returned.
+    Without a path the ledger begins empty, in a new folder of the shared one. New rows are written before they are
+    used, so blobs are scanned once. Two runs at a time may both add a blob; one row of it is used.
+    """
+    spark = history.sparkSession
+    path = path or shared_folder(spark)
+    update(history, read_ledger(spark, path), version).write.mode("append").parquet(path)
+    ledger = read_ledger(spark, path)
+    return ledger.where(F.col("rules_version") == version).select("blob", "findings").dropDuplicates(["blob"])
 
-    New ledger rows are written before they are joined back: blobs are scanned once, and both sides of the join
-    are plain shuffles, so that Spark can split the rows of a blob that very many paths share.
+
+def secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, blob and findings (array of kind, start, end in code points, end exclusive) for every row.
+
+    Null and empty texts have no findings; texts of any length are scanned whole; repeated rows and copies are
+    scanned once and each keep their row, rows without a doc_id too; an empty table gives none. Matches of one kind
+    never overlap; of kinds that start together the first rule's comes first. Other columns, whatever their names,
+    are neither read nor returned. Both sides of the last join are plain shuffles, so that Spark can split the rows
+    of a blob that very many rows share.
     """
     history = versions(docs.select("doc_id", "text"))
-    fresh = stored(update(history, ledger))
-    known = fresh if ledger is None else ledger.select("blob", "rules_version", "findings").unionByName(fresh)
-    return findings(history, known).withColumnRenamed("path", "doc_id")
+    known = brought_up_to_date(history, path)
+    return history.select("path", "blob").join(known, "blob", "left").withColumnRenamed("path", "doc_id")
 
 
 def joined(spans: Column) -> Column:
@@ -124,24 +174,29 @@ def joined(spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The rows with every finding in `text` replaced by a mark; all columns stay, in order.
 
-    Findings that overlap are replaced by one mark. Null texts stay null.
+    Findings come from the ledger (see secret_scan), by blob. Those that overlap are replaced by one mark. Null texts
+    stay null; repeated rows stay; an empty table gives none; columns with the names used here aren't touched.
     """
-    own, spans = "redact: text", "redact: findings"
-    found = scan(docs.withColumn(own, F.coalesce("text", F.lit(""))), own, spans)
-    text = F.col(own)
+    blob, spans = "redact: blob", "redact: findings"
+    known = brought_up_to_date(versions(docs.withColumn("redact: no id", F.lit(None)), "redact: no id"), path)
+    known = known.where(F.size("findings") > 0).select(F.col("blob").alias(blob), F.col("findings").alias(spans))
+    found = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(known, blob, "left")
+    text = F.col("text")
     pieces = F.aggregate(
         F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda seen, s: F.when(
             s["start"] >= seen["at"],
             F.struct(
                 s["end"].alias("at"),
-                F.concat(seen["out"], F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit(mark)).alias("out"),
+                F.concat(
+                    seen["out"], F.array(F.substring(text, seen["at"] + 1, s["start"] - seen["at"]), F.lit(mark))
+                ).alias("out"),
             ),
         ).otherwise(F.struct(F.greatest(seen["at"], s["end"]).alias("at"), seen["out"].alias("out"))),
     )
-    clean = F.concat(pieces["out"], F.substring(text, pieces["at"] + 1, F.length(text)))
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = let(pieces, lambda p: F.concat(F.array_join(p["out"], ""), F.substring(text, p["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.col(spans).isNotNull(), clean).otherwise(text)).select(*docs.columns)
