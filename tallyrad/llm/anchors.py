@@ -17,7 +17,7 @@ GRAM = 32
 WIDTH = LENGTH - GRAM + 1
 
 #: Bytes handled at once. Longer documents are cut into parts that overlap by LENGTH - 1 bytes.
-PART = 1 << 21
+PART = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))

@@ -36,7 +36,7 @@ HOT = 8192
 #: Rows merged at once, and rows of one gram that step 1 holds.
 MERGED, HELD = 16_384, 16_384
 #: Anchors of which contexts are cut at once.
-CUT = 20_000
+CUT = 5_000
 
 CANDIDATE = "deal long, gram long, whole long, again long, row long, low int, high int, place int, state int"
 DECIDED = "gram long, row long, low int, high int, place int, state int"
