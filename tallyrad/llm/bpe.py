@@ -1,7 +1,7 @@
 """Byte-pair encoding with exact merges in linear time, and decoding through an offset table.
 
 The encoder walks a piece of text from left to right. An Aho-Corasick automaton over the vocabulary gives
-the longest token at every position. A token is taken if it may stand next to the one before it, that is
+the longest token at the positions it reaches. A token is taken if it may stand next to the one before it, that is
 if merging both pieces by rank would have left this boundary alone; otherwise the next shorter token that
 starts here is tried, and when none is left the walk steps back by one token. A bit for each position
 remembers dead ends, so that no position is left twice and the work stays linear. The sequence found is
@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import byte_parts
+
 #: Fixed value: the pattern by which byte-level vocabularies of this family split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -146,7 +148,10 @@ class Codec:
             return [piece[0]]
         characters, path, longest = piece.decode("latin-1"), self.automaton.longest_prefix, self.longest
         sizes, compatible, fits = self.sizes, self.compatible.get, self.fits
-        tokens, closed, at, token = [], set(), 0, longest[characters[: path(characters[: self.widest])]]
+        # one pass of the automaton gives the longest token at every place that greedy steps reach; where steps go
+        # elsewhere, the longest token is looked up from there
+        greedy = {end + 1 - sizes[token]: token for end, token in self.automaton.iter_long(characters)}
+        tokens, closed, at, token = [], set(), 0, greedy[0]
         while True:
             end = at + sizes[token]
             if tokens and (may := compatible(tokens[-1] << 32 | token)) is None:
@@ -156,8 +161,9 @@ class Codec:
                 if end == n:
                     return tokens
                 at = end
-                rest = characters[at : at + self.widest]
-                token = longest[rest[: path(rest)]]
+                if (token := greedy.get(at)) is None:
+                    rest = characters[at : at + self.widest]
+                    token = longest[rest[: path(rest)]]
             elif (token := self.shorter[token]) < 0:
                 closed.add(at)
                 token = tokens.pop()
@@ -229,14 +235,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False
     `decoded` also the text that the ids give back.
 
     Null and empty texts have no ids. Texts of any length are encoded whole; rows, repeated ones too, are
-    kept as they are. Columns other than doc_id and text are neither read nor returned.
+    kept as they are; an empty table gives none; a text has one right encoding, so there are no ties. Columns
+    other than doc_id and text, whatever their names, are neither read nor returned.
     """
     shared = _shared(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in byte_parts(batch, 1):
                 ids = [codec.encode(t or "") for t in part.column(1).to_pylist()]
                 columns = [part.column(0), pa.array(ids, pa.binary())]
                 if decoded:
