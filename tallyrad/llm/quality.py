@@ -13,14 +13,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
+from .common import byte_parts
 from .lines import features
 
 #: Labelled documents that the field is fitted on, on average; chosen by a hash of the id.
 SAMPLE = 2400
+#: Bytes that a document of a sample has at most, so that what comes to the driver is bounded; longer ones are
+#: scored like all others and only not learnt from.
+LONGEST = 100_000
 STEPS = 250
-#: Documents whose lines are handled at once.
-PART = 500
+#: Documents of a sample whose lines are handled at once.
+PART = 250
 
 
 def with_neighbours(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -72,7 +77,7 @@ class Chains:
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS, ridge: float = 1e-3) -> dict:
     """The field that makes the labels of all lines (each its document's) likeliest, by gradient steps."""
-    parts = [features(texts[i : i + PART // 2]) for i in range(0, len(texts), PART // 2)]
+    parts = [features(texts[i : i + PART]) for i in range(0, len(texts), PART)]
     table, counts = (np.concatenate([part[k] for part in parts]) for k in (0, 2))
     mean, scale = table.mean(axis=0), table.std(axis=0) + 1e-6
     mean[0], scale[0] = 0, 1
@@ -119,14 +124,16 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, size: int) -> Data
     """About `size` documents with a label, half of each label where there are enough: doc_id, text, label.
 
     The sample is drawn from the labels, by a hash of the id, before texts are read, so what is broadcast has
-    about `size` rows whatever the corpus; of repeated labels of a document the highest counts.
+    about `size` rows whatever the corpus; of repeated labels of a document the highest counts, and of repeated
+    ids of documents the greatest text. Documents over LONGEST bytes aren't taken.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     share = F.coalesce(*[F.when(F.col(label) == k, size / 2 / n) for k, n in counts.items()], F.lit(0.0))
     chosen = rows.where(place < share)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.max("text").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
@@ -136,25 +143,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | No
     return fit(rows["text"].tolist(), rows["quality"].astype(int).tolist()) if len(rows) else None
 
 
-def classify(docs: DataFrame, model: dict | None) -> DataFrame:
-    """The rows of `docs` with score, a double from 0 to 1; columns besides doc_id and text pass unread.
+def classify(docs: DataFrame, model: dict | None, into: str = "score") -> DataFrame:
+    """The rows of `docs` with a score, a double from 0 to 1, in a column named `into`; columns besides doc_id and
+    text pass unread, and one that is named `into` is replaced.
 
-    Null and empty texts are one empty line and get that line's score. Without a model every score is 0.5.
-    Texts of any length are scored whole; repeated rows stay. A column that is named score is replaced.
+    Null and empty texts are one empty line and get that line's score. Without a model every score is 0.5. Texts of
+    any length are scored whole; repeated rows stay and score alike, so there are no ties to break; an empty table
+    gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score")
+    kept = docs.drop(into)
     place = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
+            for part in byte_parts(batch, place):
                 texts = part.column(place).to_pylist()
                 found = np.full(len(texts), 0.5) if shared.value is None else quality(texts, shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found)], [*part.schema.names, "score"]
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, into])
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("score", DoubleType()))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields]).add(into, DoubleType()))
