@@ -1,15 +1,15 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a tree of byte contexts up to three bytes deep. A byte costs the bits of its share in the
-longest context that has been seen before it; where that context never saw the byte, the bits of an escape
-are paid and the next shorter context is asked, down to a uniform code. Escapes follow method C: a context
-gives as many counts to the escape as it has different successors. Counts are learnt once and then frozen, so
-a text's exact code length is a sum over its bytes, and the language with the shortest code wins.
+Each language has a tree of byte contexts of variable order, up to ORDER bytes deep: below the first two levels a
+context is kept only if it was seen at least TWICE times, so common contexts are long and rare ones short. A byte
+costs the bits of its share in the longest kept context before it; where that context never saw the byte, the bits
+of an escape are paid and the next shorter context is asked, down to a uniform code over all 256 bytes. Escapes
+follow method C: a context gives as many counts to the escape as it has different successors. Counts are learnt
+once and then frozen, so a text's exact code length is a sum over its bytes, and the shortest code wins.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,26 +19,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each language that the trees are learnt from, on average; chosen by a hash of the id.
+from .common import byte_parts
+
+#: Documents of each language that the trees are learnt from, on average, chosen by a hash of the id; longer ones
+#: than LONGEST bytes aren't learnt from. Together these bound what comes to the driver.
 SAMPLE = 400
-#: Symbols of the alphabet: the most frequent bytes, and one for all others (which then cost 8 bits more).
-SYMBOLS = 48
-DEPTH = 3
-#: Bytes scored at once.
-PART = 1 << 20
+LONGEST = 100_000
+#: Bytes of the deepest contexts, and how often a context of three bytes or more must have been seen.
+ORDER = 4
+TWICE = 2
+#: Bytes scored at once; longer texts go piece by piece, each with the context before it.
+PART = 1 << 18
+#: What stands before the first byte of a text.
+START = b" " * ORDER
 
-_LETTER = re.compile(rb"[A-Za-z]").search
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
-_models: dict[str, np.ndarray] = {}
+_models: dict[str, list] = {}
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct stretches of ORDER + 1 bytes of all texts, as integers, and how often each occurs."""
+    found = []
+    for text in texts:
+        data = _LOWER[np.frombuffer(START + text.encode(), np.uint8)].astype(np.int64)
+        if len(data) > ORDER:
+            found.append(sum(data[k : len(data) - ORDER + k] << 8 * (ORDER - k) for k in range(ORDER + 1)))
+    return np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """Counts of four-byte grams for each language: languages, alphabet, grams and counts.
+    """Counts of stretches of ORDER + 1 bytes for each language: languages, lang, gram and n.
 
-    labelled: doc_id, text, lang. The sample holds about `sample` whole documents of each language; what comes
-    to the driver is bounded by the alphabet and the number of languages, not by the corpus.
+    labelled: doc_id, text, lang. The sample holds about `sample` whole documents of each language; rows without a
+    doc_id, text or language aren't learnt from.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", "text", "lang").where(F.octet_length("text") <= LONGEST)
     sizes = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     chosen = rows.join(F.broadcast(sizes), "lang").where(place < F.col("share")).select("lang", "text")
@@ -46,93 +62,120 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                data = _LOWER[np.frombuffer("".join("   " + t for t in texts).encode(), np.uint8)].astype(np.int64)
-                packed = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
-                gram, n = np.unique(packed, return_counts=True)
+                gram, n = grams_of(texts.tolist())
                 yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
 
     counts = (
         chosen.mapInPandas(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ).toPandas()
     languages = sorted(counts["lang"].unique())
-    total = np.bincount(counts["gram"].to_numpy(np.int64) & 255, counts["n"], 256) if len(counts) else np.zeros(256)
-    alphabet = np.zeros(256, np.int64)
-    for k, byte in enumerate(sorted(np.argsort(-total, kind="stable")[: SYMBOLS - 1])):
-        alphabet[byte] = k + 1
     return {
         "key": uuid.uuid4().hex,
         "languages": languages,
-        "alphabet": alphabet,
         "lang": np.searchsorted(languages, counts["lang"]) if len(counts) else np.empty(0, np.int64),
         "gram": counts["gram"].to_numpy(np.int64),
-        "n": counts["n"].to_numpy(np.float64),
+        "n": counts["n"].to_numpy(np.int64),
     }
 
 
-def code_lengths(model: dict) -> np.ndarray:
-    """Bits of every symbol after every context of three, for each language: (SYMBOLS**4, languages)."""
-    a, names = SYMBOLS, model["languages"]
-    g, alphabet = model["gram"], model["alphabet"]
-    s = [alphabet[g >> shift & 255] for shift in (24, 16, 8, 0)]
-    table = np.empty((a**4, len(names)), np.float32)
-    for k in range(len(names)):
-        own = model["lang"] == k
-        cost = np.full(a, np.log2(a))
-        for depth in range(DEPTH + 1):
-            index = np.zeros(own.sum(), np.int64)
-            for part in s[3 - depth :]:
-                index = index * a + part[own]
-            n = np.bincount(index, model["n"][own], a ** (depth + 1)).reshape(-1, a)
-            different, all_ = (n > 0).sum(axis=1, keepdims=True), n.sum(axis=1, keepdims=True)
-            if depth:  # the context one shorter lacks the first symbol
-                cost = np.tile(cost.reshape(-1, a), (a, 1)) if depth > 1 else np.tile(cost, (a, 1))
-            else:
-                cost = cost.reshape(1, a)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(different > 0, -np.log2(different / (all_ + different)), 0.0)
-                cost = np.where(n > 0, -np.log2(n / (all_ + different)), escape + cost)
-        cost[:, 0] += 8
-        table[:, k] = cost.ravel()
-    return table
-
-
-def scores(texts: list[bytes], alphabet: np.ndarray, table: np.ndarray) -> np.ndarray:
+class Lookup:
+    """Values by integer key: slots by a multiplicative hash; keys whose slot is taken are searched for in order."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        slot = self.slots(keys)
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.value = np.zeros(1 << self.bits, np.float32)
+        self.key[slot], self.value[slot] = keys, values
+        rest = self.key[slot] != keys
+        order = np.argsort(keys[rest])
+        self.more, self.more_values = keys[rest][order], values[rest][order].astype(np.float32)
+        self.crowded = np.zeros(1 << self.bits, bool)
+        self.crowded[slot[rest]] = True
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none), and whether each key is there."""
+        slot = self.slots(keys)
+        there = self.key[slot] == keys
+        value = np.where(there, self.value[slot], np.float32(0))
+        if len(self.more):
+            left = np.flatnonzero(~there & self.crowded[slot])
+            at = np.minimum(np.searchsorted(self.more, keys[left]), len(self.more) - 1)
+            found = self.more[at] == keys[left]
+            there[left[found]], value[left[found]] = True, self.more_values[at[found]]
+        return value, there
+
+
+class Tree:
+    """One language's contexts: for each order, the bits of every byte seen in each kept context, and of escapes."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.costs, self.escapes = [], []
+        for order in range(ORDER + 1):
+            own, at = np.unique(gram & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+            count = np.bincount(at, n, len(own)) if len(own) else np.empty(0)
+            context, of = np.unique(own >> 8, return_inverse=True)
+            total = np.bincount(of, count, len(context)) if len(own) else np.empty(0)
+            different = np.bincount(of, minlength=len(context))
+            kept = total >= (TWICE if order > 2 else 1)
+            whole = total + different
+            seen = kept[of] if len(own) else np.empty(0, bool)
+            self.costs.append(Lookup(own[seen], np.log2(whole[of][seen] / count[seen])))
+            self.escapes.append(Lookup(context[kept], np.log2(whole[kept] / different[kept])))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each stretch of ORDER + 1 bytes, given those before it."""
+        total, left = np.zeros(len(gram), np.float32), np.arange(len(gram))
+        for order in range(ORDER, -1, -1):
+            key = gram[left] & (1 << 8 * (order + 1)) - 1
+            cost, there = self.costs[order].get(key)
+            total[left] += cost
+            left, key = left[~there], key[~there]
+            if not len(left):
+                return total
+            total[left] += self.escapes[order].get(key >> 8)[0]
+        total[left] += 8
+        return total
+
+
+def trees(model: dict) -> list[Tree]:
+    return [Tree(model["gram"][own], model["n"][own]) for own in (model["lang"] == k for k in range(len(model["languages"])))]
+
+
+def code_lengths(texts: list[bytes], known: list[Tree]) -> np.ndarray:
     """Bits of each text under each language: (texts, languages)."""
-    bits = np.zeros((len(texts), table.shape[1]))
-
-    def add(data: bytes, starts: list[int], rows: list[int]) -> None:
-        """Each of the pieces that begin at starts has DEPTH bytes of context at its front."""
-        x = alphabet[_LOWER[np.frombuffer(data, np.uint8)]].astype(np.int32)
-        index = ((x[:-3] * SYMBOLS + x[1:-2]) * SYMBOLS + x[2:-1]) * SYMBOLS + x[3:]
-        cost = table[index]
-        for at in starts[1:]:  # codes that would cross from one piece into the next one's context
-            cost[at - DEPTH : at] = 0
-        bits[rows] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
-
-    held, starts, rows, size = [], [], [], 0
+    bits = np.zeros((len(texts), len(known)))
+
+    def add(pieces: list[tuple[int, bytes]]) -> None:
+        """Each piece has ORDER bytes of context at its front."""
+        sizes = np.array([len(p) - ORDER for _, p in pieces])
+        data = _LOWER[np.frombuffer(b"".join(p for _, p in pieces), np.uint8)].astype(np.int64)
+        gram = sum(data[k : len(data) - ORDER + k] << 8 * (ORDER - k) for k in range(ORDER + 1))
+        starts = np.cumsum(sizes + ORDER) - sizes - ORDER
+        own = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        gram, row = gram[own], np.repeat([r for r, _ in pieces], sizes)
+        for k, tree in enumerate(known):
+            bits[:, k] += np.bincount(row, tree.bits(gram), len(texts))
+
+    held, size = [], 0
     for row, text in enumerate(texts):
-        if len(text) > PART:
-            padded = b"   " + text
-            for at in range(0, len(text), PART):
-                piece = padded[at : at + PART + DEPTH]
-                add(piece, [0], [row])
-            continue
-        if not text:
-            continue
-        if size + len(text) + DEPTH > PART and held:
-            add(b"".join(held), starts, rows)
-            held, starts, rows, size = [], [], [], 0
-        starts.append(size)
-        rows.append(row)
-        held.append(b"   " + text)
-        size += len(text) + DEPTH
+        padded = START + text
+        for at in range(0, len(text), PART):
+            held.append((row, padded[at : at + PART + ORDER]))
+            size += len(held[-1][1])
+            if size >= PART:
+                add(held)
+                held, size = [], 0
     if held:
-        add(b"".join(held), starts, rows)
+        add(held)
     return bits
 
 
 def has_letter(text: str) -> bool:
-    return bool(_LETTER(text.encode())) or any(c.isalpha() for c in text)
+    return any(map(str.isalpha, text))
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -140,7 +183,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     equally likely before: 2 to the minus code length, divided by the sum over languages.
 
     Null texts and texts without a letter are `und` with score 0, and so are all if nothing was learnt. Equal
-    lengths go to the name that sorts first. Texts of any length are scored whole; repeated rows stay.
+    lengths go to the name that sorts first. Texts of any length are scored whole; repeated rows stay, and rows
+    without a doc_id; an empty table gives none. Columns besides doc_id and text, whatever their names, aren't read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -148,20 +192,20 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         names, key = shared.value["languages"], shared.value["key"]
         if key not in _models:
             _models.clear()
-            _models[key] = code_lengths(shared.value)
-        table = _models[key]
+            _models[key] = trees(shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            good = [k for k, t in enumerate(texts) if names and t and has_letter(t)]
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if good:
-                bits = scores([texts[k].encode() for k in good], shared.value["alphabet"], table)
-                best = bits.argmin(axis=1)
-                pred[good] = np.array(names, object)[best]
-                score[good] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
-            )
+            for part in byte_parts(batch, 1):
+                texts = part.column(1).to_pylist()
+                good = [k for k, t in enumerate(texts) if names and t and has_letter(t)]
+                pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+                if good:
+                    bits = code_lengths([texts[k].encode() for k in good], _models[key])
+                    best = bits.argmin(axis=1)
+                    pred[good] = np.array(names, object)[best]
+                    score[good] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
+                )
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double"
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrad.llm import bpe, common, langid, quality, queries, secrets, simhash, topk, toxicity
+from tallyrad.llm import bpe, common, quality, queries, secrets, simhash, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType(
@@ -42,8 +42,6 @@ def test_empty_tables(spark):
     assert secrets.secret_scan(none).count() == 0 and secrets.redact(none).count() == 0
     assert quality.learn(none, labels) is None and toxicity.learn(none, labels) is None
     assert quality.classify(none, None).count() == 0 and toxicity.score(none, None).count() == 0
-    model = langid.learn(none.select("doc_id", "text", F.col("score").alias("lang")))
-    assert {r.lang_pred for r in langid.identify(frame(spark, ODD), model).collect()} == {"und"}
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -259,36 +257,6 @@ def test_string_kernel_by_enumeration():
             assert kernel[a, b] == pytest.approx(want, abs=1e-6)
 
 
-def test_languages(spark):
-    got = queries.op8_langid(spark, "/root/testdata/sf0.01").toPandas()
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
-    assert ((held(got.doc_id, 3) == 1) == got.held_out).all()
-    both = got.merge(docs, on="doc_id").query("held_out")
-    assert (both.lang_pred == both.lang).mean() > 0.95
-    model = langid.learn(spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(5)] + [(9, "le chat noir est la", "fr")], "doc_id long, text string, lang string"))
-    rows = {x.doc_id: x for x in langid.identify(frame(spark, [*ODD, "123 456", "the mat"]), model).collect()}
-    assert rows[0].lang_pred == rows[1].lang_pred == rows[len(ODD)].lang_pred == "und" and rows[0].score == 0
-    assert rows[len(ODD) + 1].lang_pred == "en" and all(0 <= x.score <= 1 for x in rows.values())
-
-
-def test_code_lengths_are_distributions():
-    grams = {b"   a": 3, b"  ab": 2, b" abc": 2, b"abca": 1}
-    alphabet = np.zeros(256, np.int64)
-    for k, b in enumerate(b" abc"):
-        alphabet[b] = k + 1
-    packed = np.array([int.from_bytes(g, "big") for g in grams])
-    model = {"languages": ["x"], "alphabet": alphabet, "lang": np.zeros(4, np.int64), "gram": packed, "n": np.array(list(grams.values()), float)}
-    table = langid.code_lengths(model)
-    text = b"abca"
-    padded = alphabet[np.frombuffer(b"   " + text, np.uint8)]
-    want = sum(table[((padded[i - 3] * 48 + padded[i - 2]) * 48 + padded[i - 1]) * 48 + padded[i], 0] for i in range(3, 7))
-    assert langid.scores([text, b"", text], alphabet, table)[:, 0] == pytest.approx([want, 0, want], rel=1e-5)
-    # method C without exclusion leaves some probability unused and never gives more than one
-    rows = table.reshape(-1, 48).copy()
-    rows[:, 0] -= 8
-    assert (np.exp2(-rows.astype(float)).sum(axis=1) < 1 + 1e-4).all()
-
-
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 40)
     monkeypatch.setattr(topk, "QUERIES", 3)
