@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrad.llm import bpe, common, quality, queries, secrets, simhash, topk, toxicity
+from tallyrad.llm import bpe, common, quality, queries, secrets, simhash, topk
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType(
@@ -36,12 +36,11 @@ def sentence(r, n=30):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
     assert bpe.encode(none, decoded=True).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert secrets.secret_scan(none).count() == 0 and secrets.redact(none).count() == 0
-    assert quality.learn(none, labels) is None and toxicity.learn(none, labels) is None
-    assert quality.classify(none, None).count() == 0 and toxicity.score(none, None).count() == 0
+    assert quality.learn(none, labels) is None and quality.classify(none, None).count() == 0
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -231,30 +230,6 @@ def test_odd_texts_get_scores(spark):
     model = quality.fit(texts, labels, steps=60)
     rows = quality.classify(frame(spark, ODD), model).collect()
     assert len(rows) == len(ODD) and all(0 <= x.score <= 1 for x in rows)
-    machine = toxicity.fit(texts[:40] + [t + " you idiot" for t in texts[:40]], [0] * 40 + [1] * 40)
-    found = {x.doc_id: x.score for x in toxicity.score(frame(spark, ODD + ["what an i-diot", "such id_iots"]), machine).collect()}
-    assert all(0 <= s <= 1 for s in found.values()) and found[4] > 0.5 and found[0] < 0.5 and found[3] < 0.5
-    assert found[len(ODD)] > found[3]
-
-
-def test_string_kernel_by_enumeration():
-    table, _ = toxicity.windows_of(["stupid", "stxupid", "plain"])
-    space = toxicity.Nystroem(table)
-    kernel = space.kernel(table)
-
-    def features(word):
-        found = defaultdict(float)
-        for i, j, k in combinations(range(min(len(word), 8)), 3):
-            if k - i <= toxicity.SPREAD:
-                found[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
-        return found
-
-    for a, x in enumerate(["stupid", "stxupid", "plain"]):
-        for b, y in enumerate(["stupid", "stxupid", "plain"]):
-            f, g = features(x), features(y)
-            norm = lambda w: sum(toxicity.DECAY ** (2 * (k - i - 2)) for i, _, k in combinations(range(min(len(w), 8)), 3) if k - i <= toxicity.SPREAD) ** 0.5
-            want = sum(v * g[s] for s, v in f.items()) / norm(x) / norm(y)
-            assert kernel[a, b] == pytest.approx(want, abs=1e-6)
 
 
 def test_top_k(spark, monkeypatch):
