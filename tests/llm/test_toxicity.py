@@ -45,10 +45,10 @@ def test_other_scripts_have_letters():
 
 
 def test_kernel_by_enumeration():
-    words = ["stupid", "stxupid", "plain", "id-iot", "1d10t"]
+    words = ["stupid", "stxpid", "plain", "id-iot", "1d10t"]
     table, _ = toxicity.windows(*toxicity.letters_of(words))
     kernel = toxicity.Nystroem(table).kernel(table)
-    plain = ["stupid", "stxupid", "plain", "idiot", "idiot"]
+    plain = ["^stupid$", "^stxpid$", "^plain$", "^idiot$", "^idiot$"]
 
     def features(word):
         found = defaultdict(float)
