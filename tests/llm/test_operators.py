@@ -259,25 +259,6 @@ def test_top_k_of_one_dimension_and_ties(spark):
     assert len(rows) == 10 and {x.score for x in rows} == {1024 * 1024}
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    docs = common.table(spark, SF, "documents")
-    now, columns = docs, docs.columns
-    for k, (name, stage) in enumerate(p.STAGES):
-        before, now = now, common.stored(stage(spark, now, SF))
-        if k < 4:
-            assert now.columns == columns, name
-            assert now.join(before, "doc_id", "left_anti").count() == 0
-    assert now.columns == ["doc_id", "n_tokens", "token_ids"]
-    kept = {r.doc_id for r in now.collect()}
-    labels = {r.doc_id: r.quality for r in common.table(spark, SF, "labels").collect()}
-    assert sum(labels[d] == 0 for d in kept if d in labels) <= 0.05 * len(kept)
-    first = now.orderBy("doc_id").first()
-    assert first.n_tokens * 4 == len(first.token_ids)
-    assert p.run(spark, SF).count() == len(kept)
-
-
 def test_digests(spark):
     rows = queries.op4_bpe(spark, SF).orderBy("doc_id").limit(3).collect()
     texts = {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
