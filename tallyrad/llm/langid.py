@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching (PPM).
 
 Each language has a tree of byte contexts of variable order, up to ORDER bytes deep: below the first two levels a
-context is kept only if it was seen at least TWICE times, so common contexts are long and rare ones short. A byte
+context is kept only if it was seen at least SEEN times, so common contexts are long and rare ones short. A byte
 costs the bits of its share in the longest kept context before it; where that context never saw the byte, the bits
 of an escape are paid and the next shorter context is asked, down to a uniform code over all 256 bytes. Escapes
 follow method C: a context gives as many counts to the escape as it has different successors. Counts are learnt
@@ -23,13 +23,13 @@ from .common import byte_parts
 
 #: Documents of each language that the trees are learnt from, on average, chosen by a hash of the id; longer ones
 #: than LONGEST bytes aren't learnt from. Together these bound what comes to the driver.
-SAMPLE = 400
+SAMPLE = 300
 LONGEST = 100_000
 #: Bytes of the deepest contexts, and how often a context of three bytes or more must have been seen.
 ORDER = 4
-TWICE = 2
+SEEN = 3
 #: Bytes scored at once; longer texts go piece by piece, each with the context before it.
-PART = 1 << 18
+PART = 1 << 19
 #: What stands before the first byte of a text.
 START = b" " * ORDER
 
@@ -79,30 +79,29 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 class Lookup:
-    """Values by integer key: slots by a multiplicative hash; keys whose slot is taken are searched for in order."""
+    """Values by integer key: slots by a multiplicative hash say where in the keys to look; keys whose slot is taken
+    are searched for in order."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         slot = self.slots(keys)
-        self.key = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.zeros(1 << self.bits, np.float32)
-        self.key[slot], self.value[slot] = keys, values
-        rest = self.key[slot] != keys
-        order = np.argsort(keys[rest])
-        self.more, self.more_values = keys[rest][order], values[rest][order].astype(np.float32)
-        self.crowded = np.zeros(1 << self.bits, bool)
-        self.crowded[slot[rest]] = True
+        self.slot = np.full(1 << self.bits, len(keys), np.int32)
+        self.slot[slot] = np.arange(len(keys))
+        self.key, self.value = np.append(keys, -1), np.append(values, 0).astype(np.float32)
+        taken = self.slot[slot] != np.arange(len(keys))
+        order = np.argsort(keys[taken])
+        self.more, self.more_values = keys[taken][order], self.value[:-1][taken][order]
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where there is none), and whether each key is there."""
-        slot = self.slots(keys)
-        there = self.key[slot] == keys
-        value = np.where(there, self.value[slot], np.float32(0))
+        at = self.slot[self.slots(keys)]
+        there = self.key[at] == keys
+        value = np.where(there, self.value[at], np.float32(0))
         if len(self.more):
-            left = np.flatnonzero(~there & self.crowded[slot])
+            left = np.flatnonzero(~there & (at < len(self.key) - 1))
             at = np.minimum(np.searchsorted(self.more, keys[left]), len(self.more) - 1)
             found = self.more[at] == keys[left]
             there[left[found]], value[left[found]] = True, self.more_values[at[found]]
@@ -120,7 +119,7 @@ class Tree:
             context, of = np.unique(own >> 8, return_inverse=True)
             total = np.bincount(of, count, len(context)) if len(own) else np.empty(0)
             different = np.bincount(of, minlength=len(context))
-            kept = total >= (TWICE if order > 2 else 1)
+            kept = total >= (SEEN if order > 2 else 1)
             whole = total + different
             seen = kept[of] if len(own) else np.empty(0, bool)
             self.costs.append(Lookup(own[seen], np.log2(whole[of][seen] / count[seen])))
@@ -156,9 +155,10 @@ def code_lengths(texts: list[bytes], known: list[Tree]) -> np.ndarray:
         gram = sum(data[k : len(data) - ORDER + k] << 8 * (ORDER - k) for k in range(ORDER + 1))
         starts = np.cumsum(sizes + ORDER) - sizes - ORDER
         own = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        gram, row = gram[own], np.repeat([r for r, _ in pieces], sizes)
+        gram, which = np.unique(gram[own], return_inverse=True)
+        row = np.repeat([r for r, _ in pieces], sizes)
         for k, tree in enumerate(known):
-            bits[:, k] += np.bincount(row, tree.bits(gram), len(texts))
+            bits[:, k] += np.bincount(row, tree.bits(gram)[which], len(texts))
 
     held, size = [], 0
     for row, text in enumerate(texts):

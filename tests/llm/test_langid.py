@@ -23,7 +23,7 @@ def plain_bits(text, corpus):
         for i in range(langid.ORDER, len(data)):
             for order in range(langid.ORDER + 1):
                 counts[data[i - order : i]][data[i]] += 1
-    kept = {c: seen for c, seen in counts.items() if len(c) <= 2 or sum(seen.values()) >= langid.TWICE}
+    kept = {c: seen for c, seen in counts.items() if len(c) <= 2 or sum(seen.values()) >= langid.SEEN}
     data, bits = langid.START + text.encode().lower(), 0.0
     for i in range(langid.ORDER, len(data)):
         for order in range(langid.ORDER, -1, -1):
