@@ -168,11 +168,11 @@ ORACLE_SQL: dict[str, str] = {
 WITH v AS (
   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ),
 s AS (
-  SELECT q.n, q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+  SELECT q.n, q.vec_id AS query_id, v.vec_id, CAST(CASE WHEN len(q.x) = 0 THEN 0 ELSE list_inner_product(q.x, v.x) END AS BIGINT) AS score
   FROM v AS q JOIN v ON q.n <> v.n AND len(q.x) = len(v.x) WHERE q.vec_id % 100 = 0
 ),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrad.llm import bpe, common, quality, queries, secrets, simhash, topk
+from tallyrad.llm import bpe, common, quality, queries, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType(
@@ -41,7 +41,6 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == 0
     assert secrets.secret_scan(none).count() == 0 and secrets.redact(none).count() == 0
     assert quality.learn(none, labels) is None and quality.classify(none, None).count() == 0
-    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_bpe_like_the_library_and_back(spark):
@@ -232,33 +231,6 @@ def test_odd_texts_get_scores(spark):
     assert len(rows) == len(ODD) and all(0 <= x.score <= 1 for x in rows)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 40)
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "LEAF", 5)
-    r = np.random.default_rng(2)
-    vectors = np.round(r.normal(size=(160, 6)) * (1 + r.integers(0, 3, (160, 1))), 2).astype(np.float32)
-    vectors[50:60] = vectors[3]
-    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
-    rows += [(500, None, "x"), (600, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (700, [float("nan")] * 6, "x"), (None, [1.0] * 6, "x"), (800, [], "x"), (900, [1.0, 2.0], "x")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = defaultdict(list)
-    for x in topk.top_k(df, every=20).orderBy("query_id", "rank").collect():
-        got[x.query_id].append((x.vec_id, x.score))
-    whole = np.floor(vectors.astype(float) * 1024).astype(np.int64)
-    for q in range(0, 160, 20):
-        scores = whole @ whole[q]
-        want = sorted(((-s, i) for i, s in enumerate(scores) if i != q))[:10]
-        assert got[q] == [(i, -s) for s, i in want]
-    assert set(got) == set(range(0, 160, 20))
-
-
-def test_top_k_of_one_dimension_and_ties(spark):
-    df = spark.createDataFrame([(i, [1.0]) for i in range(0, 5)] + [(0, [1.0])], "vec_id long, embedding array<float>")
-    rows = topk.top_k(df).orderBy("rank", "vec_id").collect()
-    assert len(rows) == 10 and {x.score for x in rows} == {1024 * 1024}
-
-
 def test_digests(spark):
     rows = queries.op4_bpe(spark, SF).orderBy("doc_id").limit(3).collect()
     texts = {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
