@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,21 +11,27 @@ from pyspark.sql import functions as F
 from . import terms
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def classify_modality(code: Column) -> Column:
     """Default modality of a billing code, by ranges in order."""
-    own = F.upper(F.trim(code))
-    number = F.regexp_extract(own, "^[0-9]+", 0).try_cast("int")
-    plain = (number % 2 == 0) | (number < 73200)
 
-    def inside(ranges: list[tuple[int, int]]) -> Column:
-        return reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in ranges])
+    def named(own: Column, number: Column) -> Column:
+        plain = (number % 2 == 0) | (number < 73200)
+        inside = lambda ranges: reduce(lambda a, b: a | b, [number.between(lo, hi) for lo, hi in ranges])
+        mammo = reduce(lambda a, b: a | b, [own.startswith(p) for p in terms.MAMMO_PREFIXES])
+        found = F.when(mammo, "MAMMO").when(own.rlike("^[A-Z]") | number.isNull(), "OTHER")
+        for name, ranges in terms.CODE_RANGES:
+            modality, _, only_plain = name.partition(" ")
+            found = found.when(inside(ranges) & plain if only_plain else inside(ranges), modality)
+        return found.otherwise("OTHER")
 
-    mammo = reduce(lambda a, b: a | b, [own.startswith(p) for p in terms.MAMMO_PREFIXES])
-    found = F.when(mammo, "MAMMO").when(own.rlike("^[A-Z]") | number.isNull(), "OTHER")
-    for name, ranges in terms.CODE_RANGES:
-        modality, _, only_plain = name.partition(" ")
-        found = found.when(inside(ranges) & plain if only_plain else inside(ranges), modality)
-    return found.otherwise("OTHER")
+    own = F.upper(F.trim(code))
+    both = F.struct(own.alias("own"), F.regexp_extract(own, "^[0-9]+", 0).try_cast("int").alias("number"))
+    return let(both, lambda x: named(x["own"], x["number"]))
 
 
 def numeric_cell(cell: Column) -> Column:
@@ -82,7 +89,11 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.lower(slug))
 
 
-def alias_confidence(base: Column, confirmed: Column, corrected: Column, rejected: Column) -> Column:
+def confidence_shift(confirmed: Column, corrected: Column, rejected: Column) -> Column:
+    """How far an alias's counts move its confidence."""
     up = F.least(F.lit(0.09), F.log10(confirmed + 1) * 0.035)
-    down = F.least(F.lit(0.25), corrected * 0.06 + rejected * 0.10)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.5), base + up - down))
+    return up - F.least(F.lit(0.25), corrected * 0.06 + rejected * 0.10)
+
+
+def alias_confidence(base: Column, confirmed: Column, corrected: Column, rejected: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.5), base + confidence_shift(confirmed, corrected, rejected)))

@@ -142,16 +142,21 @@ def description_facts(text: Column) -> Column:
     )
 
 
+def long_words(text: Column) -> Column:
+    """Different words longer than two characters."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), f"{WS}+"), lambda w: F.length(w) > 2))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of the words longer than two characters."""
-    x, y = (F.array_distinct(F.filter(F.split(F.lower(t), f"{WS}+"), lambda w: F.length(w) > 2)) for t in (a, b))
+    x, y = long_words(a), long_words(b)
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(
         F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
     )
 
 
-def radiology_score(title: Column, query: Column, description: Column, facts: Column) -> Column:
-    """0.40 modality, 0.30 parts, 0.20 contrast, 0.10 words."""
+def facts_score(query: Column, facts: Column) -> Column:
+    """0.40 modality, 0.30 parts, 0.20 contrast."""
     modality = (
         F.when(query["modality"].isNull() | facts["modality"].isNull(), 0.5)
         .when(query["modality"] == facts["modality"], 1.0)
@@ -171,7 +176,12 @@ def radiology_score(title: Column, query: Column, description: Column, facts: Co
         .when((query["contrast"] == both) | (facts["contrast"] == both), 0.7)
         .otherwise(0.1)
     )
-    total = modality * 0.40 + parts * 0.30 + contrast * 0.20 + jaccard(title, description) * 0.10
+    return modality * 0.40 + parts * 0.30 + contrast * 0.20
+
+
+def radiology_score(title: Column, query: Column, description: Column, facts: Column) -> Column:
+    """What both say, and 0.10 for their words."""
+    total = facts_score(query, facts) + jaccard(title, description) * 0.10
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
 
 

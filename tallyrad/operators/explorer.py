@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import let
+
 # Regions as ranges of codes; a code can be in several.
 REGIONS = [
     ("HEAD_NECK", [(70010, 70110), (70450, 70498), (70540, 70559), (76506, 76536)]),
@@ -108,9 +110,9 @@ def search_terms(query: str) -> list[str]:
     return [t for t in dict.fromkeys(terms) if t]
 
 
-def search_score(query: str) -> Column:
-    """200 for the code, 170 for its start, 130 and more for the text, 24 for each word and 30 for all words."""
-    hay = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "cpt_code", "description", "modality", "modifier")), "[^a-z0-9]+", " "))
+def search_score(query: str, hay: Column) -> Column:
+    """200 for the code, 170 for its start, 130 and more for the text, 24 for each word and 30 for all words.
+    hay: what a row says, in plain words."""
     code, scores = F.lower("cpt_code"), [F.lit(0)]
     for term in search_terms(query):
         words = term.split()
@@ -125,4 +127,5 @@ def search_score(query: str) -> Column:
 
 def search(rows: DataFrame, query: str) -> DataFrame:
     """Rows that match, best first, then by work units."""
-    return rows.withColumn("score", search_score(query)).where(F.col("score") > 0).orderBy(F.desc("score"), F.desc("work_rvu"), "cpt_code")
+    hay = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "cpt_code", "description", "modality", "modifier")), "[^a-z0-9]+", " "))
+    return rows.withColumn("score", let(hay, lambda h: search_score(query, h))).where(F.col("score") > 0).orderBy(F.desc("score"), F.desc("work_rvu"), "cpt_code")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import alias_confidence
+from ..functions.codes import confidence_shift
+
+
+#: Events of an alias that are folded in one array.
+SEGMENT = 512
+
+
+def _after(x, lo, hi, shift):
+    """What a step makes of a confidence: moved by shift, kept between lo and hi."""
+    return F.least(hi, F.greatest(lo, x + shift))
 
 
 def learn_aliases(events: DataFrame) -> DataFrame:
@@ -13,33 +22,53 @@ def learn_aliases(events: DataFrame) -> DataFrame:
 
     events: profile_id, site_id, alias_key, seq, action (confirm, correct, reject, manual_add), codes (the
     mapping as text, sorted). The first event makes the alias; each later one counts, and a changed mapping
-    lowers the confidence where the same one raises it. An alias's events are its reviewers' decisions, few
-    by nature, and are folded in one array.
+    lowers the confidence where the same one raises it. Counts are running sums. A step moves the confidence and
+    keeps it within bounds, and two such steps are one such step, so segments of an alias's events are folded
+    apart and then their results in order; no alias is gathered in one place.
     """
-    state = F.struct(
-        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("codes"),
-        F.lit(0).alias("confirmations"), F.lit(0).alias("corrections"), F.lit(0).alias("rejections"), F.lit(0).alias("used"),
+    keys = ["profile_id", "site_id", "alias_key"]
+    order = Window.partitionBy(*keys).orderBy("seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    now = events.withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("codes").over(order))
+    new, reject = F.col("place") == 1, F.col("action") == "reject"
+    changed = ~new & (F.col("before") != F.col("codes"))
+    tally = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(so_far).cast("int")
+    now = now.withColumns(
+        {
+            "changed": changed, "confirmations": tally(new | ~reject),
+            "corrections": tally(changed | (F.col("action") == "correct")), "rejections": tally(reject),
+        }
+    )
+    # where the alias begins the step forgets what was before: its bounds are one value
+    first = F.when(F.col("action").isin("manual_add", "correct"), 0.95).otherwise(0.90)
+    moved = confidence_shift(F.col("confirmations"), F.col("corrections"), F.col("rejections"))
+    step = F.struct(
+        F.when(new, first).otherwise(0.5).alias("lo"), F.when(new, first).otherwise(1.0).alias("hi"),
+        F.when(new, 0.0).otherwise(moved).alias("shift"), F.when(new, 0.0).when(F.col("changed"), -0.08).otherwise(0.015).alias("then"),
+        new.alias("new"),
     )
+    now = now.withColumn("step", step).withColumn("segment", F.floor((F.col("place") - 1) / SEGMENT))
 
-    def step(now, e):
-        new = now["codes"].isNull()
-        reject, correct = e["action"] == "reject", e["action"] == "correct"
-        changed = ~new & (now["codes"] != e["codes"])
-        confirmations = now["confirmations"] + F.when(new | ~reject, 1).otherwise(0)
-        corrections = now["corrections"] + F.when(changed | correct, 1).otherwise(0)
-        rejections = now["rejections"] + F.when(reject, 1).otherwise(0)
-        moved = alias_confidence(now["confidence"], confirmations, corrections, rejections) + F.when(changed, -0.08).otherwise(0.015)
-        first = F.when(e["action"].isin("manual_add", "correct"), 0.95).otherwise(0.90)
-        return F.struct(
-            F.when(new, first).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.5), moved))).alias("confidence"),
-            e["codes"].alias("codes"), confirmations.cast("int").alias("confirmations"),
-            corrections.cast("int").alias("corrections"), rejections.cast("int").alias("rejections"),
-            (now["used"] + 1).cast("int").alias("used"),
-        )
-
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action", "codes")))
-    folded = events.groupBy("profile_id", "site_id", "alias_key").agg(F.aggregate(ordered, state, step).alias("s"))
-    return folded.select("profile_id", "site_id", "alias_key", "s.*")
+    def joined(s, lo, hi, shift):
+        return F.struct(_after(s["lo"], lo, hi, shift).alias("lo"), _after(s["hi"], lo, hi, shift).alias("hi"), (s["shift"] + shift).alias("shift"))
+
+    def both(s, e):
+        """A step is two: the moved confidence, and the bonus or malus of the mapping; the first event has just one."""
+        one = joined(s, e["lo"], e["hi"], e["shift"])
+        return F.when(e["new"], one).otherwise(F.transform(F.array(one), lambda x: joined(x, F.lit(0.5), F.lit(1.0), e["then"]))[0])
+
+    same = F.struct(F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"), F.lit(0.0).alias("shift"))
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("place", "step"))), lambda x: x["step"])
+    last = F.max(F.struct("place", "codes", "confirmations", "corrections", "rejections")).alias("last")
+    parts = now.groupBy(*keys, "segment").agg(F.aggregate(inside, same, both).alias("fold"), last)
+    folds = F.transform(F.array_sort(F.collect_list(F.struct("segment", "fold"))), lambda x: x["fold"])
+    whole = parts.groupBy(*keys).agg(
+        F.aggregate(folds, same, lambda s, e: joined(s, e["lo"], e["hi"], e["shift"])).alias("fold"), F.max("last").alias("last")
+    )
+    return whole.select(
+        *keys, F.col("fold.lo").alias("confidence"), "last.codes", "last.confirmations", "last.corrections", "last.rejections",
+        F.col("last.place").alias("used"),
+    )
 
 
 def unknown_groups(logs: DataFrame, key: str) -> DataFrame:

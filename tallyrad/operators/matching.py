@@ -16,17 +16,9 @@ from ..functions.codes import alias_confidence, productive
 #: Confidence of each stage, and least scores.
 DIRECT, COMMON, EXACT, DICTIONARY, FUZZY_ALIAS, FUZZY_TEXT = 1.0, 0.99, 0.96, 0.94, 0.9, 0.92
 LEAST_ALIAS, LEAST_DESCRIPTION, LEAST_LIBRARY, LEAST_TOP = 0.5, 0.35, 0.20, 0.50
-#: A table may be broadcast up to so many rows; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
-
 FOUND = ["title", "stage", "seq", "cpt_code", "modifier", "description", "work_rvu", "confidence", "source"]
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the table is small enough for it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def title_keys(titles: DataFrame) -> DataFrame:
     """Everything that is derived from a title (column title), once for each distinct one."""
     now = titles.select("title").distinct().withColumn("radiology", T.radiology_title(F.col("title")))
@@ -44,8 +36,9 @@ def title_keys(titles: DataFrame) -> DataFrame:
 
 
 def fee_keys(cpt: DataFrame) -> DataFrame:
-    """Professional rows of the fee schedule with work units, and what their descriptions say."""
-    own = cpt.where(productive(F.col("modifier"), F.col("work_rvu")))
+    """Professional rows of the fee schedule with work units, and what their descriptions (missing: empty) say."""
+    cpt = cpt.withColumn("description", F.coalesce("description", F.lit("")))
+    own = cpt.where(productive(F.col("modifier"), F.col("work_rvu"))).withColumn("row", F.monotonically_increasing_id())
     own = own.withColumn("description_key", T.normalize_description(F.col("description")))
     own = own.withColumn("description_exam_key", T.normalize_exam_text(F.col("description_key")))
     return own.withColumn("facts", T.description_facts(F.col("description")))
@@ -62,7 +55,7 @@ def _rows(found: DataFrame, stage: int, source: str, confidence, seq="cpt_code")
 def direct(titles: DataFrame, fees: DataFrame) -> DataFrame:
     """A title that is a code."""
     own = titles.select("title", F.trim("title").alias("cpt_code")).where(F.col("cpt_code").rlike(r"^\d{5}$"))
-    return _rows(own.join(small(fees), "cpt_code"), 0, "direct code", F.lit(DIRECT))
+    return _rows(own.join(fees, "cpt_code"), 0, "direct code", F.lit(DIRECT))
 
 
 def common(titles: DataFrame, fees: DataFrame) -> DataFrame:
@@ -70,12 +63,12 @@ def common(titles: DataFrame, fees: DataFrame) -> DataFrame:
     known = titles.sparkSession.createDataFrame(terms.COMMON_CODES, "text string, codes array<string>")
     known = known.select(T.normalize_description(F.col("text")).alias("description_key"), F.posexplode("codes").alias("place", "cpt_code"))
     own = titles.select("title", "description_key").join(F.broadcast(known), "description_key")
-    return _rows(own.join(small(fees.drop("description_key")), "cpt_code"), 3, "common mapping", F.lit(COMMON), "place")
+    return _rows(own.join(fees.drop("description_key"), "cpt_code"), 3, "common mapping", F.lit(COMMON), "place")
 
 
 def exact_description(titles: DataFrame, fees: DataFrame) -> DataFrame:
     own = titles.select("title", "description_key").where(F.col("description_key") != "")
-    return _rows(own.join(small(fees), "description_key"), 4, "exact description", F.lit(EXACT))
+    return _rows(own.join(fees, "description_key"), 4, "exact description", F.lit(EXACT))
 
 
 def dictionary(titles: DataFrame, entries: DataFrame, fees: DataFrame) -> DataFrame:
@@ -83,10 +76,10 @@ def dictionary(titles: DataFrame, entries: DataFrame, fees: DataFrame) -> DataFr
     names = entries.select("id", "cpt_codes", F.explode("names").alias("name"))
     names = names.withColumn("exam_key", T.normalize_exam_text(F.col("name"))).where(F.col("exam_key") != "")
     first = names.groupBy("exam_key").agg(F.min_by("cpt_codes", "id").alias("cpt_codes"))
-    own = titles.select("title", "exam_key").join(small(first), "exam_key")
+    own = titles.select("title", "exam_key").join(first, "exam_key")
     own = own.select("title", F.posexplode("cpt_codes").alias("place", "code"))
     own = own.select("title", "place", F.split("code", "-")[0].alias("cpt_code"))
-    return _rows(own.join(small(fees), "cpt_code"), 2, "dictionary", F.lit(DICTIONARY), "place")
+    return _rows(own.join(fees, "cpt_code"), 2, "dictionary", F.lit(DICTIONARY), "place")
 
 
 def scoped_aliases(aliases: DataFrame, profile_id: int | None, site_id: int | None) -> DataFrame:
@@ -113,7 +106,7 @@ def _alias_codes(found: DataFrame, fees: DataFrame, stage: int, source: str) ->
     own = own.select(
         "title", "confidence", F.format_string("%06d.%03d", "place", "part").alias("place"), F.split("code", "-")[0].alias("cpt_code")
     )
-    return _rows(own.join(small(fees), "cpt_code"), stage, source, F.col("confidence"), "place")
+    return _rows(own.join(fees, "cpt_code"), stage, source, F.col("confidence"), "place")
 
 
 def exact_alias(titles: DataFrame, aliases: DataFrame, fees: DataFrame) -> DataFrame:
@@ -152,33 +145,75 @@ def fuzzy_alias(titles: DataFrame, aliases: DataFrame, fees: DataFrame, k: int)
     return _alias_codes(best, fees, 5, "fuzzy alias")
 
 
-def scored_descriptions(titles: DataFrame, fees: DataFrame) -> DataFrame:
-    """Scores of titles with all descriptions: radiology_score and text_score. A score can be high enough
-    without any shared word, so each title meets each distinct description, and the scores go back to all rows
-    that have it; descriptions are cut into blocks by a hash, and titles are few."""
-    texts = fees.select("description").distinct()
-    f = texts.withColumn("f_key", T.normalize_description(F.col("description")))
-    f = f.withColumn("f_exam", T.normalize_exam_text(F.col("f_key"))).withColumn("f_facts", T.description_facts(F.col("description")))
-    blocks = max(1, -(-texts.count() // BROADCAST_ROWS))
-    left = titles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = f.withColumn("block", F.pmod(F.xxhash64("description"), F.lit(blocks)).cast("int"))
-    both = left.join(small(right) if blocks == 1 else right, "block")
-    scored = both.withColumn(
-        "radiology_score", T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("description"), F.col("f_facts"))
-    ).withColumn("text_score", T.combined_similarity(F.col("description_exam_key"), F.col("f_exam")))
-    rows = fees.select("cpt_code", "modifier", F.col("description").alias("own"), "work_rvu")
-    return scored.join(rows, F.col("description").eqNullSafe(F.col("own"))).drop("own")
+def _texts(fees: DataFrame) -> DataFrame:
+    """Distinct descriptions with what is derived from them."""
+    return fees.dropDuplicates(["description"]).select(
+        "description", F.col("description_key").alias("f_key"), F.col("description_exam_key").alias("f_exam"), F.col("facts").alias("f_facts")
+    )
+
+
+def _word_pairs(titles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Titles and descriptions that share a word, or have equal keys, or both no long word."""
+    mark = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+
+    def marks(key: str, exam: str, text: str):
+        long = T.long_words(F.col(text))
+        none = F.when(F.size(long) == 0, F.array(F.lit("none"))).otherwise(mark("long:", long))
+        return F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("key:"), key)), mark("exam:", T.words(F.col(exam))), none))).alias("mark")
+
+    left = titles.select("title", marks("description_key", "description_exam_key", "radiology_title"))
+    right = texts.select("description", marks("f_key", "f_exam", "description"))
+    return left.join(right, "mark").select("title", "description").distinct()
 
 
 def fuzzy_description(titles: DataFrame, fees: DataFrame, k: int) -> DataFrame:
+    """Rows of the fee schedule by similarity of their descriptions, the best 3 k of each title.
+
+    A score counts from LEAST_DESCRIPTION on. Without a shared word it is what facts give (modality, parts and
+    contrast), as the text then gives 0.184 at most. So pairs with a shared word are scored one by one; of the others
+    a title needs only the first 3 k rows by the facts' score, which all titles with the same facts have in common.
+    Facts are few combinations of fixed words, however many rows there are.
+    """
+    n, texts = 3 * k, _texts(fees)
+    order = ["cpt_code", "description", "work_rvu", "row"]
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= n).drop("nth")
+    few = first(fees.select("row", "cpt_code", "modifier", "description", "work_rvu", F.to_json("facts").alias("has")), "description")
     exact = F.when(F.col("f_key") == F.col("description_key"), EXACT).otherwise(0.0)
-    scored = scored_descriptions(titles, fees).withColumn(
-        "confidence", F.greatest(exact, "radiology_score", F.col("text_score") * FUZZY_TEXT)
-    )
-    order = Window.partitionBy("title").orderBy(F.desc("confidence"), "cpt_code", "description", "work_rvu")
-    best = scored.where(F.col("confidence") >= LEAST_DESCRIPTION).withColumn("place", F.row_number().over(order))
-    best = best.where(F.col("place") <= 3 * k).withColumn("place", F.format_string("%06d", "place"))
-    return _rows(best, 6, "fuzzy description", F.col("confidence"), "place")
+    pairs = _word_pairs(titles, texts).join(titles.select("title", "radiology_title", "facts", "description_key", "description_exam_key"), "title")
+    pairs = pairs.join(texts, "description").withColumn(
+        "confidence",
+        F.greatest(
+            exact, T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("description"), F.col("f_facts")),
+            T.combined_similarity(F.col("description_exam_key"), F.col("f_exam")) * FUZZY_TEXT,
+        ),
+    )
+    near = pairs.where(F.col("confidence") >= LEAST_DESCRIPTION).select("title", "description", "confidence").join(few, "description")
+    asked = titles.select(F.to_json("facts").alias("asked"), "facts").dropDuplicates(["asked"])
+    kinds = texts.select(F.to_json("f_facts").alias("has"), "f_facts").dropDuplicates(["has"])
+    alike = asked.crossJoin(kinds).withColumn("confidence", T.facts_score(F.col("facts"), F.col("f_facts")))
+    alike = alike.where(F.col("confidence") >= LEAST_DESCRIPTION).select("asked", "has", "confidence").join(first(few, "has"), "has")
+    best = Window.partitionBy("asked").orderBy(F.desc("confidence"), *order)
+    alike = alike.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n).drop("nth")
+    far = titles.select("title", F.to_json("facts").alias("asked")).join(alike, "asked")
+    columns = ["title", "row", "cpt_code", "modifier", "description", "work_rvu"]
+    every = near.select(*columns, "confidence").unionByName(far.select(*columns, "confidence"))
+    every = every.groupBy(*columns).agg(F.max("confidence").alias("confidence"))
+    place = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("confidence"), *order))
+    every = every.withColumn("place", place).where(F.col("place") <= n).withColumn("place", F.format_string("%06d", "place"))
+    return _rows(every, 6, "fuzzy description", F.col("confidence"), "place")
+
+
+def scored_descriptions(titles: DataFrame, fees: DataFrame) -> DataFrame:
+    """Scores of typed titles, which are few, with all descriptions: radiology_score and text_score. The titles are
+    dealt out to all parts of the descriptions."""
+    texts = _texts(fees)
+    parts = F.lit(max(1, texts.sparkSession.sparkContext.defaultParallelism)).cast("int")
+    left = titles.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    both = left.join(texts.withColumn("part", F.pmod(F.xxhash64("description"), parts).cast("int")), "part")
+    scored = both.withColumn(
+        "radiology_score", T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("description"), F.col("f_facts"))
+    ).withColumn("text_score", T.combined_similarity(F.col("description_exam_key"), F.col("f_exam")))
+    return scored.drop("facts").join(fees.select("row", "cpt_code", "modifier", "description", "work_rvu"), "description")
 
 
 def candidates(
@@ -189,7 +224,7 @@ def candidates(
     A title that is a code has only that. Later stages count while earlier ones gave fewer than k rows. Of
     equal codes the first stays; nothing is returned for a title whose best confidence is under 0.5.
     """
-    keys, fees = title_keys(titles), fee_keys(cpt)
+    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()  # what all stages ask for
     stages = [direct(keys, fees), common(keys, fees), exact_description(keys, fees), fuzzy_description(keys, fees, k)]
     if aliases is not None:
         known = alias_keys(aliases)
@@ -216,7 +251,7 @@ def candidates(
 
 def library_search(titles: DataFrame, cpt: DataFrame, k: int = 8) -> DataFrame:
     """Search of the fee schedule: fixed and exact mappings first, then a blend of three similarities."""
-    keys, fees = title_keys(titles), fee_keys(cpt)
+    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()
     scored = scored_descriptions(keys, fees).withColumn("f_raw", T.normalize_exam_text(F.col("description")))
     raw = T.combined_similarity(F.col("exam_key"), F.col("f_raw"))
     many = F.size(F.split(F.trim("title"), r"\s+")) > 3

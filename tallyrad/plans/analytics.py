@@ -320,24 +320,15 @@ def descriptions(spark, sf_dir):
     return _titles(spark, sf_dir).select("title", T.normalize_description(F.col("title")).alias("description_key"))
 
 
-@query(
-    f"{PRE}, {_TITLES}, {_EXAM} SELECT a.title AS title_a, b.title AS title_b, "
-    f"round({sqltext.combined('a.exam_key', 'b.exam_key')}, 6) AS score FROM exam a JOIN exam b ON a.title < b.title AND left(a.title, 2) = left(b.title, 2)"
-)
-def title_similarity(spark, sf_dir):
-    keyed = _titles(spark, sf_dir).withColumn("exam_key", T.normalize_exam_text(F.col("title"))).withColumn("start", F.substring("title", 1, 2))
-    a = keyed.select("start", F.col("title").alias("title_a"), F.col("exam_key").alias("a"))
-    b = keyed.select("start", F.col("title").alias("title_b"), F.col("exam_key").alias("b"))
-    score = F.round(T.combined_similarity(F.col("a"), F.col("b")), 6)
-    return a.join(b, "start").where("title_a < title_b").select("title_a", "title_b", score.alias("score"))
-
-
 #: Titles are alike from this score on. Without a shared word a score is 0.2 at most.
 LEAST_ALIKE = 0.3
 
 
-@query()
-def title_similarity_of_all(spark, sf_dir):
+@query(
+    f"{PRE}, {_TITLES}, {_EXAM}, s AS (SELECT a.title AS title_a, b.title AS title_b, {sqltext.combined('a.exam_key', 'b.exam_key')} AS score FROM exam a JOIN exam b ON a.title < b.title) "
+    f"SELECT title_a, title_b, round(score, 6) AS score FROM s WHERE score >= {LEAST_ALIKE}"
+)
+def title_similarity(spark, sf_dir):
     """All pairs of titles that are alike, whatever they start with; pairs are found by shared words of their keys."""
     keyed = _titles(spark, sf_dir).withColumn("exam_key", T.normalize_exam_text(F.col("title")))
     words = keyed.select("title", "exam_key", F.explode(F.array_distinct(T.words(F.col("exam_key")))).alias("word"))
@@ -345,50 +336,53 @@ def title_similarity_of_all(spark, sf_dir):
     b = words.select("word", F.col("title").alias("title_b"), F.col("exam_key").alias("b"))
     pairs = a.join(b, "word").where("title_a < title_b").select("title_a", "title_b", "a", "b").distinct()
     score = T.combined_similarity(F.col("a"), F.col("b"))
-    return pairs.select("title_a", "title_b", F.round(score, 6).alias("score")).where(F.col("score") >= LEAST_ALIKE)
+    return pairs.withColumn("score", score).where(F.col("score") >= LEAST_ALIKE).select("title_a", "title_b", F.round("score", 6).alias("score"))
 
 
-_PRINTS = f"""{_TITLES}, {_EXAM},
-f AS MATERIALIZED (
+#: Logs with their fingerprints as table f, from a table of titles with exam_key.
+def prints(exam: str) -> str:
+    return f"""f AS MATERIALIZED (
   SELECT l.*, exam_key, CASE WHEN accession_number IS NOT NULL THEN 'acc:' || upper(accession_number)
     WHEN study_datetime IS NOT NULL THEN 'fp:' || exam_key || '|' || cpt_code || '|' || CAST(log_date AS VARCHAR) || '|' || strftime(study_datetime, '%H:%M')
     ELSE 'fp:' || exam_key || '|' || cpt_code || '|' || CAST(log_date AS VARCHAR) END AS fingerprint
-  FROM study_logs l JOIN exam ON exam.title = l.exam_name_raw)"""
+  FROM study_logs l JOIN {exam} ON {exam}.title = l.exam_name_raw)"""
 
 
-@query(f"{PRE}, {_PRINTS} SELECT id, fingerprint FROM f")
+PRINTS = f"{_TITLES}, {_EXAM},\n{prints('exam')}"
+
+
+@query(f"{PRE}, {PRINTS} SELECT id, fingerprint FROM f")
 def fingerprints(spark, sf_dir):
     return duplicates.with_fingerprint(fx.study_logs(spark, sf_dir)).select("id", "fingerprint")
 
 
-@query(f"{PRE}, {_PRINTS} SELECT id, id <> min(id) OVER (PARTITION BY fingerprint) AS batch_duplicate FROM f")
+@query(f"{PRE}, {PRINTS} SELECT id, id <> min(id) OVER (PARTITION BY fingerprint) AS batch_duplicate FROM f")
 def batch_repeats(spark, sf_dir):
     return duplicates.repeats_in_batch(duplicates.with_fingerprint(fx.study_logs(spark, sf_dir))).select("id", "batch_duplicate")
 
 
+_LATER = """
+w AS (SELECT * REPLACE (study_datetime + to_minutes(CAST(id % 20 AS INT)) AS study_datetime, CASE WHEN id % 3 <> 0 THEN accession_number END AS accession_number) FROM study_logs),
+c AS MATERIALIZED (SELECT w.*, exam_key, CASE WHEN accession_number IS NOT NULL THEN 'acc:' || upper(accession_number)
+    ELSE 'fp:' || exam_key || '|' || cpt_code || '|' || CAST(log_date AS VARCHAR) || '|' || strftime(study_datetime, '%H:%M') END AS fingerprint
+  FROM w JOIN exam ON exam.title = w.exam_name_raw)"""
+
+
 @query(
-    f"""{PRE}, {_PRINTS},
+    f"""{PRE}, {PRINTS}, {_LATER},
 p AS (
   SELECT c.id, g.id AS log_id, abs((hour(c.study_datetime) * 60 + minute(c.study_datetime)) - (hour(g.study_datetime) * 60 + minute(g.study_datetime))) AS apart,
     hour(c.study_datetime) * 60 + minute(c.study_datetime) = 0 OR hour(g.study_datetime) * 60 + minute(g.study_datetime) = 0 AS untimed,
     coalesce(c.accession_number = g.accession_number, false) AS same_number, c.fingerprint = g.fingerprint AS same_print, c.cpt_code = g.cpt_code AS same_code,
     CAST(len(list_filter(string_split(g.exam_key, ' '), lambda w: list_contains(string_split(c.exam_key, ' '), w))) AS DOUBLE)
       / greatest(1, least(len(list_distinct(string_split(c.exam_key, ' '))), len(string_split(g.exam_key, ' ')))) AS shared
-  FROM f c JOIN f g ON c.log_date = g.log_date AND c.id % 2 = 1 AND g.id % 2 = 0
-    AND (c.accession_number = g.accession_number OR c.fingerprint = g.fingerprint OR c.cpt_code = g.cpt_code)
+  FROM c JOIN f g ON c.log_date = g.log_date AND (c.accession_number = g.accession_number OR c.fingerprint = g.fingerprint OR c.cpt_code = g.cpt_code)
 ),
 t AS (SELECT id, log_id, CASE WHEN same_number OR same_print THEN 'exact' WHEN same_code AND apart <= 3 THEN 'very_likely'
     WHEN same_code AND apart <= 15 THEN 'possible' WHEN same_code AND untimed AND shared >= 0.7 THEN 'possible' END AS tier FROM p)
 SELECT id, min(log_id) AS log_id, arg_min(tier, log_id) AS tier FROM t WHERE tier IS NOT NULL GROUP BY 1"""
 )
 def duplicate_tiers(spark, sf_dir):
-    logs = duplicates.with_fingerprint(fx.study_logs(spark, sf_dir))
-    found = duplicates.duplicate_matches(logs.where("id % 2 = 1"), logs.where("id % 2 = 0"))
-    return found.select("id", "log_id", "tier")
-
-
-@query()
-def duplicate_tiers_of_all(spark, sf_dir):
     """All logs, taken a second time some minutes later and in part without their numbers, against all logs."""
     logs = fx.study_logs(spark, sf_dir)
     later = logs.withColumn("study_datetime", F.col("study_datetime") + F.make_dt_interval(mins=(F.col("id") % 20).cast("int")))
@@ -397,17 +391,6 @@ def duplicate_tiers_of_all(spark, sf_dir):
     return found.select("id", "log_id", "tier")
 
 
-@query()
-def match_candidates(spark, sf_dir):
-    """Staged matching of all titles; the fee schedule is the fixed mappings and the parts."""
-    return rounded(matching.candidates(_titles(spark, sf_dir), _schedule(spark, sf_dir), _aliases(spark)), 6)
-
-
-@query()
-def library_search(spark, sf_dir):
-    return rounded(matching.library_search(_titles(spark, sf_dir), _schedule(spark, sf_dir)), 6)
-
-
 SCHEDULE = [
     ("70450", "Ct head/brain w/o dye"), ("71260", "Ct thorax dx c+"), ("71250", "Ct thorax without contrast"),
     ("74177", "Ct abd & pelvis with contrast"), ("74176", "Ct abd & pelvis without contrast"),
@@ -419,6 +402,13 @@ SCHEDULE = [
 ]
 
 
+#: The same rows for DuckDB, as table fees after cpt_rvu.
+FIXED_FEES = f""", fees AS (
+  SELECT * FROM (VALUES {", ".join(f"('{code}', '26', '{text}', CAST({0.5 + k / 10!r} AS DOUBLE), 'A', '0')" for k, (code, text) in enumerate(SCHEDULE))})
+    AS v(cpt_code, modifier, description, work_rvu, status_code, pc_tc)
+  UNION ALL SELECT cpt_code, modifier, description, work_rvu, status_code, pc_tc FROM cpt_rvu)"""
+
+
 def _schedule(spark, sf_dir):
     """The fixed rows and all parts."""
     rows = [(code, "26", text, 0.5 + k / 10, "A", "0") for k, (code, text) in enumerate(SCHEDULE)]
@@ -427,19 +417,44 @@ def _schedule(spark, sf_dir):
     return fixed.unionByName(fx.cpt_rvu(spark, sf_dir).select(*fixed.columns))
 
 
+ALIASES = [
+    (1, 0, "ct angiogram head neck", ["70496-26", "70498-26"], 0.95, 4, 0, 0),
+    (2, 2, "mri lumbar spine without", ["72148-26"], 0.9, 1, 1, 0),
+    (3, 6, "ultrasound thyroid exam", ["76536-26"], 0.9, 2, 0, 1),
+]
+
+
 def _aliases(spark):
-    rows = [
-        (1, 0, "ct angiogram head neck", ["70496-26", "70498-26"], 0.95, 4, 0, 0),
-        (2, 2, "mri lumbar spine without", ["72148-26"], 0.9, 1, 1, 0),
-        (3, 6, "ultrasound thyroid exam", ["76536-26"], 0.9, 2, 0, 1),
-    ]
     return spark.createDataFrame(
-        rows,
+        ALIASES,
         "id int, scope int, alias_text string, cpt_codes array<string>, match_confidence double, confirmations int, corrections int, rejections int",
     )
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE e AS (
+  SELECT user_id % 5 AS profile_id, 'alias ' || CAST(event_id % 50 AS VARCHAR) AS alias_key, event_id AS seq,
+    CASE event_type WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'correct' ELSE 'confirm' END AS action,
+    CASE WHEN event_id % 13 = 0 THEN '71260-26' ELSE '71250-26' END AS codes
+  FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY profile_id, alias_key ORDER BY seq) AS place FROM e),
+fold AS (
+  SELECT profile_id, alias_key, place, codes, CAST(CASE WHEN action = 'correct' THEN 0.95 ELSE 0.90 END AS DOUBLE) AS confidence,
+    1 AS confirmations, CAST(action = 'correct' AS INT) AS corrections, CAST(action = 'reject' AS INT) AS rejections
+  FROM n WHERE place = 1
+  UNION ALL
+  SELECT profile_id, alias_key, place, codes,
+    greatest(0.5, least(1.0, greatest(0.5, least(1.0, base + least(0.09, log10(confirmations + 1) * 0.035) - least(0.25, corrections * 0.06 + rejections * 0.10)))
+      + CASE WHEN changed THEN -0.08 ELSE 0.015 END)), confirmations, corrections, rejections
+  FROM (
+    SELECT n.profile_id, n.alias_key, n.place, n.codes, fold.confidence AS base, n.codes <> fold.codes AS changed,
+      confirmations + CAST(action <> 'reject' AS INT) AS confirmations,
+      corrections + CAST(n.codes <> fold.codes OR action = 'correct' AS INT) AS corrections, rejections + CAST(action = 'reject' AS INT) AS rejections
+    FROM fold JOIN n ON n.profile_id = fold.profile_id AND n.alias_key = fold.alias_key AND n.place = fold.place + 1))
+SELECT profile_id, alias_key, round(confidence, 6) AS confidence, codes, confirmations, corrections, rejections, CAST(place AS INT) AS used
+FROM fold QUALIFY place = max(place) OVER (PARTITION BY profile_id, alias_key)"""
+)
 def alias_confidence_fold(spark, sf_dir):
     """Events as decisions on aliases, folded in order."""
     e = fx.table(spark, sf_dir, "events")
@@ -450,7 +465,7 @@ def alias_confidence_fold(spark, sf_dir):
         F.col("event_id").alias("seq"), action.alias("action"),
         F.when(F.col("event_id") % 13 == 0, "71260-26").otherwise("71250-26").alias("codes"),
     )
-    return rounded(learning.learn_aliases(events), 6)
+    return rounded(learning.learn_aliases(events).drop("site_id"), 6)
 
 
 @query(
@@ -475,9 +490,9 @@ def suggestions(spark, sf_dir):
 
 
 _HOSPITAL = """
-h AS (SELECT exam_name_raw AS exam_key, cpt_code, CASE WHEN id % 9 <> 0 THEN modifier END AS modifier,
-    work_rvu + CASE WHEN id % 4 = 0 THEN 0.5 ELSE 0 END AS work_rvu, id FROM study_logs WHERE id % 3 <> 0 AND log_date < DATE '2024-01-10'),
-l AS (SELECT id, exam_name_raw AS exam_key, cpt_code, modifier, work_rvu FROM study_logs WHERE id % 2 = 0 AND log_date < DATE '2024-01-10')"""
+h AS (SELECT exam_name_raw AS exam_key, CASE WHEN id % 5 = 0 THEN cpt_code || 'H' ELSE cpt_code END AS cpt_code, CASE WHEN id % 9 <> 0 THEN modifier END AS modifier,
+    work_rvu + CASE WHEN id % 4 = 0 THEN 0.5 ELSE 0 END AS work_rvu, id FROM study_logs),
+l AS (SELECT id, exam_name_raw AS exam_key, cpt_code, modifier, work_rvu FROM study_logs)"""
 
 
 @query(
@@ -493,25 +508,19 @@ UNION ALL SELECT exam_key || '|' || cpt_code, 'missing_hospital', NULL, NULL, mo
   WHERE exam_key || '|' || cpt_code NOT IN (SELECT exam_key || '|' || cpt_code FROM h)"""
 )
 def hospital_reconciliation(spark, sf_dir):
-    logs = fx.study_logs(spark, sf_dir).withColumn("exam_key", F.col("exam_name_raw")).where("log_date < '2024-01-10'")
-    hospital = logs.where("id % 3 <> 0").select(
-        "exam_key", "cpt_code", F.when(F.col("id") % 9 != 0, F.col("modifier")).alias("modifier"),
-        (F.col("work_rvu") + F.when(F.col("id") % 4 == 0, 0.5).otherwise(0.0)).alias("work_rvu"),
-    )
-    local = logs.where("id % 2 = 0").select("id", "exam_key", "cpt_code", "modifier", "work_rvu")
-    return rounded(reconcile.reconcile(hospital, local))
+    """All logs as a hospital reports them, with other codes, modifiers and work units in part, against all logs."""
+    hospital, logs = _hospital(spark, sf_dir)
+    return rounded(reconcile.reconcile(hospital, logs))
 
 
-@query()
-def hospital_reconciliation_of_all(spark, sf_dir):
-    """All logs as a hospital reports them, with other codes, modifiers and work units in part, against all logs."""
+def _hospital(spark, sf_dir):
     logs = fx.study_logs(spark, sf_dir).withColumn("exam_key", F.col("exam_name_raw"))
     hospital = logs.select(
         "exam_key", F.when(F.col("id") % 5 == 0, F.concat("cpt_code", F.lit("H"))).otherwise(F.col("cpt_code")).alias("cpt_code"),
         F.when(F.col("id") % 9 != 0, F.col("modifier")).alias("modifier"),
         (F.col("work_rvu") + F.when(F.col("id") % 4 == 0, 0.5).otherwise(0.0)).alias("work_rvu"),
     )
-    return rounded(reconcile.reconcile(hospital, logs.select("id", "exam_key", "cpt_code", "modifier", "work_rvu")))
+    return hospital, logs.select("id", "exam_key", "cpt_code", "modifier", "work_rvu")
 
 
 @query(PRE + "SELECT round(sum(coalesce(work_rvu, 0) * (1 + id % 3)), 2) AS wrvu, CAST(sum(1 + id % 3) AS BIGINT) AS studies FROM study_logs")
@@ -522,20 +531,16 @@ def hospital_totals(spark, sf_dir):
 
 @query(
     PRE
-    + """, a AS (SELECT session_id, log_date, match_method AS action FROM study_logs WHERE id % 97 = 0)
-SELECT l.id, coalesce((SELECT string_agg(DISTINCT action, ';' ORDER BY action) FROM a WHERE a.session_id = l.session_id OR a.log_date = l.log_date), '') AS actions
-FROM study_logs l WHERE l.id % 50 = 1"""
+    + """, a AS (SELECT session_id, log_date, match_method || CAST(id % 11 AS VARCHAR) AS action FROM study_logs),
+u AS (SELECT DISTINCT l.id, action FROM study_logs l JOIN (SELECT DISTINCT session_id, action FROM a) s USING (session_id)
+  UNION SELECT DISTINCT l.id, action FROM study_logs l JOIN (SELECT DISTINCT log_date, action FROM a) d USING (log_date))
+SELECT l.id, coalesce(string_agg(action, ';' ORDER BY action), '') AS actions FROM study_logs l LEFT JOIN u USING (id) GROUP BY 1"""
 )
 def audit_of_logs(spark, sf_dir):
+    """All logs against the audit of all logs."""
     logs = fx.study_logs(spark, sf_dir)
-    audit = logs.where("id % 97 = 0").select("session_id", "log_date", F.col("match_method").alias("action"))
-    return reconcile.audit_of_logs(logs.where("id % 50 = 1"), audit)
-
-
-@query()
-def audit_of_all_logs(spark, sf_dir):
-    logs = fx.study_logs(spark, sf_dir)
-    return reconcile.audit_of_logs(logs, logs.select("session_id", "log_date", F.col("match_method").alias("action")))
+    action = F.concat("match_method", (F.col("id") % 11).cast("string"))
+    return reconcile.audit_of_logs(logs, logs.select("session_id", "log_date", action.alias("action")))
 
 
 @query(

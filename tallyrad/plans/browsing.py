@@ -8,9 +8,9 @@ from ..functions import codes
 from ..functions import text as T
 from ..operators import duplicates, explorer, learning, matching, review, sessions, tables, totals
 from ..sources import readers
+from . import analytics, matchsql, sqltext
 from . import fixtures as fx
-from . import sqltext
-from .analytics import _schedule, query, rounded
+from .analytics import _TITLES, _aliases, _schedule, _titles, query, rounded
 from .fixtures import SQL as PRE
 
 
@@ -92,7 +92,13 @@ def professional_rows(spark, sf_dir):
     return explorer.professional_rows(_fees(spark, sf_dir)).select("cpt_code", "id", F.coalesce("modifier", F.lit("-")).alias("modifier"))
 
 
-@query()
+@query(
+    PRE + analytics.FIXED_FEES
+    + f""", f AS (SELECT *, {sqltext.modality('cpt_code')} AS modality FROM fees),
+h AS (SELECT *, trim(regexp_replace(lower(concat_ws(' ', cpt_code, description, modality, modifier)), '[^a-z0-9]+', ' ', 'g')) AS hay FROM f),
+s AS (SELECT cpt_code, description, {sqltext.search_score('stroke')} AS score FROM h)
+SELECT cpt_code, description, CAST(score AS INT) AS score FROM s WHERE score > 0"""
+)
 def explorer_search(spark, sf_dir):
     rows = _schedule(spark, sf_dir).withColumn("modality", codes.classify_modality(F.col("cpt_code")))
     rows = rows.withColumn("status", codes.status_category(F.col("status_code"))).withColumn("pc_tc", codes.pc_tc(F.col("pc_tc")))
@@ -101,29 +107,26 @@ def explorer_search(spark, sf_dir):
 
 @query(
     PRE
-    + """, s AS (SELECT * FROM cpt_rvu WHERE id % 3 <> 0), p AS (SELECT id, cpt_code, modifier, description,
-    work_rvu * CASE id % 4 WHEN 0 THEN 1.1 WHEN 1 THEN 1.01 ELSE 1 END AS work_rvu, status_code FROM cpt_rvu WHERE id % 5 <> 0),
-u AS (SELECT s.id AS sid, p.id AS pid, s.work_rvu AS w, p.work_rvu AS v FROM s FULL JOIN p ON s.cpt_code = p.cpt_code AND s.modifier IS NOT DISTINCT FROM p.modifier),
-c AS (SELECT CASE WHEN sid IS NULL THEN 'added' WHEN pid IS NULL THEN 'kept' WHEN w <> v THEN 'updated' ELSE 'unchanged' END AS change,
-  abs((v - w) / w * 100) AS pct, w IS NOT NULL AND v IS NOT NULL AND w <> v AS moved FROM u)
-SELECT change, count(*) AS n, count(*) FILTER (moved AND pct >= 5) AS significant FROM c GROUP BY 1"""
+    + """, p AS (SELECT CASE WHEN id % 5 = 0 THEN cpt_code || 'N' ELSE cpt_code END AS cpt_code, modifier, description,
+    work_rvu * CASE id % 4 WHEN 0 THEN 1.1 WHEN 1 THEN 1.01 ELSE 1 END AS work_rvu, status_code FROM cpt_rvu),
+u AS (SELECT s.cpt_code AS sc, p.cpt_code AS pc, coalesce(p.cpt_code, s.cpt_code) AS cpt_code, CASE WHEN p.cpt_code IS NULL THEN s.modifier ELSE p.modifier END AS modifier,
+  CASE WHEN p.cpt_code IS NULL THEN s.work_rvu ELSE p.work_rvu END AS work_rvu, s.work_rvu AS w, p.work_rvu AS v,
+  s.description IS DISTINCT FROM p.description OR s.status_code IS DISTINCT FROM p.status_code OR s.work_rvu IS DISTINCT FROM p.work_rvu AS differs
+  FROM cpt_rvu s FULL JOIN p ON s.cpt_code = p.cpt_code AND s.modifier IS NOT DISTINCT FROM p.modifier),
+c AS (SELECT *, CASE WHEN sc IS NULL THEN 'added' WHEN pc IS NULL THEN 'kept' WHEN differs THEN 'updated' ELSE 'unchanged' END AS change FROM u)
+SELECT cpt_code, modifier, round(work_rvu, 8) AS work_rvu, change, CASE WHEN change = 'updated' THEN round((v - w) / w * 100, 8) END AS percent_change FROM c"""
 )
 def fee_schedule_upsert(spark, sf_dir):
-    cpt = fx.cpt_rvu(spark, sf_dir)
-    factor = F.when(F.col("id") % 4 == 0, 1.1).when(F.col("id") % 4 == 1, 1.01).otherwise(1.0)
-    parsed = cpt.where("id % 5 <> 0").withColumn("work_rvu", F.col("work_rvu") * factor)
-    changes = tables.upsert_fee_schedule(cpt.where("id % 3 <> 0"), parsed)
-    return tables.import_counts(changes).select("change", "n", "significant")
+    """All parts, with other codes and work units in part, imported over all parts."""
+    return rounded(_imported(spark, sf_dir).select("cpt_code", "modifier", "work_rvu", "change", "percent_change"))
 
 
-@query()
-def fee_schedule_upsert_of_all(spark, sf_dir):
-    """All parts, with other codes and work units in part, imported over all parts."""
+def _imported(spark, sf_dir):
     cpt = fx.cpt_rvu(spark, sf_dir)
     factor = F.when(F.col("id") % 4 == 0, 1.1).when(F.col("id") % 4 == 1, 1.01).otherwise(1.0)
     code = F.when(F.col("id") % 5 == 0, F.concat("cpt_code", F.lit("N"))).otherwise(F.col("cpt_code"))
     parsed = cpt.withColumn("work_rvu", F.col("work_rvu") * factor).withColumn("cpt_code", code)
-    return tables.import_counts(tables.upsert_fee_schedule(cpt, parsed)).select("change", "n", "significant")
+    return tables.upsert_fee_schedule(cpt, parsed)
 
 
 @query(
@@ -146,20 +149,19 @@ def upload_days(spark, sf_dir):
     return rounded(tables.upload_days(fx.study_logs(spark, sf_dir)))
 
 
-@query(
-    PRE
-    + """ SELECT CASE WHEN session_id = (SELECT session_id FROM study_logs WHERE id = 5) THEN 'new title' END IS NOT NULL AS renamed, count(*) AS n
-FROM study_logs GROUP BY 1"""
-)
+@query(PRE + " SELECT id, CASE WHEN session_id = (SELECT session_id FROM study_logs WHERE id = 5) THEN 'new title' ELSE '-' END AS display_title FROM study_logs")
 def rename_session(spark, sf_dir):
     now = tables.rename(fx.study_logs(spark, sf_dir), 5, "new title")
-    return now.groupBy(F.col("display_title").isNotNull().alias("renamed")).agg(F.count("*").alias("n"))
+    return now.select("id", F.coalesce("display_title", F.lit("-")).alias("display_title"))
 
 
-@query(PRE + " SELECT deleted_at IS NOT NULL AS deleted, needs_review AND id NOT IN (1, 2, 3) AS review, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN id IN (4, 5, 6) THEN TIMESTAMP '2024-02-01' ELSE deleted_at END AS deleted_at) FROM study_logs) GROUP BY 1, 2")
+@query(
+    PRE
+    + """ SELECT id, CASE WHEN id IN (4, 5, 6) THEN TIMESTAMP '2024-02-01' ELSE deleted_at END IS NOT NULL AS deleted, needs_review AND id NOT IN (1, 2, 3) AS needs_review FROM study_logs"""
+)
 def edits(spark, sf_dir):
     now = tables.mark_reviewed(tables.soft_delete(fx.study_logs(spark, sf_dir), [4, 5, 6], "2024-02-01"), [1, 2, 3])
-    return now.groupBy(F.col("deleted_at").isNotNull().alias("deleted"), F.col("needs_review").alias("review")).agg(F.count("*").alias("n"))
+    return now.select("id", F.col("deleted_at").isNotNull().alias("deleted"), "needs_review")
 
 
 @query(
@@ -183,7 +185,7 @@ def _review_rows(spark, sf_dir):
 
 
 _REVIEW = """, r AS (
-  SELECT id, id % 13 <> 0 AS has, id % 13 <> 0 AND id % 4 = 0 AS two, coalesce(modifier = '26' AND work_rvu > 0, false) AS counts, match_confidence AS c, match_method AS m,
+  SELECT id, exam_name_raw AS title, coalesce(work_rvu, 0) AS work_rvu, id % 13 <> 0 AS has, id % 13 <> 0 AND id % 4 = 0 AS two, coalesce(modifier = '26' AND work_rvu > 0, false) AS counts, match_confidence AS c, match_method AS m,
     CASE WHEN id % 11 = 0 THEN 'possible' WHEN id % 17 = 0 THEN 'exact' WHEN id % 19 = 0 THEN 'very_likely' END AS dup FROM study_logs),
 s AS (SELECT *, CASE WHEN NOT has THEN 'New or unknown exam' WHEN NOT counts THEN 'Not modifier 26 productivity RVU' WHEN dup = 'possible' THEN 'Possible duplicate'
     WHEN c < 0.95 THEN 'Low confidence match' WHEN two AND m <> 'alias_match' THEN 'Multiple possible CPT matches' END AS reason,
@@ -203,27 +205,59 @@ def review_routes(spark, sf_dir):
     )
 
 
-@query()
+_LABELS = f""", k AS (
+  SELECT *, has AND counts AND c >= 0.75 AS chosen, has AND counts AND c >= 0.65 AND two AS several,
+    regexp_matches(lower(title), {sqltext.quoted(review.PROCEDURE_WORDS)}) AS procedure,
+    CASE WHEN has AND counts THEN c WHEN two THEN 0.7 END AS one FROM s),
+safe AS (SELECT *, coalesce(one >= 0.85, false) AND NOT several AND NOT procedure AS safe_one,
+    CASE WHEN NOT has THEN 'No match' WHEN m = 'alias_match' AND c >= 0.95 THEN 'Exact alias match'
+      WHEN c >= 0.85 AND m = 'radiology_match' THEN 'High-confidence normalized match' ELSE 'Fuzzy match needs review' END AS confidence_label FROM k)"""
+
+
+@query(
+    PRE + _REVIEW + _LABELS
+    + """ SELECT id, confidence_label, safe_one AND dup IS DISTINCT FROM 'possible' AS safe, safe_one AND m = 'alias_match' AND one >= 0.95 AS prior FROM safe"""
+)
 def review_labels(spark, sf_dir):
     rows = review.classify(_review_rows(spark, sf_dir))
-    return rows.groupBy("confidence_label", review.safe_approval().alias("safe"), review.prior_mapping().alias("prior")).agg(F.count("*").alias("n"))
+    return rows.select("id", "confidence_label", review.safe_approval().alias("safe"), review.prior_mapping().alias("prior"))
 
 
-@query()
+@query(
+    PRE + _REVIEW + _LABELS
+    + """, d AS (SELECT *, coalesce(dup IN ('exact', 'very_likely'), false) AS skip, level IS NOT NULL AND reason IS NULL AS approved FROM safe)
+SELECT id % 7 AS day, count(*) FILTER (NOT skip) AS rows, count(*) FILTER (skip) AS skipped,
+  count(*) FILTER (NOT approved AND (reason IS NOT NULL OR NOT has OR c < 0.75)) AS under_review, count(*) FILTER (level IS NOT NULL) AS auto_approved,
+  round(sum(CASE WHEN NOT skip AND chosen THEN work_rvu ELSE 0.0 END), 6) AS wrvu, count(*) FILTER (NOT skip AND chosen) AS codes
+FROM d GROUP BY 1"""
+)
 def session_summary(spark, sf_dir):
     return rounded(review.session_summary(review.classify(_review_rows(spark, sf_dir)).withColumn("day", F.col("id") % 7), "day"), 6)
 
 
-@query()
+@query(
+    PRE
+    + """, k AS (SELECT id AS ord, id % 2 AS side, coalesce(accession_number, '') || '|' || lower(trim(exam_name_raw)) || '|' || CAST(log_date AS VARCHAR) || '|' || strftime(study_datetime, '%H') AS key FROM study_logs),
+n AS (SELECT *, side = 1 AND row_number() OVER (PARTITION BY key ORDER BY side, ord) > 1 AS repeated FROM k)
+SELECT ord, CASE WHEN repeated THEN 'skipped' ELSE 'review' END AS route, CASE WHEN repeated THEN 'very_likely' ELSE '-' END AS duplicate_status FROM n"""
+)
 def session_merge(spark, sf_dir):
     logs = fx.study_logs(spark, sf_dir).select(
         F.col("id").alias("ord"), "accession_number", F.col("exam_name_raw").alias("title"), F.col("log_date").alias("study_date"),
         F.date_format("study_datetime", "HH").alias("study_time"), F.lit("review").alias("route"), F.lit(None).cast("string").alias("duplicate_status"),
     )
-    return sessions.merge_rows(logs.where("ord % 2 = 0"), logs.where("ord % 2 = 1")).groupBy("route").agg(F.count("*").alias("n"))
+    merged = sessions.merge_rows(logs.where("ord % 2 = 0"), logs.where("ord % 2 = 1"))
+    return merged.select("ord", "route", F.coalesce("duplicate_status", F.lit("-")).alias("duplicate_status"))
 
 
-@query()
+@query(
+    """
+WITH lines AS (SELECT event_id AS line_no, CASE event_id % 3
+    WHEN 0 THEN [CAST(70000 + event_id % 40 AS VARCHAR), CAST(70000 + event_id % 31 AS VARCHAR)]
+    WHEN 1 THEN ['CT head', CAST(70000 + event_id % 9 AS VARCHAR)] ELSE ['MRI brain with contrast'] END AS parts FROM events),
+e AS (SELECT line_no, unnest(range(0, len(parts))) AS place, unnest(parts) AS entry FROM lines)
+SELECT line_no, CAST(place AS INT) AS place, entry FROM e QUALIFY row_number() OVER (PARTITION BY lower(entry) ORDER BY line_no, place) = 1"""
+)
 def bulk_text(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("line_no"),
@@ -234,20 +268,35 @@ def bulk_text(spark, sf_dir):
     return readers.bulk_entries(rows)
 
 
-@query()
+@query(
+    PRE
+    + """ SELECT exam_name_raw || ' ' || strftime(study_datetime, '%-m/%-d/%Y %-I:%M %p') || ' ACC: A' || lpad(CAST(id AS VARCHAR), 7, '0') AS raw_text,
+  trim(regexp_replace(exam_name_raw, '  +', ' ', 'g')) AS exam_name, date_trunc('minute', study_datetime) AS study_datetime, CAST(log_date AS VARCHAR) AS study_date,
+  'A' || lpad(CAST(id AS VARCHAR), 7, '0') AS accession_number, CAST(1.0 AS DOUBLE) AS confidence FROM study_logs"""
+)
 def ocr_lines(spark, sf_dir):
     logs = fx.study_logs(spark, sf_dir)
     line = F.concat_ws(" ", "exam_name_raw", F.date_format("study_datetime", "M/d/yyyy h:mm a"), F.concat(F.lit("ACC: A"), F.lpad(F.col("id").cast("string"), 7, "0")))
     return readers.ocr_studies(logs.select(line.alias("value")), "2024-02-01 00:00:00")
 
 
-@query()
+@query(
+    PRE
+    + """, r AS (SELECT lower(exam_name_raw) AS normalized_key, list_sort(list_distinct(list(exam_name_raw))) AS synonyms, min(cpt_code) AS code, count(*) AS times_used FROM study_logs GROUP BY 1),
+e AS (SELECT * FROM r WHERE length(normalized_key) % 2 = 0),
+goes AS (SELECT r.*, coalesce(e.normalized_key, (SELECT min(x.normalized_key) FROM e x WHERE x.code = r.code), r.normalized_key) AS target
+  FROM r LEFT JOIN e ON e.normalized_key = r.normalized_key),
+added AS (SELECT target, flatten(list(synonyms)) AS more, sum(times_used) AS used, arg_min(code, normalized_key) AS code FROM goes GROUP BY 1)
+SELECT coalesce(e.normalized_key, target) AS normalized_key, array_to_string(list_sort(list_distinct(list_concat(coalesce(e.synonyms, []), coalesce(more, [])))), ';') AS synonyms,
+  coalesce(e.code, added.code) AS cpt_codes, CAST(coalesce(e.times_used, 0) + coalesce(used, 0) AS BIGINT) AS times_used
+FROM e FULL JOIN added ON e.normalized_key = added.target"""
+)
 def dictionary_merge(spark, sf_dir):
     rows = fx.study_logs(spark, sf_dir).groupBy(F.lower("exam_name_raw").alias("normalized_key")).agg(
         F.array_sort(F.collect_set("exam_name_raw")).alias("synonyms"), F.array(F.min("cpt_code")).alias("cpt_codes"), F.count("*").alias("times_used")
     )
-    half = F.pmod(F.xxhash64("normalized_key"), F.lit(2)) == 0
-    return learning.merge_dictionary(rows.where(half), rows)
+    found = learning.merge_dictionary(rows.where(F.length("normalized_key") % 2 == 0), rows)
+    return found.withColumn("synonyms", F.array_join("synonyms", ";")).withColumn("cpt_codes", F.array_join("cpt_codes", "|"))
 
 
 @query(f"{PRE}, titles AS (SELECT DISTINCT exam_name_raw AS title, exam_name_raw AS prev FROM study_logs), {sqltext.description_cte('titles', 'title', 'des')} SELECT title, split_part(description_key, ' ', 1) AS lead FROM des")
@@ -256,7 +305,34 @@ def description_leads(spark, sf_dir):
     return titles.select("title", F.split(T.normalize_description(F.col("title")), " ")[0].alias("lead"))
 
 
-@query()
+_FOUND = "SELECT title, rank, cpt_code, modifier, description, round(work_rvu, 6) AS work_rvu, round(confidence, 6) AS confidence, source FROM found"
+
+
+@query(matchsql.candidates(_TITLES, analytics.ALIASES, 5) + _FOUND)
+def match_candidates(spark, sf_dir):
+    """Staged matching of all titles; the fee schedule is the fixed rows and the parts."""
+    return rounded(matching.candidates(_titles(spark, sf_dir), _schedule(spark, sf_dir), _aliases(spark)), 6)
+
+
+@query(matchsql.library(_TITLES, 8))
+def library_search(spark, sf_dir):
+    return rounded(matching.library_search(_titles(spark, sf_dir), _schedule(spark, sf_dir)), 6)
+
+
+_BATCH = "titles AS MATERIALIZED (SELECT DISTINCT exam_name_raw AS title, exam_name_raw AS prev FROM study_logs WHERE log_date >= DATE '2024-01-25')"
+
+
+@query(
+    matchsql.candidates(_BATCH, None, 6) + f""",
+x AS MATERIALIZED (SELECT title, {sqltext.exam_text('title')} AS exam_key FROM (SELECT DISTINCT exam_name_raw AS title FROM study_logs)),
+{analytics.prints('x')},
+b AS (SELECT id, exam_name_raw AS title, id <> min(id) OVER (PARTITION BY fingerprint) AS again FROM f WHERE log_date >= DATE '2024-01-25'),
+c AS (SELECT title, count(*) AS n, max(confidence) FILTER (rank = 1) AS one, count(*) FILTER (confidence >= 0.65) AS good FROM found GROUP BY 1),
+r AS (SELECT b.*, coalesce(n, 0) AS n, one, CASE WHEN n IS NULL THEN 'New or unknown exam' WHEN one < 0.95 THEN 'Low confidence match'
+  WHEN good > 1 THEN 'Multiple possible CPT matches' END AS review_reason FROM b LEFT JOIN c USING (title))
+SELECT id, title, CASE WHEN again THEN 'exact' END AS duplicate_status, CAST(n AS INT) AS n_candidates, review_reason, CAST(NULL AS VARCHAR) AS approval_level,
+  review_reason IS NOT NULL OR one < 0.75 AS needs_review, CASE WHEN again THEN 'skipped' ELSE 'review' END AS route FROM r"""
+)
 def import_pipeline(spark, sf_dir):
     """Matching, duplicates, review and routing of a batch of studies in one plan."""
     logs = fx.study_logs(spark, sf_dir)

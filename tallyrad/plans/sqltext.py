@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 
 from ..functions import terms
+from ..operators.explorer import search_terms
 
 
-def _quote(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _replace(expr: str, pattern: str, put: str) -> str:
-    return f"regexp_replace({expr}, {_quote(pattern)}, {_quote(put)}, 'g')"
+    return f"regexp_replace({expr}, {quoted(pattern)}, {quoted(put)}, 'g')"
 
 
 def _whole(expr: str, phrase: str, put: str) -> str:
@@ -26,9 +27,9 @@ def exam_text(expr: str) -> str:
     for phrase in sorted([k for k in terms.ABBREVIATIONS if "/" in k], key=len, reverse=True):
         now = _whole(now, phrase, terms.ABBREVIATIONS[phrase])
     now = f"string_split({_replace(now, r'[/ ]+', ' ')}, ' ')"
-    cases = " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in terms.ABBREVIATIONS.items())
+    cases = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in terms.ABBREVIATIONS.items())
     full = f"string_split(array_to_string(list_transform({now}, lambda w: CASE w {cases} ELSE w END), ' '), ' ')"
-    noise = ", ".join(_quote(w) for w in terms.TITLE_NOISE)
+    noise = ", ".join(quoted(w) for w in terms.TITLE_NOISE)
     return f"array_to_string(list_filter({full}, lambda w: w <> '' AND w NOT IN ({noise})), ' ')"
 
 
@@ -104,3 +105,16 @@ def combined(a: str, b: str) -> str:
     with_ = lambda w: f"(list_contains({w}, 'with') AND NOT list_contains({w}, 'without'))"
     penalty = f"CASE WHEN ({out(x)} AND {with_(y)}) OR ({out(y)} AND {with_(x)}) THEN 0.3 ELSE 1.0 END"
     return f"(({overlap(x, y)}) * 0.8 + ({text}) * 0.2) * ({penalty})"
+
+
+def search_score(query: str) -> str:
+    """Score of a row (cpt_code, hay) for a query, of which the terms are known."""
+    scores = ["0"]
+    for term in search_terms(query):
+        hits = " + ".join(f"CAST(contains(hay, {quoted(w)}) AS INT)" for w in term.split())
+        scores += [
+            f"CASE WHEN lower(cpt_code) = {quoted(term)} THEN 200 WHEN starts_with(lower(cpt_code), {quoted(term)}) THEN 170 ELSE 0 END",
+            f"CASE WHEN contains(hay, {quoted(term)}) THEN {130 + len(term)} ELSE 0 END",
+            f"({hits}) * 24 + CASE WHEN {hits} = {len(term.split())} THEN 30 ELSE 0 END",
+        ]
+    return f"greatest({', '.join(scores)})"
