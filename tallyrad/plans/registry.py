@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, browsing
+from . import analytics, browsing, recording
 
 #: Importing a module of queries registers them.
-MODULES = (analytics, browsing)
+MODULES = (analytics, browsing, recording)
 QUERIES = dict(analytics.QUERIES)
 ORACLE_SQL = dict(analytics.ORACLE_SQL)
 

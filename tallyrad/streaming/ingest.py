@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,30 +30,67 @@ def log_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table in a folder, or none of its rows if nothing was written yet."""
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
+#: What a log must have to be committed, and what it is called if it lacks it.
+REQUIRED = {"id": "no id", "log_date": "no date", "exam_name_raw": "no title"}
+
+
+def flawed() -> Column:
+    """What is wrong with a log, or null."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), why) for c, why in REQUIRED.items()], F.when(F.trim("exam_name_raw") == "", "no title"))
+
+
+def commit_batch(batch: DataFrame, number: int, table: str, review: str, failed: str) -> None:
+    """Writes one batch: good logs to the table by day, each fingerprint once; logs under review and flawed ones to
+    tables of their own, in a folder for the batch that a repeated batch writes again."""
+    batch = batch.persist()
+    marked = batch.withColumn("error", flawed())
+    keyed = with_fingerprint(marked.where(F.col("error").isNull()).drop("error"))
+    ready = commit(keyed.where(~F.col("needs_review")), stored(batch.sparkSession, table, keyed))
+    ready.write.mode("append").partitionBy("log_date").parquet(table)
+    keyed.where(F.col("needs_review")).write.mode("overwrite").parquet(f"{review}/batch={number}")
+    marked.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+    batch.unpersist()
+
+
 def commit_stream(logs: DataFrame, table: str, review: str, failed: str, checkpoint: str, once: bool = True):
-    """Appends a stream of study logs to a table by day, each fingerprint once; rows under review go to their
-    own table. A batch that comes again adds nothing. Batches that fail go to a dead-letter table."""
+    """Appends a stream of study logs to a table by day, each fingerprint once; rows under review and flawed rows go to
+    their own tables. A batch that comes again, after a lost driver or executor, adds nothing: what it appended is
+    there by fingerprint, and its other rows are written over. An error that isn't a row's ends the batch, which Spark
+    repeats from its checkpoint; no offset moves on."""
 
     def process(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            keyed = with_fingerprint(batch)
-            try:
-                stored = spark.read.parquet(table)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                    raise
-                stored = keyed.limit(0)
-            ready = commit(keyed.where(~F.col("needs_review")), stored)
-            ready.write.mode("append").partitionBy("log_date").parquet(table)
-            keyed.where(F.col("needs_review")).withColumn("batch", F.lit(number)).write.mode("append").parquet(review)
-        except Exception as e:
-            batch.withColumn("error", F.lit(str(e)[:500])).write.mode("append").parquet(failed)
+        commit_batch(batch, number, table, review, failed)
 
     writer = logs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
 
 
+def activity(spark: SparkSession, table: str, review: str, failed: str, like: DataFrame, n: int = 200) -> DataFrame:
+    """The newest n entries of what became of logs: id, study_datetime, outcome (committed, review or error)."""
+    kinds = {"committed": table, "review": review, "error": failed}
+    every = None
+    for outcome, path in kinds.items():
+        own = stored(spark, path, like).select("id", "study_datetime", F.lit(outcome).alias("outcome"))
+        every = own if every is None else every.unionByName(own)
+    return every.orderBy(F.desc("study_datetime"), F.desc("id")).limit(n)
+
+
+def settled(images: DataFrame, as_of: Column, quiet_ms: int = 800) -> DataFrame:
+    """Images that nobody has written to for some time and that have content; others wait for a later batch."""
+    quiet = F.unix_millis("modificationTime") <= F.unix_millis(as_of) - quiet_ms
+    return images.where(quiet & (F.col("length") > 0))
+
+
 def running_totals(logs: DataFrame) -> DataFrame:
     """Counted work units, rows and rows under review by profile and day; write in complete or update mode."""
     return logs.groupBy("profile_id", "log_date").agg(
