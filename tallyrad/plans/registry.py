@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, browsing, recording
+from . import analytics, browsing, recording, reviewing
 
 #: Importing a module of queries registers them.
-MODULES = (analytics, browsing, recording)
+MODULES = (analytics, browsing, recording, reviewing)
 QUERIES = dict(analytics.QUERIES)
 ORACLE_SQL = dict(analytics.ORACLE_SQL)
 

@@ -97,6 +97,11 @@ def fee_schedule(spark: SparkSession, path: str) -> DataFrame:
             T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(32)])
         ).csv(path)
         rows = lines.select(F.monotonically_increasing_id().alias("n"), F.array(*lines.columns).alias("c"))
+    return fee_rows(rows)
+
+
+def fee_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a fee schedule from its cells: n (place) and c (array). The header is looked for in the first 20."""
     rows = rows.where(F.exists("c", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")).withColumn(
         "c", F.transform("c", lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "^\ufeff", ""))
     )
@@ -150,18 +155,28 @@ def _csv_date(cell: Column) -> Column:
     return F.coalesce(*[F.try_to_date(F.trim(cell), f) for f in ("yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "MMM d, yyyy", "d MMM yyyy")])
 
 
+def study_places(headers: list[str]) -> dict[str, int]:
+    """Which columns of a study list have which fields, by the names of their headers."""
+    tidy = [re.sub(r"[^a-z0-9 ]", "", h.lower()).strip() for h in headers]
+    return {f: next(tidy.index(a) for a in names if a in tidy) for f, names in STUDY_HEADERS.items() if any(a in tidy for a in names)}
+
+
 def studies_csv(spark: SparkSession, path: str) -> DataFrame:
     """A study list. Without any known header the file is taken as pasted text."""
     first = spark.read.text(path).limit(1).collect()
-    tidy = lambda h: re.sub(r"[^a-z0-9 ]", "", h.lower()).strip()
-    headers = [tidy(h) for h in next(csv.reader([first[0].value.lstrip("\ufeff")]))] if first else []
-    places = {f: next(headers.index(a) for a in names if a in headers) for f, names in STUDY_HEADERS.items() if any(a in headers for a in names)}
+    headers = next(csv.reader([first[0].value.lstrip("\ufeff")])) if first else []
+    places = study_places(headers)
     if not places:
         found = studies_of_text(_lines(spark, path))
         rest = {f: F.lit(None).cast(t) for f, t in (x.split() for x in STUDY.split(", ")) if f not in ("exam_title", "cpt", "source")}
         return found.withColumns(rest).select(*[x.split()[0] for x in STUDY.split(", ")])
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
     rows = spark.read.option("header", True).option("escape", '"').option("enforceSchema", True).schema(schema).csv(path)
+    return study_rows(rows, places)
+
+
+def study_rows(rows: DataFrame, places: dict[str, int]) -> DataFrame:
+    """Studies of a list's cells (columns _c0, _c1, ...), fields by place."""
     cell = lambda f: F.nullif(F.trim(F.col(f"_c{places[f]}")), F.lit("")) if f in places else F.lit(None).cast("string")
     return rows.select(
         cell("exam_title").alias("exam_title"),
@@ -252,7 +267,12 @@ def ocr_images(images: DataFrame, recognise) -> DataFrame:
 def hospital_report(spark: SparkSession, path: str) -> DataFrame:
     """A hospital's list: split at commas, no quotes; with or without a header. A blank number is 0, a missing
     one null; the quantity is 1 at least."""
-    rows = _lines(spark, path).withColumn("value", F.trim("value")).where(F.col("value") != "")
+    return hospital_rows(_lines(spark, path))
+
+
+def hospital_rows(lines: DataFrame) -> DataFrame:
+    """The same from lines: file, line_no, value."""
+    rows = lines.withColumn("value", F.trim("value")).where(F.col("value") != "")
     first = rows.orderBy("file", "line_no").limit(1).collect()
     head = [re.sub(r"\s+", "", c.strip().lower()) for c in first[0].value.split(",")] if first else []
     known = bool(set(head) & {"exam", "examtitle", "cpt", "cptcode", "wrvu", "workrvu"})
