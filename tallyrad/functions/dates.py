@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .codes import let
+
 _CLOCK = r"\s+(\d{1,2}):(\d{2})(?::\d{2})?\s*(AM|PM|am|pm)?\b"
 
 # Patterns in order of trust, with the groups that hold year, month, day.
@@ -22,14 +24,21 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """A date between 1990 and 2099; null if there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    return F.when(year.between(1990, 2099) & month.between(1, 12) & day.between(1, 31), F.try_to_date(text, "yyyy-MM-dd"))
+
+    def made(x: Column) -> Column:
+        text = F.format_string("%04d-%02d-%02d", x["year"], x["month"], x["day"])
+        valid = x["year"].between(1990, 2099) & x["month"].between(1, 12) & x["day"].between(1, 31)
+        return F.when(valid, F.try_to_date(text, "yyyy-MM-dd"))
+
+    return let(F.struct(year.alias("year"), month.alias("month"), day.alias("day")), made)
 
 
 def _moment(date: Column, hour: Column, minute: Column) -> Column:
-    valid = date.isNotNull() & hour.between(0, 23) & minute.between(0, 59)
-    text = F.concat(date.cast("string"), F.format_string(" %02d:%02d:00", hour, minute))
-    return F.when(valid, text.cast("timestamp_ntz"))
+    def made(x: Column) -> Column:
+        valid = x["date"].isNotNull() & x["hour"].between(0, 23) & x["minute"].between(0, 59)
+        return F.when(valid, F.concat(x["date"].cast("string"), F.format_string(" %02d:%02d:00", x["hour"], x["minute"])).cast("timestamp_ntz"))
+
+    return let(F.struct(date.alias("date"), hour.alias("hour"), minute.alias("minute")), made)
 
 
 def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -> DataFrame:

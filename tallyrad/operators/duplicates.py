@@ -41,40 +41,56 @@ def repeats_in_batch(rows: DataFrame, order: str = "id") -> DataFrame:
     return rows.withColumn("batch_duplicate", F.col(order) != first)
 
 
+#: Minutes up to which studies of one code are very likely and possibly the same, and the share of a
+#: name's words that counts where there is no time.
+VERY_LIKELY, POSSIBLE, NAMES_ALIKE = 3, 15, 0.7
+
+
 def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
     """For each candidate the first log of its day, by id, that any tier holds for: id, log_id, tier, reason.
 
-    Both sides come from with_fingerprint. Equal accession numbers and fingerprints are looked up by equal
-    keys; the time bands and similar names only among logs of the same day and code.
+    Both sides come from with_fingerprint. As the first log is wanted, logs are summed up to the smallest id of each
+    accession number, fingerprint, minute and name before they are joined; a candidate looks up its keys and the
+    minutes around its own. So a code that is very frequent in a day gives no pairs of rows.
     """
-    c, g = candidates.alias("c"), logs.alias("g")
-    own = lambda side: F.nullif(F.upper(F.trim(F.col(f"{side}.accession_number"))), F.lit(""))
-    day = F.col("c.log_date") == F.col("g.log_date")
-    pair = [F.col("c.id").alias("id"), F.col("g.id").alias("log_id")]
-    by_number = c.join(g, day & (own("c") == own("g"))).select(
-        *pair, F.lit(1).alias("rule"), F.lit("exact").alias("tier"), F.lit("same accession number").alias("reason")
-    )
-    by_print = c.join(g, day & (F.col("c.fingerprint") == F.col("g.fingerprint"))).select(
-        *pair, F.lit(2).alias("rule"), F.lit("exact").alias("tier"), F.lit("identical fingerprint").alias("reason")
-    )
-    mine, theirs = minutes_of_day(F.col("c.study_datetime")), minutes_of_day(F.col("g.study_datetime"))
-    apart = F.abs(mine - theirs)
-    has, had = words(F.col("c.exam_key")), words(F.col("g.exam_key"))
-    shared = F.size(F.filter(had, lambda w: F.array_contains(has, w)))
-    overlap = shared / F.greatest(F.lit(1), F.least(F.size(F.array_distinct(has)), F.size(had)))
-    untimed = (F.coalesce(mine, F.lit(0)) == 0) | (F.coalesce(theirs, F.lit(0)) == 0)  # midnight counts as no time
-    tier = (
-        F.when(apart <= 3, F.struct(F.lit(3).alias("rule"), F.lit("very_likely").alias("tier"), F.lit("same code, close in time").alias("reason")))
-        .when(apart <= 15, F.struct(F.lit(4).alias("rule"), F.lit("possible").alias("tier"), F.lit("same code, near in time").alias("reason")))
-        .when(untimed & (overlap >= 0.7), F.struct(F.lit(5).alias("rule"), F.lit("possible").alias("tier"), F.lit("same code, similar name").alias("reason")))
-    )
-    by_code = (
-        c.join(g, day & (F.col("c.cpt_code") == F.col("g.cpt_code")))
-        .select(*pair, tier.alias("t"))
-        .where(F.col("t").isNotNull())
-        .select("id", "log_id", "t.rule", "t.tier", "t.reason")
-    )
-    every = by_number.unionByName(by_print).unionByName(by_code)
+    number = F.nullif(F.upper(F.trim("accession_number")), F.lit(""))
+    minute = minutes_of_day(F.col("study_datetime"))
+    untimed = F.coalesce(minute, F.lit(0)) == 0  # midnight counts as no time
+    columns = ["id", "log_date", number.alias("number"), "fingerprint", "cpt_code", minute.alias("minute"), untimed.alias("untimed"), "exam_key"]
+    c, g = candidates.select(*columns), logs.select(*columns)
+    lowest = F.min("id").alias("log_id")
+
+    def found(df: DataFrame, rule, tier, reason) -> DataFrame:
+        return df.select("id", "log_id", rule.alias("rule"), tier.alias("tier"), reason.alias("reason"))
+
+    lit = F.lit
+    by_number = c.join(g.where(F.col("number").isNotNull()).groupBy("log_date", "number").agg(lowest), ["log_date", "number"])
+    by_print = c.join(g.groupBy("log_date", "fingerprint").agg(lowest), ["log_date", "fingerprint"])
+    around = F.explode(F.sequence(lit(-POSSIBLE), lit(POSSIBLE))).alias("apart")
+    near = c.where(F.col("minute").isNotNull()).select("id", "log_date", "cpt_code", "minute", around)
+    near = near.withColumn("minute", F.col("minute") + F.col("apart"))
+    by_time = near.join(g.where(F.col("minute").isNotNull()).groupBy("log_date", "cpt_code", "minute").agg(lowest), ["log_date", "cpt_code", "minute"])
+    close = F.abs("apart") <= VERY_LIKELY
+
+    names = c.select("log_date", "cpt_code", "exam_key", "untimed").distinct()
+    had = g.groupBy("log_date", "cpt_code", F.col("exam_key").alias("name")).agg(lowest, F.min(F.when(F.col("untimed"), F.col("id"))).alias("untimed_id"))
+    mine, theirs = words(F.col("exam_key")), words(F.col("name"))
+    shared = F.size(F.filter(theirs, lambda w: F.array_contains(mine, w)))
+    overlap = shared / F.greatest(lit(1), F.least(F.size(F.array_distinct(mine)), F.size(theirs)))
+    alike = names.join(had, ["log_date", "cpt_code"]).where(overlap >= NAMES_ALIKE)
+    alike = alike.withColumn("log_id", F.when(F.col("untimed"), F.col("log_id")).otherwise(F.col("untimed_id")))
+    alike = alike.groupBy("log_date", "cpt_code", "exam_key", "untimed").agg(F.min("log_id").alias("log_id")).where(F.col("log_id").isNotNull())
+    by_name = c.join(alike, ["log_date", "cpt_code", "exam_key", "untimed"])
+
+    every = found(by_number, lit(1), lit("exact"), lit("same accession number"))
+    every = every.unionByName(found(by_print, lit(2), lit("exact"), lit("identical fingerprint")))
+    every = every.unionByName(
+        found(
+            by_time, F.when(close, 3).otherwise(4), F.when(close, "very_likely").otherwise("possible"),
+            F.when(close, "same code, close in time").otherwise("same code, near in time"),
+        )
+    )
+    every = every.unionByName(found(by_name, lit(5), lit("possible"), lit("same code, similar name")))
     best = F.min(F.struct("log_id", "rule", "tier", "reason")).alias("best")
     return every.groupBy("id").agg(best).select("id", "best.log_id", "best.tier", "best.reason")
 

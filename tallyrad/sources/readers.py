@@ -211,11 +211,15 @@ STAMPS = [
 
 
 def _replace_first(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 0)
-    at = F.locate("\u0001", F.regexp_replace(text, pattern, "\u0001"))
-    return F.when(found == "", text).otherwise(
-        F.concat(F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(found), F.length(text)))
-    )
+    """`text` with a space in place of the first match: what stands before it, and the rest."""
+
+    def put(t: Column) -> Column:
+        found = F.regexp_extract(t, pattern, 0)
+        before = F.element_at(F.split(t, pattern, 2), 1)
+        rest = F.substring(t, F.length(before) + F.length(found) + 1, F.length(t))
+        return F.when(found == "", t).otherwise(F.concat(before, F.lit(" "), rest))
+
+    return codes.let(text, put)
 
 
 def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
