@@ -321,3 +321,30 @@ def dashboard(logs: DataFrame, *keys: str, waiting: float = 0.0) -> DataFrame:
         F.floor(F.col("automatic") * 0.35 + 0.5).alias("minutes_saved"),
         F.when(F.col("exams") > 0, F.col("today") / F.col("exams")).otherwise(0.0).alias("average"),
     )
+
+
+def rename_events(logs: DataFrame, log_id, title: str) -> DataFrame:
+    """What the rename of a log's session teaches: one correction that maps the log's raw title to the productive
+    codes of the session's logs, with the line for the audit."""
+    own = logs.where(F.col("id") == log_id).select("session_id", F.col("exam_name_raw").alias("raw"), F.col("profile_id").alias("owner")).limit(1)
+    same = F.coalesce(F.col("s.session_id") == F.col("l.session_id"), F.lit(False)) | (F.col("l.id") == log_id)
+    related = logs.alias("l").join(F.broadcast(own.alias("s")), same)
+    good = (F.col("l.modifier") == "26") & (F.col("l.work_rvu") > 0) & F.col("l.cpt_code").isNotNull()
+    codes = F.array_join(F.array_sort(F.collect_set(F.when(good, F.concat(F.col("l.cpt_code"), F.lit("-26"))))), "|")
+    return related.groupBy(F.col("s.owner").alias("profile_id"), F.col("s.raw").alias("raw")).agg(codes.alias("codes"), F.count("*").alias("logs")).select(
+        "profile_id", normalize_exam_text(F.col("raw")).alias("alias_key"), F.lit("correct").alias("action"), "codes", "logs",
+        F.concat(F.lit("Renamed "), "raw", F.lit(f" to {title}")).alias("summary"),
+    )
+
+
+def learned_on(aliases: DataFrame, day: str) -> DataFrame:
+    """How many aliases were made on a day, and logs of each kind of decision they rest on."""
+    return aliases.where(F.to_date("created_at") == F.lit(day).cast("date")).agg(F.count("*").alias("learned"))
+
+
+def import_fees(parsed: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An import from parsed rows to the new table: rows of the table, and the counters with significant changes."""
+    from .tables import import_counts, upsert_fee_schedule
+
+    changes = upsert_fee_schedule(stored, parsed)
+    return changes.drop("change", "percent_change"), import_counts(changes)

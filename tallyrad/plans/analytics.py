@@ -246,10 +246,40 @@ def _current(spark, sf_dir):
     )
 
 
+def _pace(spark, sf_dir, now: int):
+    lit = F.lit
+    return rounded(pace.daily_pace(_current(spark, sf_dir), lit(3.0), lit("08:00"), lit("17:00"), lit(60), lit(now)))
+
+
 @query(_pace_sql(780))
 def daily_pace(spark, sf_dir):
-    lit = F.lit
-    return rounded(pace.daily_pace(_current(spark, sf_dir), lit(3.0), lit("08:00"), lit("17:00"), lit(60), lit(780)))
+    return _pace(spark, sf_dir, 780)
+
+
+_CURRENT_SQL = f""", c AS (SELECT profile_id, coalesce(sum(CASE WHEN NOT needs_review THEN work_rvu END), 0.0) AS has
+  FROM study_logs WHERE log_date = DATE '{AS_OF_DAY}' GROUP BY 1)"""
+
+
+@query(
+    PRE + _CURRENT_SQL
+    + """ SELECT profile_id, round(has, 8) AS current_wrvu, CAST(3.0 AS DOUBLE) AS daily_goal, round(has / 3 * 100, 8) AS percent_complete, 0 AS elapsed_minutes, 480 AS remaining_minutes, 480 AS shift_minutes,
+  CAST(0 AS DOUBLE) AS expected_wrvu, CAST(0 AS DOUBLE) AS expected_percent, round(has / 3 * 100, 8) AS actual_percent, CAST(0 AS DOUBLE) AS pace_difference, CAST(0 AS DOUBLE) AS minutes_ahead,
+  CAST(0 AS DOUBLE) AS projected_wrvu, round(greatest(0.0, 3 - has), 8) AS remaining_wrvu, CAST(0.375 AS DOUBLE) AS required_per_hour, 'before_work' AS status FROM c"""
+)
+def daily_pace_before(spark, sf_dir):
+    """The day's pace before the shift starts."""
+    return _pace(spark, sf_dir, 400)
+
+
+@query(
+    PRE + _CURRENT_SQL
+    + """ SELECT profile_id, round(has, 8) AS current_wrvu, CAST(3.0 AS DOUBLE) AS daily_goal, round(has / 3 * 100, 8) AS percent_complete, 480 AS elapsed_minutes, 0 AS remaining_minutes, 480 AS shift_minutes,
+  CAST(3 AS DOUBLE) AS expected_wrvu, CAST(100 AS DOUBLE) AS expected_percent, round(has / 3 * 100, 8) AS actual_percent, round(has - 3, 8) AS pace_difference, round((has - 3) / (3.0 / 480), 8) AS minutes_ahead,
+  round(has, 8) AS projected_wrvu, round(greatest(0.0, 3 - has), 8) AS remaining_wrvu, CAST(0 AS DOUBLE) AS required_per_hour, CASE WHEN has >= 3 THEN 'goal_achieved' ELSE 'after_work' END AS status FROM c"""
+)
+def daily_pace_after(spark, sf_dir):
+    """The day's pace after the shift has ended."""
+    return _pace(spark, sf_dir, 1020)
 
 
 @query(

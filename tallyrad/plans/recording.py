@@ -464,3 +464,36 @@ def ordered_aliases(spark, sf_dir):
     """Aliases, the one used last first."""
     e = fx.study_logs(spark, sf_dir).groupBy(F.col("exam_name_raw").alias("alias_key")).agg(F.max("id").alias("last_used"), F.count("*").alias("times_used"))
     return e.orderBy(F.desc("last_used"), "alias_key")
+
+
+@query(
+    PRE + _BY_EXAM
+    + """, s AS (SELECT * FROM study_logs WHERE session_id = (SELECT session_id FROM study_logs WHERE id = 5))
+SELECT (SELECT profile_id FROM study_logs WHERE id = 5) AS profile_id, (SELECT exam_key FROM x WHERE title = (SELECT exam_name_raw FROM study_logs WHERE id = 5)) AS alias_key, 'correct' AS action,
+  coalesce(string_agg(DISTINCT CASE WHEN modifier = '26' AND work_rvu > 0 THEN cpt_code || '-26' END, '|' ORDER BY CASE WHEN modifier = '26' AND work_rvu > 0 THEN cpt_code || '-26' END), '') AS codes,
+  count(*) AS logs, 'Renamed ' || (SELECT exam_name_raw FROM study_logs WHERE id = 5) || ' to new title' AS summary FROM s"""
+)
+def rename_learning(spark, sf_dir):
+    return records.rename_events(fx.study_logs(spark, sf_dir), 5, "new title")
+
+
+@query(PRE + " SELECT count(*) AS learned FROM (SELECT exam_name_raw, cpt_code, min(study_datetime) AS created_at FROM study_logs GROUP BY 1, 2) WHERE CAST(created_at AS DATE) = DATE '2024-01-02'")
+def learned_today(spark, sf_dir):
+    known = fx.study_logs(spark, sf_dir).groupBy("exam_name_raw", "cpt_code").agg(F.min("study_datetime").alias("created_at"))
+    return records.learned_on(known, "2024-01-02")
+
+
+@query(
+    PRE
+    + """, u AS (SELECT s.cpt_code AS sc, p.cpt_code AS pc, s.work_rvu AS w, p.v
+  FROM (SELECT * FROM cpt_rvu WHERE id % 2 = 0) s FULL JOIN (SELECT cpt_code, modifier, description, status_code, CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(id AS DOUBLE) + 1000 END AS v FROM cpt_rvu WHERE id % 11 <> 0) p
+  ON s.cpt_code = p.cpt_code AND s.modifier IS NOT DISTINCT FROM p.modifier)
+SELECT CASE WHEN sc IS NULL THEN 'added' WHEN pc IS NULL THEN 'kept' ELSE 'updated' END AS change, count(*) AS n FROM u GROUP BY 1"""
+)
+def fee_import(spark, sf_dir):
+    """A file's cells parsed and imported over half of the parts: rows by what became of them."""
+    from .reviewing import fee_cells
+
+    parsed = readers.fee_rows(fee_cells(spark, sf_dir))
+    _, counts = records.import_fees(parsed, fx.cpt_rvu(spark, sf_dir).where("id % 2 = 0"))
+    return counts.select("change", "n")

@@ -214,7 +214,12 @@ _HEAD = [
   CASE pc_tc WHEN '0' THEN 'global' WHEN '1' THEN 'professional' WHEN '2' THEN 'professional' WHEN '3' THEN 'technical' ELSE 'na' END AS pc_tc FROM cpt_rvu WHERE id % 11 <> 0"""
 )
 def fee_file(spark, sf_dir):
-    """All parts as cells of a fee schedule's file, behind its two header rows; a row in eleven has no valid code."""
+    """All parts as cells of a fee schedule's file, parsed."""
+    return readers.fee_rows(fee_cells(spark, sf_dir)).select("cpt_code", "modifier", "description", "status_code", "work_rvu", "pc_tc")
+
+
+def fee_cells(spark, sf_dir):
+    """Parts as cells of a file, behind its two header rows; a row in eleven has no valid code."""
     cpt = fx.cpt_rvu(spark, sf_dir)
     blank = F.lit("")
     number = F.when(F.col("id") % 9 == 0, " NA ").otherwise(F.format_number(F.col("id") + 1000, 0))
@@ -223,8 +228,7 @@ def fee_file(spark, sf_dir):
         F.when(F.col("status_code") == "X", " ").otherwise(F.lower("status_code")), blank, number, *[blank] * 7, F.col("pc_tc"), blank,
     )
     head = spark.createDataFrame([(k - 10, c) for k, c in enumerate(_HEAD)], "n long, c array<string>")
-    rows = readers.fee_rows(head.unionByName(cpt.select(F.col("id").cast("long").alias("n"), cells.alias("c"))))
-    return rows.select("cpt_code", "modifier", "description", "status_code", "work_rvu", "pc_tc")
+    return head.unionByName(cpt.select(F.col("id").cast("long").alias("n"), cells.alias("c")))
 
 
 @query(
