@@ -137,8 +137,9 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
 
     Two rows are linked if their fingerprints differ in at most `distance` bits; component_id is the
     smallest doc_id reached over links, the row's own included. Null and empty texts have fingerprint zero
-    and are linked like any others; shorter texts than a shingle give one shingle. Repeated rows stay. Rows
-    without a doc_id take part and are never the smallest (all null: null).
+    and are linked like any others; shorter texts than a shingle give one shingle, and texts of any length are
+    taken whole. Repeated rows stay. Rows without a doc_id take part and are never the smallest (all null: null).
+    The smallest id leaves no ties; an empty table gives none. Columns besides doc_id and text aren't read.
     """
     fps = cut(fingerprints(docs, width))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
