@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_description
+
 
 def upsert_fee_schedule(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     """Fee schedule after an import, with change (added, updated, unchanged, kept) and percent_change.
@@ -68,12 +70,15 @@ def soft_delete(logs: DataFrame, ids: list, as_of: str) -> DataFrame:
 
 
 def rename(logs: DataFrame, log_id, title: str, column: str = "display_title") -> DataFrame:
-    """Gives a log and all logs of its session a new title."""
+    """Gives a log and all logs of its session a new title, and its description key where logs have one."""
     session = logs.where(F.col("id") == log_id).select(F.col("session_id").alias("renamed")).limit(1)
     now = logs.join(F.broadcast(session), F.col("session_id") == F.col("renamed"), "left")
     hit = F.col("renamed").isNotNull() | (F.col("id") == log_id)
     old = F.col(column) if column in logs.columns else F.lit(None).cast("string")
-    return now.withColumn(column, F.when(hit, title).otherwise(old)).drop("renamed")
+    now = now.withColumn(column, F.when(hit, title).otherwise(old))
+    if "exam_title_normalized" in logs.columns:
+        now = now.withColumn("exam_title_normalized", F.when(hit, normalize_description(F.lit(title))).otherwise(F.col("exam_title_normalized")))
+    return now.drop("renamed")
 
 
 def mark_reviewed(logs: DataFrame, ids: list) -> DataFrame:
@@ -100,6 +105,47 @@ def remote_work_rvu() -> Column:
     return F.when((F.col("modifier") == "26") & (F.col("work_rvu") > 0), F.col("work_rvu")).otherwise(0.0)
 
 
+def to_remote(logs: DataFrame, upload_day: str | None = None) -> DataFrame:
+    """Logs as rows of the mirror: codes as JSON (none without a code), titles to show, professional work units only,
+    and whether a log doesn't count."""
+    code = F.struct("cpt_code", "modifier", "work_rvu")
+    own = lambda c: F.col(c) if c in logs.columns else F.lit(None).cast("string")
+    return logs.select(
+        F.lit(upload_day).cast("string").alias("upload_day_id"), F.col("id").alias("local_log_id"), "profile_id", "log_date", "study_datetime",
+        "exam_name_raw", F.coalesce(own("display_title"), F.col("exam_name_raw")).alias("exam_title_display"), "accession_number", "modality",
+        F.to_json(F.when(F.col("cpt_code").isNotNull(), F.array(code)).otherwise(F.array().cast("array<struct<cpt_code:string,modifier:string,work_rvu:double>>"))).alias("cpt_codes"),
+        remote_work_rvu().alias("modifier_26_wrvu"), "match_method", "match_confidence",
+        ~F.coalesce((F.col("work_rvu") > 0) & (F.col("modifier") == "26"), F.lit(False)).alias("not_productivity_relevant"),
+        "session_id", "deleted_at",
+    )
+
+
+def to_local(remote: DataFrame) -> DataFrame:
+    """Fee rows of the mirror (all text) as rows of the table: numbers where they are numbers, defaults where they
+    are missing."""
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    default = lambda c, value: F.coalesce(c, F.lit(value)).alias(c)
+    return remote.select(
+        "id", "cpt_code", "modifier", default("description", ""), number("work_rvu"), default("status_code", "A"), default("status_category", "unknown"),
+        default("pc_tc", "na"), default("modality", "OTHER"), default("rvu_file_version", "remote"),
+        F.coalesce(F.lower("is_user_verified").isin("true", "1"), F.lit(False)).alias("is_user_verified"),
+    )
+
+
+def with_default_places(organizations: DataFrame, practices: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A default organization and practice where there is none at all, and profiles without a practice in the first."""
+    spark = organizations.sparkSession
+    add = lambda df, row, kind: df.unionByName(spark.createDataFrame([row], kind).join(df.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti"))
+    orgs = add(organizations, (0, "Default"), "organization_id long, name string")
+    first_org = orgs.agg(F.min("organization_id").alias("organization_id"))
+    placeholder = spark.createDataFrame([(0, "My Location")], "practice_id long, name string").crossJoin(first_org)  # one row each
+    any_practice = practices.limit(1).select(F.lit(1).alias("any"))
+    places = practices.unionByName(placeholder.join(any_practice, F.lit(True), "left_anti"))
+    first = F.broadcast(places.agg(F.min("practice_id").alias("first_practice")))
+    attached = profiles.join(first, F.lit(True)).withColumn("practice_id", F.coalesce("practice_id", "first_practice")).drop("first_practice")
+    return orgs, places, attached
+
+
 def migrate(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Adds columns of later versions, and fills them where they are null."""
     return df.withColumns({c: F.coalesce(F.col(c), d) if c in df.columns else d for c, d in defaults.items()})

@@ -95,10 +95,9 @@ def range_average(spark, sf_dir):
     return rounded(totals.range_average(fx.study_logs(spark, sf_dir), 30, "profile_id"))
 
 
-@query(PRE + "SELECT CAST(l.log_date AS VARCHAR) AS log_date, array_to_string(list_sort(list(id)), ',') AS ids, count(*) AS n FROM study_logs l GROUP BY l.log_date")
+@query(PRE + "SELECT CAST(l.log_date AS VARCHAR) AS log_date, id, count(*) OVER (PARTITION BY l.log_date) AS n FROM study_logs l")
 def logs_by_date(spark, sf_dir):
-    found = totals.logs_by_date(fx.study_logs(spark, sf_dir))
-    return found.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+    return totals.logs_by_date(fx.study_logs(spark, sf_dir))
 
 
 _TRENDS = f"""

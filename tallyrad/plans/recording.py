@@ -497,3 +497,41 @@ def fee_import(spark, sf_dir):
     parsed = readers.fee_rows(fee_cells(spark, sf_dir))
     _, counts = records.import_fees(parsed, fx.cpt_rvu(spark, sf_dir).where("id % 2 = 0"))
     return counts.select("change", "n")
+
+
+@query(
+    PRE
+    + """ SELECT id AS local_log_id, exam_name_raw AS exam_title_display, CASE WHEN modifier = '26' AND work_rvu > 0 THEN round(work_rvu, 8) ELSE 0.0 END AS modifier_26_wrvu,
+  NOT coalesce(work_rvu > 0 AND modifier = '26', false) AS not_productivity_relevant, '"cpt_code":"' || cpt_code || '"' AS code FROM study_logs"""
+)
+def mirrored_logs(spark, sf_dir):
+    """All logs as rows of the mirror."""
+    rows = tables.to_remote(fx.study_logs(spark, sf_dir))
+    code = F.regexp_extract("cpt_codes", '"cpt_code":"[0-9]+"', 0).alias("code")
+    return rounded(rows.select("local_log_id", "exam_title_display", "modifier_26_wrvu", "not_productivity_relevant", code))
+
+
+@query(
+    PRE
+    + """ SELECT id, CASE WHEN id % 2 = 0 THEN description ELSE '' END AS description, CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id AS DOUBLE) / 4 END AS work_rvu, CASE WHEN id % 5 = 0 THEN 'A' ELSE status_code END AS status_code,
+  'unknown' AS status_category, pc_tc, 'OTHER' AS modality, 'remote' AS rvu_file_version, id % 4 = 0 AS is_user_verified FROM cpt_rvu"""
+)
+def mirrored_fees(spark, sf_dir):
+    """All parts as the mirror gives them, as rows of the table."""
+    none = F.lit(None).cast("string")
+    remote = fx.cpt_rvu(spark, sf_dir).select(
+        "id", "cpt_code", "modifier", F.when(F.col("id") % 2 == 0, F.col("description")).alias("description"),
+        F.when(F.col("id") % 3 == 0, "n/a").otherwise((F.col("id") / 4).cast("string")).alias("work_rvu"), F.when(F.col("id") % 5 != 0, F.col("status_code")).alias("status_code"),
+        none.alias("status_category"), "pc_tc", none.alias("modality"), none.alias("rvu_file_version"),
+        F.when(F.col("id") % 4 == 0, "true").when(F.col("id") % 4 == 1, "0").alias("is_user_verified"),
+    )
+    return tables.to_local(remote).drop("cpt_code", "modifier")
+
+
+@query(PRE + " SELECT profile_id, coalesce(practice_id, 0) AS practice_id FROM profiles")
+def attached_profiles(spark, sf_dir):
+    """Profiles where there is no practice yet: orphans go to the default one."""
+    orgs = spark.createDataFrame([], "organization_id long, name string")
+    places = spark.createDataFrame([], "practice_id long, name string, organization_id long")
+    own = fx.profiles(spark, sf_dir).select("profile_id", F.col("practice_id").cast("long").alias("practice_id"))
+    return tables.with_default_places(orgs, places, own)[2].select("profile_id", "practice_id")
