@@ -115,7 +115,7 @@ def to_remote(logs: DataFrame, upload_day: str | None = None) -> DataFrame:
         "exam_name_raw", F.coalesce(own("display_title"), F.col("exam_name_raw")).alias("exam_title_display"), "accession_number", "modality",
         F.to_json(F.when(F.col("cpt_code").isNotNull(), F.array(code)).otherwise(F.array().cast("array<struct<cpt_code:string,modifier:string,work_rvu:double>>"))).alias("cpt_codes"),
         remote_work_rvu().alias("modifier_26_wrvu"), "match_method", "match_confidence",
-        ~F.coalesce((F.col("work_rvu") > 0) & (F.col("modifier") == "26"), F.lit(False)).alias("not_productivity_relevant"),
+        (~F.coalesce((F.col("work_rvu") > 0) & (F.col("modifier") == "26"), F.lit(False))).alias("not_productivity_relevant"),
         "session_id", "deleted_at",
     )
 

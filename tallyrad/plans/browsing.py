@@ -271,13 +271,14 @@ def bulk_text(spark, sf_dir):
 @query(
     PRE
     + """ SELECT exam_name_raw || ' ' || strftime(study_datetime, '%-m/%-d/%Y %-I:%M %p') || ' ACC: A' || lpad(CAST(id AS VARCHAR), 7, '0') AS raw_text,
-  trim(regexp_replace(exam_name_raw, '  +', ' ', 'g')) AS exam_name, date_trunc('minute', study_datetime) AS study_datetime, CAST(log_date AS VARCHAR) AS study_date,
+  trim(regexp_replace(exam_name_raw, '  +', ' ', 'g')) AS exam_name, strftime(study_datetime, '%Y-%m-%d %H:%M') AS study_datetime, CAST(log_date AS VARCHAR) AS study_date,
   'A' || lpad(CAST(id AS VARCHAR), 7, '0') AS accession_number, CAST(1.0 AS DOUBLE) AS confidence FROM study_logs"""
 )
 def ocr_lines(spark, sf_dir):
     logs = fx.study_logs(spark, sf_dir)
     line = F.concat_ws(" ", "exam_name_raw", F.date_format("study_datetime", "M/d/yyyy h:mm a"), F.concat(F.lit("ACC: A"), F.lpad(F.col("id").cast("string"), 7, "0")))
-    return readers.ocr_studies(logs.select(line.alias("value")), "2024-02-01 00:00:00")
+    found = readers.ocr_studies(logs.select(line.alias("value")), "2024-02-01 00:00:00")
+    return found.withColumn("study_datetime", F.date_format("study_datetime", "yyyy-MM-dd HH:mm"))
 
 
 @query(

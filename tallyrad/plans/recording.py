@@ -191,7 +191,7 @@ def distinct_values(spark, sf_dir):
 @query(
     PRE
     + """, l AS (SELECT id // 5 AS file, id, log_date, study_datetime, CASE id % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.75 WHEN 2 THEN 1.0 WHEN 3 THEN NULL ELSE 1.0 END AS trust FROM study_logs)
-SELECT file, CASE WHEN trust = 1.0 THEN date_trunc('minute', study_datetime) END AS study_datetime, CAST(log_date AS VARCHAR) AS study_date, CAST(trust AS DOUBLE) AS confidence FROM l
+SELECT file, CASE WHEN trust = 1.0 THEN strftime(study_datetime, '%Y-%m-%d %H:%M') END AS study_datetime, CAST(log_date AS VARCHAR) AS study_date, CAST(trust AS DOUBLE) AS confidence FROM l
 WHERE trust IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY trust DESC, id) = 1"""
 )
 def best_moment(spark, sf_dir):
@@ -204,7 +204,9 @@ def best_moment(spark, sf_dir):
     )
     lines = logs.select(F.floor(F.col("id") / 5).alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("seen "), text).alias("value"))
     found = dates.with_moment(lines, "value", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), "m")
-    return records.best_moment(found, "file").select("file", "study_datetime", "study_date", "confidence")
+    return records.best_moment(found, "file").select(
+        "file", F.date_format("study_datetime", "yyyy-MM-dd HH:mm").alias("study_datetime"), "study_date", "confidence"
+    )
 
 
 @query(
@@ -528,7 +530,7 @@ def mirrored_fees(spark, sf_dir):
     return tables.to_local(remote).drop("cpt_code", "modifier")
 
 
-@query(PRE + " SELECT profile_id, coalesce(practice_id, 0) AS practice_id FROM profiles")
+@query(PRE + " SELECT profile_id, CAST(coalesce(practice_id, 0) AS BIGINT) AS practice_id FROM profiles")
 def attached_profiles(spark, sf_dir):
     """Profiles where there is no practice yet: orphans go to the default one."""
     orgs = spark.createDataFrame([], "organization_id long, name string")
