@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, licences, quality, repeats, secrets, simhash, topk, toxicity
+from . import bpe, decontamination, langid, licences, quality, repeats, resampling, secrets, simhash, topk, toxicity
 from .common import documents, fold, table
 
 #: Folds that models don't learn from.
@@ -106,6 +106,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_toxicity": op2_toxicity,
@@ -117,6 +121,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_repeats": op9_repeats,
     "op10_topk": op10_topk,
+    "op12_resampling": op12_resampling,
 }
 
 #: Matches of a pattern (whole and one group) with what stands between them, which gives their places.
@@ -162,7 +167,52 @@ SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in s
 FROM d LEFT JOIN g USING (n)"""
 
 
+#: The checksum of a string (unsigned crc32 of its UTF-8 bytes): its bytes from pairs of hexadecimal digits, folded
+#: over the table of the reflected polynomial.
+_CRC = """
+crc_table AS (SELECT list(c ORDER BY b) AS steps FROM (
+  SELECT b, list_reduce(list_prepend(b, [CAST(x AS BIGINT) FOR x IN range(8)]),
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS c
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)))"""
+
+
+def _crc_sql(value: str) -> str:
+    """Of a value whose row also holds the steps of crc_table."""
+    hexed = f"hex(encode({value}))"
+    listed = f"[CAST('0x' || substr({hexed}, CAST(2 * i + 1 AS INT), 2) AS BIGINT) FOR i IN range(length({hexed}) // 2)]"
+    start = "CAST(4294967295 AS BIGINT)"
+    folded = f"list_reduce(list_prepend({start}, {listed}), lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INT) + 1]))"
+    return f"xor({folded}, {start})"
+
+
+def _resampling_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    buckets = resampling.BUCKETS
+    return f"""
+WITH {_CRC.strip()},
+d AS (SELECT row_number() OVER () AS n, doc_id, {words} AS words FROM documents),
+dw AS (SELECT n, unnest(words) AS word FROM d),
+bw AS (SELECT unnest({words}) AS word FROM benchmark),
+w AS (SELECT word, {_crc_sql("word")} % {buckets} AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN w USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN w USING (word) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM dw) + {buckets})
+  / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM bw) + {buckets})))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM w) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+f AS (SELECT n, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN w USING (word) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT n, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+    + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN f USING (n)),
+r AS (SELECT *, n_features >= {resampling.LEAST_WORDS} AS fit,
+  row_number() OVER (PARTITION BY n_features >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features DESC) AS place FROM x)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN fit AND place <= {resampling.PERCENT} * (SELECT count(*) FROM r WHERE fit) // 100 THEN place END AS rank FROM r"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_resampling": _resampling_sql(),
     "op6_secrets": _secrets_sql(),
     "op10_topk": """
 WITH v AS (
