@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, licences, quality, repeats, resampling, secrets, simhash, topk, toxicity
+from . import bpe, decontamination, langid, licences, merkle, quality, repeats, resampling, secrets, simhash, topk, toxicity
 from .common import documents, fold, table
 
 #: Folds that models don't learn from.
 LABEL_FOLDS, LANGUAGE_FOLDS, LANGUAGE_HELD = 5, 3, 1
+#: One fold of so many is tampered with before the manifest is verified.
+TAMPERED_FOLDS = 5
 TOXICITY_THRESHOLD, QUALITY_THRESHOLD = 0.5, 0.3
 
 
@@ -106,6 +110,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and what proofs say of texts that were tampered with: those of a fold, in lower case."""
+    docs = documents(spark, sf_dir, *merkle.COLUMNS)
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    hit = F.coalesce(fold("doc_id", TAMPERED_FOLDS) == 0, F.lit(False))
+    found = merkle.manifest(docs, keep={"changed": F.when(hit, merkle.leaf(text=lower))})
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -121,6 +138,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_repeats": op9_repeats,
     "op10_topk": op10_topk,
+    "op11_merkle": op11_merkle,
     "op12_resampling": op12_resampling,
 }
 
@@ -211,7 +229,54 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN fit AND place <= {resampling.PERCENT} * (SELECT count(*) FROM r WHERE fit) // 100 THEN place END AS rank FROM r"""
 
 
+#: Levels that the SQL of the manifest goes up within a source and above the sources: 16 to that power rows at most.
+_LEVELS, _TOP_LEVELS = 5, 3
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in merkle.COLUMNS) + ")"
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts, fan = [], merkle.FAN
+
+    def levels(name: str, of: str, n: int) -> None:
+        parts.append(f"{name}0 AS (SELECT tree, r, node FROM {of})")
+        for k in range(1, n + 1):
+            parts.append(
+                f"{name}{k} AS (SELECT tree, b AS r, kids, b = 0 AND len(kids) = 1 AS alone, CASE WHEN b = 0 AND len(kids) = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS node"
+                f" FROM (SELECT tree, r // {fan} AS b, list(node ORDER BY r) AS kids FROM {name}{k - 1} GROUP BY tree, r // {fan}))"
+            )
+
+    def climbed(name: str, of: str, n: int) -> str:
+        """Adds proof and folded root, level by level; a row holds its place in the tree (tree, r)."""
+        for k in range(1, n + 1):
+            at = f"CAST(x.r // {fan ** (k - 1)} % {fan} AS INT)"
+            parts.append(
+                f"{of}_{name}{k} AS (SELECT x.* EXCLUDE (proof, folded), x.proof || CASE WHEN y.alone THEN '' ELSE array_to_string(y.kids[1:{at}], '') || array_to_string(y.kids[{at} + 2:], '') END AS proof,"
+                f" CASE WHEN y.alone THEN x.folded ELSE sha256(array_to_string(y.kids[1:{at}], '') || x.folded || array_to_string(y.kids[{at} + 2:], '')) END AS folded"
+                f" FROM {of if k == 1 else f'{of}_{name}{k - 1}'} x JOIN {name}{k} y ON x.tree = y.tree AND x.r // {fan**k} = y.r)"
+            )
+        return f"{of}_{name}{n}"
+
+    levels("n", "d", _LEVELS)
+    parts.append(f"subs AS (SELECT '' AS tree, tree AS source_tree, node AS node, row_number() OVER (ORDER BY tree) - 1 AS r FROM n{_LEVELS})")
+    levels("t", "subs", _TOP_LEVELS)
+    inner = climbed("n", "d", _LEVELS)
+    parts.append(f"e AS (SELECT x.* EXCLUDE (tree, r), s.node AS subroot, s.tree, s.r FROM {inner} x JOIN subs s ON x.tree = s.source_tree)")
+    outer = climbed("t", "e", _TOP_LEVELS)
+    return f"""
+WITH {_CRC.strip()},
+c AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {leaf("text")} AS leaf, {leaf(lower)} AS low,
+  coalesce({_crc_sql("CAST(doc_id AS VARCHAR)")} % {TAMPERED_FOLDS} = 0, false) AS hit FROM documents, crc_table),
+d AS (SELECT *, leaf AS node, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, '' AS proof,
+  CASE WHEN hit THEN low ELSE leaf END AS folded FROM c),
+{", ".join(parts)}
+SELECT doc_id, leaf, subroot, (SELECT node FROM t{_TOP_LEVELS}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = (SELECT node FROM t{_TOP_LEVELS}) AS verified FROM {outer}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
     "op12_resampling": _resampling_sql(),
     "op6_secrets": _secrets_sql(),
     "op10_topk": """
