@@ -7,11 +7,12 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, langid, licences, merkle, quality, repeats, resampling, secrets, simhash, topk, toxicity
+from . import bpe, decontamination, langid, licences, merkle, mixing, quality, repeats, resampling, secrets, simhash, topk, toxicity
 from .common import documents, fold, table
 
 #: Folds that models don't learn from.
 LABEL_FOLDS, LANGUAGE_FOLDS, LANGUAGE_HELD = 5, 3, 1
+MODEL_FOLDS, MODEL_HELD = 5, 1
 #: One fold of so many is tampered with before the manifest is verified.
 TAMPERED_FOLDS = 5
 TOXICITY_THRESHOLD, QUALITY_THRESHOLD = 0.5, 0.3
@@ -127,6 +128,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", MODEL_FOLDS) == MODEL_HELD
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = mixing.score(docs, ~held, F.col("lang"))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), *found.columns[1:])
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_toxicity": op2_toxicity,
@@ -140,6 +148,7 @@ QUERIES = {
     "op10_topk": op10_topk,
     "op11_merkle": op11_merkle,
     "op12_resampling": op12_resampling,
+    "op13_mixing": op13_mixing,
 }
 
 #: Matches of a pattern (whole and one group) with what stands between them, which gives their places.
