@@ -1,4 +1,4 @@
-"""Word lists, patterns and codes that results depend on, as published by the field's practice."""
+"""Word lists, patterns and codes that must equal those of the behaviour asked for, as results depend on them."""
 
 MODALITIES = ["CT", "MRI", "US", "XR", "NM_PET", "MAMMO", "FLUORO", "PROCEDURE", "OTHER"]
 
@@ -286,6 +286,7 @@ DESCRIPTION_MODALITY = [
     (r"(?i)\bfluoroscop|\bbarium", "FLUORO"),
 ]
 
+# Words of titles that are written in capitals, and in small letters unless they come first.
 UPPER_WORDS = ["CT", "MRI", "CTA", "MRA", "PET", "DEXA", "US", "XR", "NM"]
 LOWER_WORDS = ["and", "or", "of", "the", "a", "an", "in", "on", "at", "with", "without"]
 

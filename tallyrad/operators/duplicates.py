@@ -51,7 +51,7 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
 
     Both sides come from with_fingerprint. As the first log is wanted, logs are summed up to the smallest id of each
     accession number, fingerprint, minute and name before they are joined; a candidate looks up its keys and the
-    minutes around its own. So a code that is very frequent in a day gives no pairs of rows.
+    quarters of an hour around its own. So a code that is very frequent in a day gives no pairs of rows.
     """
     number = F.nullif(F.upper(F.trim("accession_number")), F.lit(""))
     minute = minutes_of_day(F.col("study_datetime"))
@@ -66,10 +66,17 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
     lit = F.lit
     by_number = c.join(g.where(F.col("number").isNotNull()).groupBy("log_date", "number").agg(lowest), ["log_date", "number"])
     by_print = c.join(g.groupBy("log_date", "fingerprint").agg(lowest), ["log_date", "fingerprint"])
-    around = F.explode(F.sequence(lit(-POSSIBLE), lit(POSSIBLE))).alias("apart")
-    near = c.where(F.col("minute").isNotNull()).select("id", "log_date", "cpt_code", "minute", around)
-    near = near.withColumn("minute", F.col("minute") + F.col("apart"))
-    by_time = near.join(g.where(F.col("minute").isNotNull()).groupBy("log_date", "cpt_code", "minute").agg(lowest), ["log_date", "cpt_code", "minute"])
+    # quarters of an hour: a candidate asks its own and both neighbours, and in each of at most that many minutes
+    width = POSSIBLE + 1
+    by_minute = g.where(F.col("minute").isNotNull()).groupBy("log_date", "cpt_code", "minute").agg(lowest)
+    quarters = by_minute.groupBy("log_date", "cpt_code", F.floor(F.col("minute") / width).alias("quarter")).agg(
+        F.collect_list(F.struct("log_id", "minute")).alias("there")
+    )
+    asks = F.explode(F.sequence(F.floor(F.col("minute") / width) - 1, F.floor(F.col("minute") / width) + 1)).alias("quarter")
+    near = c.where(F.col("minute").isNotNull()).select("id", "log_date", "cpt_code", F.col("minute").alias("own"), asks)
+    by_time = near.join(quarters, ["log_date", "cpt_code", "quarter"])
+    by_time = by_time.withColumn("met", F.array_min(F.filter("there", lambda x: F.abs(x["minute"] - F.col("own")) <= POSSIBLE)))
+    by_time = by_time.where(F.col("met").isNotNull()).select("id", "met.log_id", (F.col("met.minute") - F.col("own")).alias("apart"))
     close = F.abs("apart") <= VERY_LIKELY
 
     names = c.select("log_date", "cpt_code", "exam_key", "untimed").distinct()

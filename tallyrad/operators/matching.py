@@ -217,14 +217,18 @@ def scored_descriptions(titles: DataFrame, fees: DataFrame) -> DataFrame:
 
 
 def candidates(
-    titles: DataFrame, cpt: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = 5
+    titles: DataFrame, cpt: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = 5, held: list[DataFrame] | None = None
 ) -> DataFrame:
     """Up to k candidates of each title: title, rank, code, modifier, description, work units, confidence, source.
 
     A title that is a code has only that. Later stages count while earlier ones gave fewer than k rows. Of
-    equal codes the first stays; nothing is returned for a title whose best confidence is under 0.5.
+    equal codes the first stays; nothing is returned for a title whose best confidence is under 0.5. What is derived
+    from titles and schedule is persisted, as all stages ask for it; it is put into `held` for a caller that goes on
+    for long to unpersist once the candidates are written.
     """
-    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()  # what all stages ask for
+    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()
+    if held is not None:
+        held += [keys, fees]
     stages = [direct(keys, fees), common(keys, fees), exact_description(keys, fees), fuzzy_description(keys, fees, k)]
     if aliases is not None:
         known = alias_keys(aliases)

@@ -249,7 +249,10 @@ def newest(rows: DataFrame, n: int, by: str = "created_at", *keys: str) -> DataF
 
 def active_profile(profiles: DataFrame, *keys: str) -> DataFrame:
     """The active profile (of each key), else the one used last; ties go to the smaller id."""
-    order = Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.desc("active"), F.desc_nulls_last("last_used"), "profile_id")
+    first = [F.desc("active"), F.desc_nulls_last("last_used"), F.asc("profile_id")]
+    if not keys:
+        return profiles.orderBy(*first).limit(1)
+    order = Window.partitionBy(*keys).orderBy(*first)
     return profiles.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == 1).drop("nth")
 
 
@@ -294,15 +297,25 @@ def file_label(filename: Column) -> Column:
 
 def legacy_export(logs: DataFrame) -> DataFrame:
     """Lines of the older log file: time, quoted title, work units and running total by profile, two decimals, of
-    which halves are rounded up."""
+    which halves are rounded up.
+
+    A profile's days are summed apart, and each begins with the sum of the days before it, so that a profile's whole
+    life is never in one task.
+    """
     cents = lambda c: F.format_string("%.2f", F.floor(c * 100 + 0.500001) / 100)
-    order = Window.partitionBy("profile_id").orderBy("study_datetime", "id").rowsBetween(Window.unboundedPreceding, 0)
     units = F.coalesce("work_rvu", F.lit(0.0))
+    # logs without a time come first, as a day of their own
+    daily = logs.withColumns({"day": F.coalesce(F.to_date("study_datetime"), F.lit("0001-01-01").cast("date")), "owner": F.coalesce(F.col("profile_id").cast("string"), F.lit(""))})
+    days = daily.groupBy("owner", "day").agg(F.sum(units).alias("of_day"))
+    earlier = Window.partitionBy("owner").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("owner", "day", F.coalesce(F.sum("of_day").over(earlier), F.lit(0.0)).alias("before"))
+    order = Window.partitionBy("owner", "day").orderBy("study_datetime", "id").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.col("before") + F.sum(units).over(order)
     quoted = F.concat(F.lit('"'), F.regexp_replace("exam_name_raw", '"', '""'), F.lit('"'))
-    return logs.select(
+    return daily.join(before, ["owner", "day"]).select(
         "id",
         F.concat_ws(
-            ",", F.date_format("study_datetime", "M/d/yyyy h:mm:ss a"), quoted, cents(units), cents(F.sum(units).over(order))
+            ",", F.date_format("study_datetime", "M/d/yyyy h:mm:ss a"), quoted, cents(units), cents(so_far)
         ).alias("line"),
     )
 

@@ -73,7 +73,7 @@ def prior_mapping() -> Column:
 
 
 def review_reason() -> Column:
-    """The first rule of the pipeline that holds, or null."""
+    """The first rule of the pipeline that holds, or null. The reasons are fixed values."""
     first = F.get(F.col("candidates"), F.lit(0))
     plausible = F.filter("candidates", lambda c: counts(c) & (c["confidence"] >= PLAUSIBLE))
     return (
@@ -86,7 +86,7 @@ def review_reason() -> Column:
 
 
 def manual_reason() -> Column:
-    """The first rule of the reviewer's page that holds, or null."""
+    """The first rule of the reviewer's page that holds, or null. The reasons are fixed values."""
     chosen = selected_candidates()
     one = F.coalesce(F.get(chosen, F.lit(0)), F.get(F.col("candidates"), F.lit(0)))
     return (
@@ -102,6 +102,7 @@ def manual_reason() -> Column:
 
 
 def confidence_label() -> Column:
+    """What a reviewer is told of a match. The labels are fixed values."""
     one = F.coalesce(F.get(selected_candidates(), F.lit(0)), F.get(F.col("candidates"), F.lit(0)))
     return (
         F.when(one.isNull(), "No match")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_description
+
 SESSION = "session_id string, profile_id long, status string, updated_at timestamp, rows_json string"
 
 
-def row_key() -> Column:
-    """Four parts that tell a row: accession number, title, date and time."""
+def row_key(title_key: Column | None = None) -> Column:
+    """Four parts that tell a row: accession number, title in its normal form, date and time."""
     return F.concat_ws(
         "|",
         F.coalesce("accession_number", F.lit("")),
-        F.lower(F.trim("title")),
+        F.coalesce(normalize_description(F.col("title")) if title_key is None else title_key, F.lit("")),
         F.coalesce(F.col("study_date").cast("string"), F.lit("")),
         F.coalesce(F.col("study_time"), F.lit("")),
     )
@@ -22,13 +24,15 @@ def row_key() -> Column:
 def merge_rows(current: DataFrame, added: DataFrame, order: str = "ord") -> DataFrame:
     """Current rows and added ones; rows whose key is there already are skipped as very likely duplicates."""
     both = current.withColumn("side", F.lit(0)).unionByName(added.withColumn("side", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(row_key()).orderBy("side", order))
+    titles = both.select("title").distinct().withColumn("title_key", normalize_description(F.col("title")))  # once each
+    both = both.join(titles, "title", "left")
+    first = F.row_number().over(Window.partitionBy(row_key(F.col("title_key"))).orderBy("side", order))
     repeated = (F.col("side") == 1) & (F.col("copy") > 1)
     return (
         both.withColumn("copy", first)
         .withColumn("route", F.when(repeated, "skipped").otherwise(F.col("route")))
         .withColumn("duplicate_status", F.when(repeated, "very_likely").otherwise(F.col("duplicate_status")))
-        .drop("side", "copy")
+        .select(*current.columns)
     )
 
 

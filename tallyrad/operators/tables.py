@@ -1,7 +1,7 @@
 """Writing: upserts, appends that can be repeated, soft deletes, renames, audit and migrations.
 
-Parquet has no MERGE, so an operator returns what a table is to hold; `swap` writes it beside the old version
-and moves a pointer, so that readers see one or the other.
+Parquet has no MERGE, so an operator returns what a table is to hold; `swap` writes it beside the old version as a
+new snapshot, so that readers see one or the other and of two writers neither is lost.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_description
+from .snapshots import Warehouse
 
 
 def upsert_fee_schedule(stored: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -176,15 +177,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def swap(df: DataFrame, root: str) -> str:
     """Writes a version of a table beside the others and makes it the current one; returns its folder."""
-    version = f"v={uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(f"{root}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "current string").coalesce(1).write.mode("overwrite").json(f"{root}/_pointer")
-    return f"{root}/{version}"
+    now = Warehouse(df.sparkSession, root).replace("data", df)
+    return f"{root}/{now.folders('data')[''][0]}"
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("current string").json(f"{root}/_pointer").first()["current"]
-    return spark.read.parquet(f"{root}/{version}")
+    return Warehouse(spark, root).read("data")
 
 
 def append_by_date(logs: DataFrame, path: str) -> None:

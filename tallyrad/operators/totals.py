@@ -147,7 +147,7 @@ def by_practice(logs: DataFrame, profiles: DataFrame) -> DataFrame:
 def hierarchy_rollup(logs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Organization, practice and profile totals in one pass (an extension)."""
     return (
-        logs.join(F.broadcast(profiles), "profile_id")
+        logs.join(profiles, "profile_id")
         .rollup("organization_id", "practice_id", "profile_id")
         .agg(F.grouping_id().cast("long").alias("level"), F.sum(counted()).alias("wrvu"), F.count("*").alias("studies"))
     )

@@ -452,10 +452,30 @@ ALIASES = [
     (3, 6, "ultrasound thyroid exam", ["76536-26"], 0.9, 2, 0, 1),
 ]
 
+#: Aliases of an import: titles that are approved silently and as learned, and one of two codes.
+IMPORT_ALIASES = [
+    *ALIASES,
+    (4, 0, "mri brain", ["70553-26"], 0.98, 9, 0, 0),
+    (5, 0, "us ruq", ["76705-26"], 0.95, 1, 0, 0),
+    (6, 2, "ct neck with contrast", ["70498-26", "71260-26"], 0.97, 20, 0, 0),
+    (7, 0, "ct sinus", ["70450-26"], 0.9, 12, 2, 0),
+]
+
+#: Dictionary entries: names under which an exam is known, and its codes.
+ENTRIES = [
+    (1, ["US thyroid", "thyroid ultrasound"], ["76536-26"]),
+    (2, ["X-Ray chest two views", "chest pa and lateral"], ["71046-26"]),
+    (3, ["CT chest w/o", "X-Ray chest two views"], ["71250", "71260"]),
+]
+
+
+def _entries(spark):
+    return spark.createDataFrame(ENTRIES, "id int, names array<string>, cpt_codes array<string>")
+
 
-def _aliases(spark):
+def _aliases(spark, rows=None):
     return spark.createDataFrame(
-        ALIASES,
+        rows or ALIASES,
         "id int, scope int, alias_text string, cpt_codes array<string>, match_confidence double, confirmations int, corrections int, rejections int",
     )
 

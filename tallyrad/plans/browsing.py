@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions import text as T
-from ..operators import duplicates, explorer, learning, matching, review, sessions, tables, totals
+from ..operators import duplicates, explorer, imports, learning, matching, review, sessions, tables, totals
 from ..sources import readers
 from . import analytics, matchsql, sqltext
 from . import fixtures as fx
@@ -236,8 +236,9 @@ def session_summary(spark, sf_dir):
 
 
 @query(
-    PRE
-    + """, k AS (SELECT id AS ord, id % 2 AS side, coalesce(accession_number, '') || '|' || lower(trim(exam_name_raw)) || '|' || CAST(log_date AS VARCHAR) || '|' || strftime(study_datetime, '%H') AS key FROM study_logs),
+    f"""{PRE}, titles AS (SELECT DISTINCT exam_name_raw AS title, exam_name_raw AS prev FROM study_logs), {sqltext.description_cte('titles', 'title', 'des')},
+k AS (SELECT id AS ord, id % 2 AS side, coalesce(accession_number, '') || '|' || description_key || '|' || CAST(l.log_date AS VARCHAR) || '|' || strftime(l.study_datetime, '%H') AS key
+  FROM study_logs l JOIN des ON des.title = l.exam_name_raw),
 n AS (SELECT *, side = 1 AND row_number() OVER (PARTITION BY key ORDER BY side, ord) > 1 AS repeated FROM k)
 SELECT ord, CASE WHEN repeated THEN 'skipped' ELSE 'review' END AS route, CASE WHEN repeated THEN 'very_likely' ELSE '-' END AS duplicate_status FROM n"""
 )
@@ -309,10 +310,11 @@ def description_leads(spark, sf_dir):
 _FOUND = "SELECT title, rank, cpt_code, modifier, description, round(work_rvu, 6) AS work_rvu, round(confidence, 6) AS confidence, source FROM found"
 
 
-@query(matchsql.candidates(_TITLES, analytics.ALIASES, 5) + _FOUND)
+@query(matchsql.candidates(_TITLES, analytics.ALIASES, 5, analytics.ENTRIES) + _FOUND)
 def match_candidates(spark, sf_dir):
-    """Staged matching of all titles; the fee schedule is the fixed rows and the parts."""
-    return rounded(matching.candidates(_titles(spark, sf_dir), _schedule(spark, sf_dir), _aliases(spark)), 6)
+    """Staged matching of all titles, all stages; the fee schedule is the fixed rows and the parts."""
+    found = matching.candidates(_titles(spark, sf_dir), _schedule(spark, sf_dir), _aliases(spark), analytics._entries(spark))
+    return rounded(found, 6)
 
 
 @query(matchsql.library(_TITLES, 8))
@@ -320,35 +322,54 @@ def library_search(spark, sf_dir):
     return rounded(matching.library_search(_titles(spark, sf_dir), _schedule(spark, sf_dir)), 6)
 
 
-_BATCH = "titles AS MATERIALIZED (SELECT DISTINCT exam_name_raw AS title, exam_name_raw AS prev FROM study_logs WHERE log_date >= DATE '2024-01-25')"
-
-
-@query(
-    matchsql.candidates(_BATCH, None, 6) + f""",
-x AS MATERIALIZED (SELECT title, {sqltext.exam_text('title')} AS exam_key FROM (SELECT DISTINCT exam_name_raw AS title FROM study_logs)),
-{analytics.prints('x')},
-b AS (SELECT id, exam_name_raw AS title, id <> min(id) OVER (PARTITION BY fingerprint) AS again FROM f WHERE log_date >= DATE '2024-01-25'),
-c AS (SELECT title, count(*) AS n, max(confidence) FILTER (rank = 1) AS one, count(*) FILTER (confidence >= 0.65) AS good FROM found GROUP BY 1),
-r AS (SELECT b.*, coalesce(n, 0) AS n, one, CASE WHEN n IS NULL THEN 'New or unknown exam' WHEN one < 0.95 THEN 'Low confidence match'
-  WHEN good > 1 THEN 'Multiple possible CPT matches' END AS review_reason FROM b LEFT JOIN c USING (title))
-SELECT id, title, CASE WHEN again THEN 'exact' END AS duplicate_status, CAST(n AS INT) AS n_candidates, review_reason, CAST(NULL AS VARCHAR) AS approval_level,
-  review_reason IS NOT NULL OR one < 0.75 AS needs_review, CASE WHEN again THEN 'skipped' ELSE 'review' END AS route FROM r"""
-)
+_AGAIN = f"""
+x AS MATERIALIZED (SELECT title, {sqltext.exam_text('title')} AS exam_key FROM titles),
+one AS (SELECT title, cpt_code AS code, confidence AS one, source = 'alias' AS by_alias FROM found WHERE rank = 1),
+l AS (SELECT id, l.log_date, l.study_datetime, accession_number, exam_name_raw AS title, exam_key, code FROM study_logs l JOIN x ON x.title = exam_name_raw LEFT JOIN one USING (title)),
+w AS (SELECT * REPLACE (study_datetime + to_minutes(CAST(id % 40 AS INT)) AS study_datetime, CASE WHEN id % 3 <> 0 THEN accession_number END AS accession_number) FROM l),
+printed AS (SELECT *, CASE WHEN accession_number IS NOT NULL THEN 'acc:' || upper(accession_number)
+    ELSE 'fp:' || exam_key || '|' || coalesce(code, 'nocpt') || '|' || CAST(log_date AS VARCHAR) || '|' || strftime(study_datetime, '%H:%M') END AS fingerprint,
+    hour(study_datetime) * 60 + minute(study_datetime) AS at
+  FROM (SELECT 'g' AS side, * FROM l UNION ALL SELECT 'c', * FROM w)),
+c AS MATERIALIZED (SELECT *, id <> min(id) OVER (PARTITION BY fingerprint) AS again FROM printed WHERE side = 'c'),
+h AS MATERIALIZED (SELECT * FROM printed WHERE side = 'g'),
+p AS (SELECT c.id, g.id AS log_id, abs(c.at - g.at) AS apart, c.at = 0 OR g.at = 0 AS untimed, coalesce(c.accession_number = g.accession_number, false) AS same_number,
+    c.fingerprint = g.fingerprint AS same_print, coalesce(c.code = g.code, false) AS same_code,
+    CAST(len(list_filter(string_split(g.exam_key, ' '), lambda w: list_contains(string_split(c.exam_key, ' '), w))) AS DOUBLE)
+      / greatest(1, least(len(list_distinct(string_split(c.exam_key, ' '))), len(string_split(g.exam_key, ' ')))) AS shared
+  FROM c JOIN h AS g ON c.log_date = g.log_date AND (c.accession_number = g.accession_number OR c.fingerprint = g.fingerprint OR c.code = g.code)),
+t AS (SELECT id, log_id, CASE WHEN same_number OR same_print THEN 'exact' WHEN same_code AND apart <= 3 THEN 'very_likely'
+    WHEN same_code AND apart <= 15 THEN 'possible' WHEN same_code AND untimed AND shared >= 0.7 THEN 'possible' END AS tier,
+  CASE WHEN same_number THEN 'same accession number' WHEN same_print THEN 'identical fingerprint' WHEN same_code AND apart <= 3 THEN 'same code, close in time'
+    WHEN same_code AND apart <= 15 THEN 'same code, near in time' WHEN same_code AND untimed AND shared >= 0.7 THEN 'same code, similar name' END AS reason FROM p),
+m AS (SELECT id, min(log_id) AS log_id, arg_min(tier, log_id) AS tier, arg_min(reason, log_id) AS reason FROM t WHERE tier IS NOT NULL GROUP BY 1),
+n AS (SELECT title, count(*) AS n, count(*) FILTER (confidence >= 0.65) AS good FROM found GROUP BY 1),
+d AS (SELECT c.id, c.title, again, CASE WHEN again THEN 'exact' ELSE tier END AS dup, CASE WHEN again THEN 'repeated in this batch' ELSE reason END AS dup_reason,
+    CASE WHEN NOT again THEN log_id END AS duplicate_of, coalesce(n, 0) AS n, good, one, coalesce(by_alias, false) AS by_alias
+  FROM c LEFT JOIN m USING (id) LEFT JOIN n ON n.title = c.title LEFT JOIN one ON one.title = c.title),
+r AS (SELECT *, CASE WHEN n = 0 THEN 'New or unknown exam' WHEN dup = 'possible' THEN 'Possible duplicate' WHEN one < 0.95 THEN 'Low confidence match'
+    WHEN good > 1 AND NOT by_alias THEN 'Multiple possible CPT matches' END AS review_reason,
+  CASE WHEN by_alias AND dup IS NULL THEN CASE WHEN one >= 0.99 THEN 'silent' WHEN one >= 0.95 THEN 'learned' END END AS approval_level FROM d)
+SELECT id, title, dup AS duplicate_status, dup_reason AS duplicate_reason, duplicate_of, CAST(n AS INT) AS n_candidates, review_reason, approval_level,
+  NOT (approval_level IS NOT NULL AND review_reason IS NULL) AND (review_reason IS NOT NULL OR one < 0.75) AS needs_review,
+  CASE WHEN dup IN ('exact', 'very_likely') THEN 'skipped' ELSE 'review' END AS route FROM r"""
+
+
+@query(matchsql.candidates(_TITLES, analytics.IMPORT_ALIASES, 6, analytics.ENTRIES) + "," + _AGAIN)
 def import_pipeline(spark, sf_dir):
-    """Matching, duplicates, review and routing of a batch of studies in one plan."""
+    """All studies are imported a second time, some minutes later and in part without their numbers, into the logs of
+    the first time: matching, duplicates, review and routing in one plan."""
     logs = fx.study_logs(spark, sf_dir)
-    batch, stored = logs.where("log_date >= '2024-01-25'"), logs.where("log_date < '2024-01-25'")
-    found = matching.candidates(batch.select(F.col("exam_name_raw").alias("title")), _schedule(spark, sf_dir), k=6)
-    struct = F.struct(
-        "rank", "cpt_code", "modifier", "description", "work_rvu", codes.classify_modality(F.col("cpt_code")).alias("modality"), "confidence",
-        F.when(F.col("source") == "alias", "alias_match").otherwise("radiology_match").alias("method"),
+    schedule, aliases, entries = _schedule(spark, sf_dir), _aliases(spark, analytics.IMPORT_ALIASES), analytics._entries(spark)
+    studies = logs.select(
+        "id", F.col("exam_name_raw").alias("exam_title"), F.lit(None).cast("string").alias("cpt"), "log_date", "study_datetime",
+        F.lit(1.0).alias("date_time_confidence"), "accession_number", F.lit(None).cast("string").alias("modality"),
     )
-    lists = found.groupBy("title").agg(F.array_sort(F.collect_list(struct)).alias("found"))
-    lists = lists.select(F.col("title").alias("exam_name_raw"), F.transform("found", lambda c: c.dropFields("rank")).alias("candidates"))
-    checked = duplicates.check_batch(duplicates.with_fingerprint(batch), duplicates.with_fingerprint(stored))
-    rows = checked.join(lists, "exam_name_raw", "left")
-    empty = F.array().cast(lists.schema["candidates"].dataType)
-    rows = rows.select("id", F.col("exam_name_raw").alias("title"), "duplicate_status", F.coalesce("candidates", empty).alias("candidates"))
-    return review.classify(rows).select(
-        "id", "title", "duplicate_status", F.size("candidates").alias("n_candidates"), "review_reason", "approval_level", "needs_review", "route"
+    found = matching.candidates(_titles(spark, sf_dir), schedule, aliases, entries, imports.MOST).where("rank = 1").select(F.col("title").alias("exam_name_raw"), "cpt_code")
+    before = duplicates.with_fingerprint(logs.drop("cpt_code").join(found, "exam_name_raw", "left"))
+    later = studies.withColumn("study_datetime", F.col("study_datetime") + F.make_dt_interval(mins=(F.col("id") % 40).cast("int")))
+    later = later.withColumn("accession_number", F.when(F.col("id") % 3 != 0, F.col("accession_number")))
+    rows = imports.import_rows(later, schedule, before, aliases, entries)
+    return rows.select(
+        "id", "title", "duplicate_status", "duplicate_reason", "duplicate_of", F.size("candidates").alias("n_candidates"), "review_reason", "approval_level", "needs_review", "route"
     )

@@ -122,7 +122,7 @@ s3 AS (SELECT title, 3 AS stage, CAST(place AS VARCHAR) AS seq, {_FEE}, {m.COMMO
 s4 AS (SELECT title, 4 AS stage, cpt_code AS seq, {_FEE}, {m.EXACT} AS confidence, 'exact description' AS source FROM tk JOIN fk ON f_key = description_key AND f_key <> '' JOIN own USING (description))"""
 
 
-def candidates(titles: str, aliases: list[tuple] | None, k: int) -> str:
+def candidates(titles: str, aliases: list[tuple] | None, k: int, entries: list[tuple] | None = None) -> str:
     """Common tables that end in `found`, from a table named titles (title, prev) made by `titles`."""
     parts = [PRE + FIXED_FEES, f" {titles}", title_ctes("titles"), fee_ctes(), pair_cte(), _certain()]
     parts.append(
@@ -151,6 +151,17 @@ au AS (SELECT title, 1 AS stage, place, sure AS confidence, 'alias' AS source, u
 s1 AS (SELECT title, stage, lpad(CAST(place AS VARCHAR), 6, '0') || '.' || lpad(CAST(part AS VARCHAR), 3, '0') AS seq, {_FEE}, confidence, source FROM au JOIN own ON cpt_code = split_part(code, '-', 1))"""
         )
         stages.append("s1")
+    if entries:
+        rows = ", ".join(f"({i}, {_list(names)}, {_list(c)})" for i, names, c in entries)
+        parts.append(
+            f"""
+dv AS (SELECT id, unnest(names) AS name, codes FROM (VALUES {rows}) AS v(id, names, codes)),
+dk AS (SELECT {sqltext.exam_text('name')} AS exam_key, id, codes FROM dv),
+df AS (SELECT exam_key, arg_min(codes, id) AS codes FROM dk WHERE exam_key <> '' GROUP BY 1),
+du AS (SELECT title, unnest(codes) AS code, unnest(range(0, len(codes))) AS place FROM tk JOIN df USING (exam_key)),
+s2 AS (SELECT title, 2 AS stage, CAST(place AS VARCHAR) AS seq, {_FEE}, {m.DICTIONARY} AS confidence, 'dictionary' AS source FROM du JOIN own ON cpt_code = split_part(code, '-', 1))"""
+        )
+        stages.append("s2")
     union = " UNION ALL ".join(f"SELECT title, stage, seq, {_FEE}, confidence, source FROM {s}" for s in stages)
     parts.append(
         f"""

@@ -223,7 +223,8 @@ def _replace_first(text: Column, pattern: str) -> Column:
 
 
 def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
-    """Studies of recognised lines (column value): exam name, moment, date, accession number, confidence.
+    """Studies of recognised lines (column value): exam name, moment, date, accession number, confidence, and what
+    other columns the lines have.
 
     Lines that hold nothing but labels, headers or numbers are left out.
     """
@@ -233,7 +234,8 @@ def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
     for pattern in STAMPS:
         bare = F.regexp_replace(bare, pattern, " ")
     # each step is a column of its own, as the next ones use it several times
-    now = lines.select(trimmed(F.col("value")).alias("raw_text")).where(F.length("raw_text") >= 3)
+    more = [c for c in lines.columns if c != "value"]
+    now = lines.select(trimmed(F.col("value")).alias("raw_text"), *more).where(F.length("raw_text") >= 3)
     now = now.withColumn("bare", bare).withColumn("labelled", F.col("bare").rlike(ACCESSION))
     now = now.withColumn("unlabelled", _replace_first(F.col("bare"), ACCESSION))
     now = now.withColumn("rest", _replace_first(F.col("unlabelled"), LONG_NUMBER))
@@ -247,11 +249,11 @@ def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
     )
     name = F.when(F.col("labelled"), F.col("unlabelled")).otherwise(_replace_first(F.col("bare"), LONG_NUMBER))
     now = now.select(
-        "raw_text", trimmed(F.regexp_replace(name, r"\s{2,}", " ")).alias("exam_name"), number.alias("accession_number")
+        "raw_text", trimmed(F.regexp_replace(name, r"\s{2,}", " ")).alias("exam_name"), number.alias("accession_number"), *more
     )
     return dates.with_moment(now, "raw_text", F.lit(as_of).cast("timestamp_ntz"), "m").where(F.length("exam_name") >= 2).select(
         "raw_text", "exam_name", F.col("m.study_datetime").alias("study_datetime"), F.col("m.study_date").alias("study_date"),
-        "accession_number", F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"),
+        "accession_number", F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *more,
     )
 
 

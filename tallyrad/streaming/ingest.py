@@ -16,7 +16,8 @@ from ..operators.totals import counted
 
 
 def image_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """New images of a folder. What was seen is remembered by the query's checkpoint."""
+    """New images of a folder into which whole files are moved. What was seen is remembered by the query's checkpoint,
+    whole or not; where files are written in place, use `arrivals.settled_files`."""
     return (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
@@ -86,7 +87,8 @@ def activity(spark: SparkSession, table: str, review: str, failed: str, like: Da
 
 
 def settled(images: DataFrame, as_of: Column, quiet_ms: int = 800) -> DataFrame:
-    """Images that nobody has written to for some time and that have content; others wait for a later batch."""
+    """Of a listing of images those that nobody has written to for some time and that have content. A listing is one
+    look: the others are in the next one. A stream that holds files back by itself is `arrivals.settled_files`."""
     quiet = F.unix_millis("modificationTime") <= F.unix_millis(as_of) - quiet_ms
     return images.where(quiet & (F.col("length") > 0))
 
