@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.text import normalize_description
 from . import duplicates, matching, review
+from .staging import cut
 
 #: What a study is: no code means that its title is matched.
 STUDY = (
@@ -21,10 +22,10 @@ MOST = 6
 
 
 def candidate_lists(
-    asked: DataFrame, schedule: DataFrame, aliases: DataFrame | None, entries: DataFrame | None, k: int = MOST, held: list[DataFrame] | None = None
+    asked: DataFrame, schedule: DataFrame, aliases: DataFrame | None, entries: DataFrame | None, k: int = MOST
 ) -> DataFrame:
     """Candidates of each distinct text (column asked) as an array in order of rank. Texts without any are left out."""
-    found = matching.candidates(asked.select(F.col("asked").alias("title")), schedule, aliases, entries, k, held)
+    found = matching.candidates(asked.select(F.col("asked").alias("title")), schedule, aliases, entries, k)
     method = (
         F.when(F.col("source") == "alias", "alias_match").when(F.col("source") == "direct code", "manual_cpt").otherwise("radiology_match")
     )
@@ -43,24 +44,24 @@ def explanation(source: Column, description: Column, confidence: Column) -> Colu
 
 
 def import_rows(
-    studies: DataFrame, schedule: DataFrame, stored: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = MOST,
-    held: list[DataFrame] | None = None,
-) -> DataFrame:
+    studies: DataFrame, schedule: DataFrame, stored: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = MOST
+) -> DataFrame:
     """Rows under review of a batch of studies, with their candidates, duplicates, review reason and route.
 
     studies: id, exam_title, cpt, log_date, study_datetime, accession_number, modality. A study's code, or else its
     title, is matched; duplicates are looked for under its code, or else its first candidate's, in the batch and in
     stored logs (id, exam_name_raw, cpt_code, log_date, study_datetime, accession_number, modality, fingerprint,
-    exam_key) of its day. held: see matching.candidates.
+    exam_key) of its day.
     """
     asked = F.coalesce(F.nullif(F.trim("cpt"), F.lit("")), F.col("exam_title"))
     rows = studies.withColumn("asked", asked)
-    lists = candidate_lists(rows, schedule, aliases, entries, k, held)
+    lists = cut(candidate_lists(rows, schedule, aliases, entries, k))  # a row for each distinct text, asked for twice
     first = lists.select("asked", F.col("candidates")[0]["cpt_code"].alias("first_code"), F.col("candidates")[0]["modality"].alias("first_modality"))
     keyed = rows.join(first, "asked", "left").withColumn("exam_name_raw", F.col("exam_title"))
     keyed = keyed.withColumn("cpt_code", F.coalesce(F.nullif(F.trim("cpt"), F.lit("")), F.col("first_code")))
     keyed = keyed.withColumn("modality", F.coalesce("modality", "first_modality")).drop("first_code", "first_modality")
-    checked = duplicates.check_batch(duplicates.with_fingerprint(keyed), stored)
+    printed = cut(duplicates.with_fingerprint(keyed))  # every rule for duplicates asks for it
+    checked = duplicates.check_batch(printed, stored)
     empty = F.array().cast(lists.schema["candidates"].dataType)
     listed = checked.join(lists, "asked", "left").withColumn("candidates", F.coalesce("candidates", empty))
     return review.classify(listed.withColumn("title", F.col("exam_title")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import terms
 from ..functions.codes import alias_confidence, productive
+from .staging import cut
 
 #: Confidence of each stage, and least scores.
 DIRECT, COMMON, EXACT, DICTIONARY, FUZZY_ALIAS, FUZZY_TEXT = 1.0, 0.99, 0.96, 0.94, 0.9, 0.92
@@ -217,21 +218,18 @@ def scored_descriptions(titles: DataFrame, fees: DataFrame) -> DataFrame:
 
 
 def candidates(
-    titles: DataFrame, cpt: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = 5, held: list[DataFrame] | None = None
+    titles: DataFrame, cpt: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = 5
 ) -> DataFrame:
     """Up to k candidates of each title: title, rank, code, modifier, description, work units, confidence, source.
 
     A title that is a code has only that. Later stages count while earlier ones gave fewer than k rows. Of
     equal codes the first stays; nothing is returned for a title whose best confidence is under 0.5. What is derived
-    from titles and schedule is persisted, as all stages ask for it; it is put into `held` for a caller that goes on
-    for long to unpersist once the candidates are written.
+    from titles and schedule is computed once, as all stages ask for it.
     """
-    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()
-    if held is not None:
-        held += [keys, fees]
+    keys, fees = cut(title_keys(titles)), cut(fee_keys(cpt))
     stages = [direct(keys, fees), common(keys, fees), exact_description(keys, fees), fuzzy_description(keys, fees, k)]
     if aliases is not None:
-        known = alias_keys(aliases)
+        known = cut(alias_keys(aliases))
         stages += [exact_alias(keys, known, fees), fuzzy_alias(keys, known, fees, k)]
     if entries is not None:
         stages.append(dictionary(keys, entries, fees))
@@ -255,7 +253,7 @@ def candidates(
 
 def library_search(titles: DataFrame, cpt: DataFrame, k: int = 8) -> DataFrame:
     """Search of the fee schedule: fixed and exact mappings first, then a blend of three similarities."""
-    keys, fees = title_keys(titles).persist(), fee_keys(cpt).persist()
+    keys, fees = cut(title_keys(titles)), cut(fee_keys(cpt))
     scored = scored_descriptions(keys, fees).withColumn("f_raw", T.normalize_exam_text(F.col("description")))
     raw = T.combined_similarity(F.col("exam_key"), F.col("f_raw"))
     many = F.size(F.split(F.trim("title"), r"\s+")) > 3

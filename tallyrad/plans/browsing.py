@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import text as T
 from ..operators import duplicates, explorer, imports, learning, matching, review, sessions, tables, totals
+from ..operators.staging import cut
 from ..sources import readers
 from . import analytics, matchsql, sqltext
 from . import fixtures as fx
@@ -366,7 +367,7 @@ def import_pipeline(spark, sf_dir):
         F.lit(1.0).alias("date_time_confidence"), "accession_number", F.lit(None).cast("string").alias("modality"),
     )
     found = matching.candidates(_titles(spark, sf_dir), schedule, aliases, entries, imports.MOST).where("rank = 1").select(F.col("title").alias("exam_name_raw"), "cpt_code")
-    before = duplicates.with_fingerprint(logs.drop("cpt_code").join(found, "exam_name_raw", "left"))
+    before = cut(duplicates.with_fingerprint(logs.drop("cpt_code").join(found, "exam_name_raw", "left")))
     later = studies.withColumn("study_datetime", F.col("study_datetime") + F.make_dt_interval(mins=(F.col("id") % 40).cast("int")))
     later = later.withColumn("accession_number", F.when(F.col("id") % 3 != 0, F.col("accession_number")))
     rows = imports.import_rows(later, schedule, before, aliases, entries)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imports
 from ..operators.snapshots import Change, Conflict, Snapshot, Warehouse
+from ..operators.staging import cut
 from ..sources import readers
 
 #: Buckets of the index of accession numbers, and attempts at a commit that meets other writers.
@@ -52,27 +53,22 @@ def commit_logs(
 ) -> Snapshot:
     """Commits logs (with fingerprint) that aren't there yet, the first of each fingerprint, with their index entries
     and further changes. tally: makes rows of the table activity from the logs that are new."""
-    logs = logs.persist()
-    try:
-        for _ in range(ATTEMPTS):
-            base = warehouse.snapshot()
-            if base.done.get(by, -1) >= number:
-                return base
-            known, relied = committed_prints(warehouse, logs, base)
-            first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("id"))
-            ready = logs.join(known, "fingerprint", "left_anti").withColumn("copy", first).where("copy = 1").select(*logs.columns).persist()
-            changes = {"logs": Change(ready, "log_date"), "numbers": Change(_bucketed(ready).select("bucket", "fingerprint", "log_date"), "bucket")}
-            if tally:
-                changes["activity"] = Change(tally(ready))
-            try:
-                return warehouse.commit(changes | (more or {}), base, relied, by, number)
-            except Conflict:
-                continue  # another writer was in the same days: look again
-            finally:
-                ready.unpersist()
-        raise Conflict(f"other writers kept changing the days of {by}/{number}")
-    finally:
-        logs.unpersist()
+    logs = cut(logs)
+    for _ in range(ATTEMPTS):
+        base = warehouse.snapshot()
+        if base.done.get(by, -1) >= number:
+            return base
+        known, relied = committed_prints(warehouse, logs, base)
+        first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("id"))
+        ready = cut(logs.join(known, "fingerprint", "left_anti").withColumn("copy", first).where("copy = 1").select(*logs.columns))
+        changes = {"logs": Change(ready, "log_date"), "numbers": Change(_bucketed(ready).select("bucket", "fingerprint", "log_date"), "bucket")}
+        if tally:
+            changes["activity"] = Change(tally(ready))
+        try:
+            return warehouse.commit(changes | (more or {}), base, relied, by, number)
+        except Conflict:
+            continue  # another writer was in the same days: look again
+    raise Conflict(f"other writers kept changing the days of {by}/{number}")
 
 
 def line_studies(lines: DataFrame, as_of: str) -> DataFrame:
@@ -98,39 +94,33 @@ def import_batch(
     now = warehouse.snapshot()
     if now.done.get(by, -1) >= number:
         return now
-    studies, held = studies.persist(), []
-    try:
-        schedule = warehouse.read("schedule", at=pin)
-        aliases, entries = (warehouse.read(t, at=pin) if t in pin.tables else None for t in ("aliases", "entries"))
-        like = imports.committed_logs(_no_rows(studies, schedule), by, profile_id).schema
-        stored = warehouse.read("logs", like, _parts(studies, "log_date"), now).where(F.col("deleted_at").isNull())
-        rows = imports.import_rows(studies, schedule, stored, aliases, entries, held=held).withColumn("batch", F.lit(number)).persist()
-        sure = ~F.col("needs_review")
-        logs = imports.committed_logs(rows.where(sure), f"{by}/{number}", profile_id)
-        under_review = rows.where((F.col("route") == "review") & ~sure)
-
-        def activity(ready: DataFrame) -> DataFrame:
-            """What became of each file: of its studies those that were read, and of its logs those that are new."""
-            own = F.regexp_replace("session_id", r"#\d+$", "")
-            wrvu = ready.groupBy(F.substr(own, F.lit(len(f"{by}/{number}/") + 1)).alias("path")).agg(F.sum("work_rvu").alias("wrvu"), F.count("*").alias("committed"))
-            seen = rows.groupBy("path").agg(
-                F.count_if((F.col("route") == "review") & ~sure).alias("under_review"), F.count_if(F.col("route") == "skipped").alias("skipped")
-            )
-            some = (seen if files is None else files.select("path").distinct().join(seen, "path", "left")).join(wrvu, "path", "left")
-            some = some.fillna(0, ["wrvu", "committed", "under_review", "skipped"])
-            outcome = F.when(F.col("under_review") > 0, "needs_review").when(F.col("committed") > 0, "committed").otherwise("skipped")
-            return some.select(F.lit(number).alias("batch"), "path", outcome.alias("outcome"), "committed", "under_review", "skipped", "wrvu")
-
-        try:
-            return commit_logs(warehouse, logs, by, number, {"queue": Change(under_review, "log_date")}, activity)
-        finally:
-            rows.unpersist()
-    finally:
-        for df in (studies, *held):
-            df.unpersist()
-
-
-def _no_rows(studies: DataFrame, schedule: DataFrame) -> DataFrame:
+    studies = cut(studies)
+    schedule = warehouse.read("schedule", at=pin)
+    aliases, entries = (warehouse.read(t, at=pin) if t in pin.tables else None for t in ("aliases", "entries"))
+    like = imports.committed_logs(_no_rows(studies), by, profile_id).schema
+    stored = warehouse.read("logs", like, _parts(studies, "log_date"), now).where(F.col("deleted_at").isNull())
+    rows = cut(imports.import_rows(studies, schedule, stored, aliases, entries).withColumn("batch", F.lit(number)))
+    sure = ~F.col("needs_review")
+    logs = imports.committed_logs(rows.where(sure), f"{by}/{number}", profile_id)
+    under_review = rows.where((F.col("route") == "review") & ~sure)
+
+    def activity(ready: DataFrame) -> DataFrame:
+        """What became of each file: of its studies those that were read, and of its logs those that are new."""
+        own = F.regexp_replace("session_id", r"#\d+$", "")
+        wrvu = ready.groupBy(F.substr(own, F.lit(len(f"{by}/{number}/") + 1)).alias("path"))
+        wrvu = wrvu.agg(F.sum("work_rvu").alias("wrvu"), F.count("*").alias("committed"))
+        seen = rows.groupBy("path").agg(
+            F.count_if((F.col("route") == "review") & ~sure).alias("under_review"), F.count_if(F.col("route") == "skipped").alias("skipped")
+        )
+        some = (seen if files is None else files.select("path").distinct().join(seen, "path", "left")).join(wrvu, "path", "left")
+        some = some.fillna(0, ["wrvu", "committed", "under_review", "skipped"])
+        outcome = F.when(F.col("under_review") > 0, "needs_review").when(F.col("committed") > 0, "committed").otherwise("skipped")
+        return some.select(F.lit(number).alias("batch"), "path", outcome.alias("outcome"), "committed", "under_review", "skipped", "wrvu")
+
+    return commit_logs(warehouse, logs, by, number, {"queue": Change(under_review, "log_date")}, activity)
+
+
+def _no_rows(studies: DataFrame) -> DataFrame:
     """Rows of the shape that an import makes, none of them; only its schema is asked for."""
     from ..operators.review import classify
 

@@ -7,7 +7,7 @@ import time
 from tallyrad.streaming import arrivals
 
 
-def write(path, content, age=60.0):
+def write(path, content, age=600.0):
     path.write_bytes(content)
     os.utime(path, (time.time() - age,) * 2)
 
@@ -27,14 +27,14 @@ def test_a_file_that_is_still_written_comes_once_later(spark, tmp_path):
     write(folder / "young.PNG", b"half", age=0)
     write(folder / "empty.jpg", b"")
     write(folder / "note.txt", b"no image")
-    assert run(spark, folder, tmp_path, quiet_ms=5000) == [("old.png", b"old")]
-    write(folder / "young.PNG", b"whole", age=20)  # its writer is done
-    write(folder / "empty.jpg", b"no more", age=30)
+    assert run(spark, folder, tmp_path, quiet_ms=120_000) == [("old.png", b"old")]
+    write(folder / "young.PNG", b"whole", age=200)  # its writer is done
+    write(folder / "empty.jpg", b"no more", age=300)
     want = [("empty.jpg", b"no more"), ("old.png", b"old"), ("young.PNG", b"whole")]
     for _ in range(2):  # the query was ended and starts again; nothing comes twice
-        assert run(spark, folder, tmp_path, quiet_ms=5000) == want
-    write(folder / "old.png", b"new content", age=10)
-    assert run(spark, folder, tmp_path, quiet_ms=5000) == sorted([*want, ("old.png", b"new content")])
+        assert run(spark, folder, tmp_path, quiet_ms=120_000) == want
+    write(folder / "old.png", b"new content", age=150)
+    assert run(spark, folder, tmp_path, quiet_ms=120_000) == sorted([*want, ("old.png", b"new content")])
 
 
 def test_a_running_query_waits_for_a_growing_file(spark, tmp_path):

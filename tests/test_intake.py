@@ -19,14 +19,10 @@ IMAGES = {
     "a.png": ["Accession Number", "MRI brain 1/15/2024 9:05 AM ACC: A0000001", "US RUQ 1/15/2024 9:40 AM ACC: A0000002"],
     "b.png": ["US RUQ 1/16/2024 8:00 AM ACC: A0000003", "Frobnication of the gizzard 1/16/2024 8:30 AM"],
     "c.png": ["MRI brain 1/15/2024 9:05 AM ACC: A0000001", "MRI brain 1/17/2024 7:15 PM ACC: A0000004"],
-    "d.png": ["-- --"],
+    "d.png": ["Accession Number"],
 }
 
 
-def recognise(content: bytes) -> list[str]:
-    return content.decode().split("\n")
-
-
 @pytest.fixture
 def store(spark, tmp_path):
     w = Warehouse(spark, str(tmp_path / "w"))
@@ -58,10 +54,10 @@ def test_a_stream_of_images_equals_one_batch(spark, tmp_path, store):
         os.utime(folder / name, (time.time() - 100 + k,) * 2)
 
     def go(checkpoint, log):
-        images = arrivals.settled_files(spark, str(folder), str(tmp_path / log), files_per_batch=1)
-        intake.import_stream(readers.ocr_images(images, recognise), store, str(tmp_path / checkpoint), AS_OF, f"stream-{checkpoint}", pin=1).awaitTermination()
+        images = arrivals.settled_files(spark, str(folder), str(tmp_path / log), files_per_batch=2)
+        intake.import_stream(readers.ocr_images(images, lambda content: content.decode().split("\n")), store, str(tmp_path / checkpoint), AS_OF, f"stream-{checkpoint}", pin=1).awaitTermination()
 
-    for _ in range(len(IMAGES) + 1):  # a file for each batch
+    for _ in range(3):  # two files for each batch, and nothing more
         go("c1", "l1")
     other = Warehouse(spark, str(tmp_path / "other"))
     other.commit({t: Change(store.read(t)) for t in ("schedule", "aliases", "entries")})
@@ -73,8 +69,6 @@ def test_a_stream_of_images_equals_one_batch(spark, tmp_path, store):
     assert (counters.files, counters.committed, counters.under_review, counters.wrvu) == (4, 4, 1, 6.0)
     by_file = {os.path.basename(r.path): (r.outcome, r.committed, r.skipped) for r in store.read("activity").collect()}
     assert by_file == {"a.png": ("committed", 2, 0), "b.png": ("needs_review", 1, 0), "c.png": ("committed", 1, 1), "d.png": ("skipped", 0, 0)}
-    go("c2", "l2")  # another checkpoint sees all files again
-    assert facts(store) == facts(other)
 
 
 def test_a_repeated_batch_adds_nothing(spark, store):
@@ -90,28 +84,31 @@ def test_a_repeated_batch_adds_nothing(spark, store):
     assert len(facts(store)) == before + 2
 
 
-def test_a_batch_opens_only_its_days(spark, store):
+def test_a_batch_opens_only_its_days(spark, tmp_path):
     """Logs of many other days make no difference to the files that are read."""
-    pin = store.snapshot()
+    store = Warehouse(spark, str(tmp_path / "w"))
+    like = imports.committed_logs(intake._no_rows(intake.line_studies(lines(spark), AS_OF)), "s", None).schema
 
-    def day(k):
-        own = [(f"p#{k}", 0, f"MRI brain 1/{k}/2024 9:05 AM ACC: A00000{k:02d}"), (f"q#{k}", 1, f"US RUQ 1/{k}/2024 10:05 AM")]
-        return intake.line_studies(spark.createDataFrame(own, "path string, line_no int, value string"), AS_OF)
+    def day(k, number, month=1):
+        own = spark.createDataFrame([(f"{k}a", f"acc:A{number}"), (f"{k}b", f"fp:mri brain|70553|2024-{month:02d}-{k:02d}|09:05")], "id string, fingerprint string")
+        rows = own.withColumn("log_date", F.lit(f"2024-{month:02d}-{k:02d}").cast("date"))
+        return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in like])
 
     read = []
-    for k in range(1, 13):
-        intake.import_batch(store, day(k), k, pin, "s")
+    for k in range(1, 7):
+        intake.commit_logs(store, day(k, k), "s", k)
         at = store.snapshot()
-        rows = imports.committed_logs(imports.import_rows(day(1), store.read("schedule"), store.read("logs"), store.read("aliases")), "x", None)
-        keyed = store.read("logs").where("log_date = '2024-01-01'").select("fingerprint", "log_date")
-        known, relied = intake.committed_prints(store, store.read("logs").where("log_date = '2024-01-01'"), at)
-        assert known.count() == 2 == keyed.count() and rows.columns
+        known, relied = intake.committed_prints(store, day(1, 1), at)
+        assert known.count() == 2
         read.append(sum(len(f) for table, parts in relied.items() for f in at.folders(table, parts).values()))
-    assert len(set(read)) == 1 and len(at.folders("logs")) == 12
-    # a number comes again on another day: found by the index
-    moved = store.read("logs").where("accession_number is not null and log_date = '2024-01-03'").withColumn("log_date", F.lit("2024-02-01").cast("date"))
-    known, relied = intake.committed_prints(store, moved, at)
-    assert relied["logs"] == {"2024-01-03"} and known.join(moved, "fingerprint").count() == 1
+    assert len(set(read)) == 1 and len(at.folders("logs")) == 6
+    # a number comes again on another day: found by the index, so only the row without one is new
+    before = store.read("logs").count()
+    known, relied = intake.committed_prints(store, day(2, 3, month=2), at)
+    assert relied["logs"] == {"2024-01-03", "2024-02-02"} and known.where("fingerprint = 'acc:A3'").count() == 1
+    intake.commit_logs(store, day(2, 3, month=2), "s", 7)
+    intake.commit_logs(store, day(2, 3, month=2), "t", 1)
+    assert store.read("logs").count() == before + 1
 
 
 def test_two_streams_into_the_same_days(spark, store, monkeypatch):
@@ -135,7 +132,7 @@ def test_several_codes_make_several_logs(spark, store):
     study = spark.createDataFrame([("s1", "CT head and chest")], "id string, exam_title string").selectExpr(
         "*", "cast(null as string) cpt", "date'2024-01-05' log_date", "timestamp_ntz'2024-01-05 10:00:00' study_datetime", "1.0D date_time_confidence", "cast(null as string) accession_number", "cast(null as string) modality"
     )
-    none = store.read("logs", imports.committed_logs(intake._no_rows(study, store.read("schedule")), "i", 1))
+    none = store.read("logs", imports.committed_logs(intake._no_rows(study), "i", 1))
     rows = imports.import_rows(study, store.read("schedule"), none, aliases)
     both = rows.withColumn("selected", F.array(F.lit(0), F.lit(1)))
     found = imports.committed_logs(both, "i", 1).orderBy("cpt_code").collect()
