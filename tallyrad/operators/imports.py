@@ -44,18 +44,20 @@ def explanation(source: Column, description: Column, confidence: Column) -> Colu
 
 
 def import_rows(
-    studies: DataFrame, schedule: DataFrame, stored: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = MOST
-) -> DataFrame:
+    studies: DataFrame, schedule: DataFrame, stored: DataFrame, aliases: DataFrame | None = None, entries: DataFrame | None = None, k: int = MOST,
+    lists: DataFrame | None = None,
+) -> DataFrame:
     """Rows under review of a batch of studies, with their candidates, duplicates, review reason and route.
 
     studies: id, exam_title, cpt, log_date, study_datetime, accession_number, modality. A study's code, or else its
     title, is matched; duplicates are looked for under its code, or else its first candidate's, in the batch and in
     stored logs (id, exam_name_raw, cpt_code, log_date, study_datetime, accession_number, modality, fingerprint,
-    exam_key) of its day.
+    exam_key) of its day. lists: candidate_lists of the studies' texts, if they are there already.
     """
     asked = F.coalesce(F.nullif(F.trim("cpt"), F.lit("")), F.col("exam_title"))
     rows = studies.withColumn("asked", asked)
-    lists = cut(candidate_lists(rows, schedule, aliases, entries, k))  # a row for each distinct text, asked for twice
+    if lists is None:  # a row for each distinct text, asked for twice
+        lists = cut(candidate_lists(rows, schedule, aliases, entries, k))
     first = lists.select("asked", F.col("candidates")[0]["cpt_code"].alias("first_code"), F.col("candidates")[0]["modality"].alias("first_modality"))
     keyed = rows.join(first, "asked", "left").withColumn("exam_name_raw", F.col("exam_title"))
     keyed = keyed.withColumn("cpt_code", F.coalesce(F.nullif(F.trim("cpt"), F.lit("")), F.col("first_code")))

@@ -334,26 +334,26 @@ printed AS (SELECT *, CASE WHEN accession_number IS NOT NULL THEN 'acc:' || uppe
   FROM (SELECT 'g' AS side, * FROM l UNION ALL SELECT 'c', * FROM w)),
 c AS MATERIALIZED (SELECT *, id <> min(id) OVER (PARTITION BY fingerprint) AS again FROM printed WHERE side = 'c'),
 h AS MATERIALIZED (SELECT * FROM printed WHERE side = 'g'),
-p AS (SELECT c.id, g.id AS log_id, abs(c.at - g.at) AS apart, c.at = 0 OR g.at = 0 AS untimed, coalesce(c.accession_number = g.accession_number, false) AS same_number,
+pp AS (SELECT c.id, g.id AS log_id, abs(c.at - g.at) AS apart, c.at = 0 OR g.at = 0 AS untimed, coalesce(c.accession_number = g.accession_number, false) AS same_number,
     c.fingerprint = g.fingerprint AS same_print, coalesce(c.code = g.code, false) AS same_code,
     CAST(len(list_filter(string_split(g.exam_key, ' '), lambda w: list_contains(string_split(c.exam_key, ' '), w))) AS DOUBLE)
       / greatest(1, least(len(list_distinct(string_split(c.exam_key, ' '))), len(string_split(g.exam_key, ' ')))) AS shared
   FROM c JOIN h AS g ON c.log_date = g.log_date AND (c.accession_number = g.accession_number OR c.fingerprint = g.fingerprint OR c.code = g.code)),
-t AS (SELECT id, log_id, CASE WHEN same_number OR same_print THEN 'exact' WHEN same_code AND apart <= 3 THEN 'very_likely'
+tt AS (SELECT id, log_id, CASE WHEN same_number OR same_print THEN 'exact' WHEN same_code AND apart <= 3 THEN 'very_likely'
     WHEN same_code AND apart <= 15 THEN 'possible' WHEN same_code AND untimed AND shared >= 0.7 THEN 'possible' END AS tier,
   CASE WHEN same_number THEN 'same accession number' WHEN same_print THEN 'identical fingerprint' WHEN same_code AND apart <= 3 THEN 'same code, close in time'
-    WHEN same_code AND apart <= 15 THEN 'same code, near in time' WHEN same_code AND untimed AND shared >= 0.7 THEN 'same code, similar name' END AS reason FROM p),
-m AS (SELECT id, min(log_id) AS log_id, arg_min(tier, log_id) AS tier, arg_min(reason, log_id) AS reason FROM t WHERE tier IS NOT NULL GROUP BY 1),
-n AS (SELECT title, count(*) AS n, count(*) FILTER (confidence >= 0.65) AS good FROM found GROUP BY 1),
-d AS (SELECT c.id, c.title, again, CASE WHEN again THEN 'exact' ELSE tier END AS dup, CASE WHEN again THEN 'repeated in this batch' ELSE reason END AS dup_reason,
+    WHEN same_code AND apart <= 15 THEN 'same code, near in time' WHEN same_code AND untimed AND shared >= 0.7 THEN 'same code, similar name' END AS reason FROM pp),
+mm AS (SELECT id, min(log_id) AS log_id, arg_min(tier, log_id) AS tier, arg_min(reason, log_id) AS reason FROM tt WHERE tier IS NOT NULL GROUP BY 1),
+nn AS (SELECT title, count(*) AS n, count(*) FILTER (confidence >= 0.65) AS good FROM found GROUP BY 1),
+dd AS (SELECT c.id, c.title, again, CASE WHEN again THEN 'exact' ELSE tier END AS dup, CASE WHEN again THEN 'repeated in this batch' ELSE reason END AS dup_reason,
     CASE WHEN NOT again THEN log_id END AS duplicate_of, coalesce(n, 0) AS n, good, one, coalesce(by_alias, false) AS by_alias
-  FROM c LEFT JOIN m USING (id) LEFT JOIN n ON n.title = c.title LEFT JOIN one ON one.title = c.title),
-r AS (SELECT *, CASE WHEN n = 0 THEN 'New or unknown exam' WHEN dup = 'possible' THEN 'Possible duplicate' WHEN one < 0.95 THEN 'Low confidence match'
+  FROM c LEFT JOIN mm USING (id) LEFT JOIN nn ON nn.title = c.title LEFT JOIN one ON one.title = c.title),
+rr AS (SELECT *, CASE WHEN n = 0 THEN 'New or unknown exam' WHEN dup = 'possible' THEN 'Possible duplicate' WHEN one < 0.95 THEN 'Low confidence match'
     WHEN good > 1 AND NOT by_alias THEN 'Multiple possible CPT matches' END AS review_reason,
-  CASE WHEN by_alias AND dup IS NULL THEN CASE WHEN one >= 0.99 THEN 'silent' WHEN one >= 0.95 THEN 'learned' END END AS approval_level FROM d)
+  CASE WHEN by_alias AND dup IS NULL THEN CASE WHEN one >= 0.99 THEN 'silent' WHEN one >= 0.95 THEN 'learned' END END AS approval_level FROM dd)
 SELECT id, title, dup AS duplicate_status, dup_reason AS duplicate_reason, duplicate_of, CAST(n AS INT) AS n_candidates, review_reason, approval_level,
   NOT (approval_level IS NOT NULL AND review_reason IS NULL) AND (review_reason IS NOT NULL OR one < 0.75) AS needs_review,
-  CASE WHEN dup IN ('exact', 'very_likely') THEN 'skipped' ELSE 'review' END AS route FROM r"""
+  CASE WHEN dup IN ('exact', 'very_likely') THEN 'skipped' ELSE 'review' END AS route FROM rr"""
 
 
 @query(matchsql.candidates(_TITLES, analytics.IMPORT_ALIASES, 6, analytics.ENTRIES) + "," + _AGAIN)
@@ -366,11 +366,12 @@ def import_pipeline(spark, sf_dir):
         "id", F.col("exam_name_raw").alias("exam_title"), F.lit(None).cast("string").alias("cpt"), "log_date", "study_datetime",
         F.lit(1.0).alias("date_time_confidence"), "accession_number", F.lit(None).cast("string").alias("modality"),
     )
-    found = matching.candidates(_titles(spark, sf_dir), schedule, aliases, entries, imports.MOST).where("rank = 1").select(F.col("title").alias("exam_name_raw"), "cpt_code")
-    before = cut(duplicates.with_fingerprint(logs.drop("cpt_code").join(found, "exam_name_raw", "left")))
+    lists = cut(imports.candidate_lists(_titles(spark, sf_dir).withColumnRenamed("title", "asked"), schedule, aliases, entries))
+    first = lists.select(F.col("asked").alias("exam_name_raw"), F.col("candidates")[0]["cpt_code"].alias("cpt_code"))
+    before = cut(duplicates.with_fingerprint(logs.drop("cpt_code").join(first, "exam_name_raw", "left")))
     later = studies.withColumn("study_datetime", F.col("study_datetime") + F.make_dt_interval(mins=(F.col("id") % 40).cast("int")))
     later = later.withColumn("accession_number", F.when(F.col("id") % 3 != 0, F.col("accession_number")))
-    rows = imports.import_rows(later, schedule, before, aliases, entries)
+    rows = imports.import_rows(later, schedule, before, aliases, entries, lists=lists)
     return rows.select(
         "id", "title", "duplicate_status", "duplicate_reason", "duplicate_of", F.size("candidates").alias("n_candidates"), "review_reason", "approval_level", "needs_review", "route"
     )
