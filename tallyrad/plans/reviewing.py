@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..operators import explorer, matching, review, sessions, tables
+from ..operators import explorer, matching, migrations, records, review, sessions, tables
 from ..sources import readers
 from . import analytics, sqltext
 from . import fixtures as fx
@@ -262,3 +263,97 @@ def hospital_list(spark, sf_dir):
     head = spark.createDataFrame([("f", -1, "Qty,Exam Title,CPT Code,Mod,Work RVU")], "file string, line_no long, value string")
     lines = head.unionByName(logs.select(F.lit("f").alias("file"), F.col("id").cast("long").alias("line_no"), line.alias("value")))
     return readers.hospital_rows(lines).select("exam_title", "cpt_code", "modifier", "work_rvu", "quantity")
+
+
+_PRESETS = {"7d": "2024-01-13", "30d": "2023-12-21", "90d": "2023-10-22", "all": "2000-01-01", "custom": "2024-01-05"}
+_PRESETS_SQL = ", ".join(f"('{p}', DATE '{start}', DATE '{'2024-01-12' if p == 'custom' else '2024-01-20'}')" for p, start in _PRESETS.items())
+
+
+@query(
+    PRE + f""" SELECT preset, count(*) AS studies, round(sum(coalesce(work_rvu, 0)), 6) AS wrvu, CAST(min(l.log_date) AS VARCHAR) AS first_day, CAST(max(l.log_date) AS VARCHAR) AS last_day
+FROM (VALUES {_PRESETS_SQL}) AS v(preset, a, b) JOIN study_logs l ON l.log_date BETWEEN a AND b GROUP BY preset"""
+)
+def history_presets(spark, sf_dir):
+    """Logs of each preset of the history: 7, 30 and 90 days, all, and days of one's own."""
+    logs, every = fx.study_logs(spark, sf_dir), None
+    for preset in _PRESETS:
+        start, end = records.date_range(preset, "2024-01-20") if preset != "custom" else records.date_range(preset, "2024-01-20", "2024-01-05", "2024-01-12")
+        own = logs.where(F.col("log_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        own = own.agg(
+            F.count("*").alias("studies"), F.sum(F.coalesce("work_rvu", F.lit(0.0))).alias("wrvu"), F.min("log_date").alias("first_day"), F.max("log_date").alias("last_day")
+        ).where("studies > 0")
+        every = own.withColumn("preset", F.lit(preset)) if every is None else every.unionByName(own.withColumn("preset", F.lit(preset)))
+    return rounded(every, 6)
+
+
+@query(_ROWS + " SELECT id, CASE WHEN two THEN title || ' + ' || title WHEN has THEN title ELSE '' END AS descriptions, CAST(two AS INT) + CAST(has AS INT) AS chosen FROM v")
+def chosen_descriptions(spark, sf_dir):
+    """All candidates of every row chosen: their descriptions as one text."""
+    rows = _rows(spark, sf_dir).withColumn("selected", F.array(F.lit(0), F.lit(1), F.lit(7)))
+    return rows.select("id", review.code_descriptions().alias("descriptions"), F.size(review.selected_candidates()).alias("chosen"))
+
+
+@query(
+    PRE + """, s AS (SELECT count(*) AS n, coalesce(sum(work_rvu), 0.0) AS total, count(*) FILTER (needs_review) AS r FROM study_logs WHERE log_date = DATE '2024-01-15')
+SELECT 'Studies' AS measure, CAST(n AS VARCHAR) AS value FROM s UNION ALL SELECT 'Total wRVU', printf('%.2f', CAST(round(CAST(total AS DECIMAL(18, 8)), 2) AS DOUBLE)) FROM s UNION ALL SELECT 'Needs review', CAST(r AS VARCHAR) FROM s"""
+)
+def exported_summary(spark, sf_dir):
+    """The three summary rows below a day's rows in a file."""
+    _, summary = tables.export_day(fx.study_logs(spark, sf_dir).where(F.col("log_date") == F.lit("2024-01-15").cast("date")))
+    return summary
+
+
+@query(
+    PRE + """, d AS (SELECT *, row_number() OVER (ORDER BY study_datetime, exam_name_raw, cpt_code) AS line FROM study_logs WHERE log_date = DATE '2024-01-15')
+SELECT CAST(line AS INT) AS line, CAST(log_date AS VARCHAR) AS log_date, exam_name_raw, cpt_code, coalesce(modifier, '-') AS modifier, printf('%.2f', CAST(round(CAST(coalesce(work_rvu, 0) AS DECIMAL(18, 8)), 2) AS DOUBLE)) AS work_rvu,
+  coalesce(modality, '-') AS modality, match_method, needs_review, coalesce(accession_number, '-') AS accession_number, strftime(study_datetime, '%H:%M') AS study_time FROM d"""
+)
+def exported_lines(spark, sf_dir):
+    """All ten columns of a day's rows as they go to a file, in order."""
+    rows, _ = tables.export_day(fx.study_logs(spark, sf_dir).where(F.col("log_date") == F.lit("2024-01-15").cast("date")))
+    order = Window.partitionBy("log_date").orderBy("study_datetime", "exam_name_raw", "cpt_code")  # one day, which is what a file holds
+    numbered = rows.withColumn("line", F.row_number().over(order))
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return numbered.select(
+        "line", "log_date", "exam_name_raw", "cpt_code", dash("modifier"), "work_rvu", dash("modality"), "match_method", "needs_review", dash("accession_number"),
+        F.date_format("study_datetime", "HH:mm").alias("study_time"),
+    )
+
+
+@query(
+    PRE + """ SELECT id, exam_name_raw || ' ' || strftime(study_datetime, '%-m/%-d/%Y %-I:%M %p') AS raw_text, trim(regexp_replace(exam_name_raw, '  +', ' ', 'g')) AS exam_name
+FROM study_logs WHERE id % 4 = 0"""
+)
+def mixed_lines(spark, sf_dir):
+    """Recognised lines of which most say nothing of an exam: headers, labels, bare numbers; only exams stay."""
+    logs = fx.study_logs(spark, sf_dir)
+    line = (
+        F.when(F.col("id") % 4 == 0, F.concat_ws(" ", "exam_name_raw", F.date_format("study_datetime", "M/d/yyyy h:mm a")))
+        .when(F.col("id") % 4 == 1, "Accession Number")
+        .when(F.col("id") % 4 == 2, F.date_format("study_datetime", "M/d/yyyy h:mm a"))
+        .otherwise("ab")
+    )
+    return readers.ocr_studies(logs.select("id", line.alias("value")), "2024-02-01 00:00:00").select("id", "raw_text", "exam_name")
+
+
+@query(
+    f"""{PRE}, titles AS (SELECT DISTINCT exam_name_raw AS title, exam_name_raw AS prev FROM study_logs), {sqltext.description_cte('titles', 'title', 'des')}
+SELECT id, CASE WHEN id % 4 < 2 OR id % 9 <> 0 THEN CAST(l.log_date AS VARCHAR) ELSE '-' END AS study_date, CASE WHEN id % 4 < 2 THEN 0.0 ELSE match_confidence END AS date_time_confidence,
+  CASE WHEN id % 4 < 2 THEN 'import_default' ELSE 'ocr' END AS date_time_source, CASE WHEN id % 4 = 3 THEN 'own' ELSE description_key END AS exam_title_normalized,
+  CASE WHEN id % 4 = 3 THEN 'shown' ELSE exam_name_raw END AS exam_title_display, CASE WHEN id % 4 = 3 THEN 'text' ELSE '-' END AS cms_description, 14 AS schema_version
+FROM study_logs l JOIN des ON des.title = l.exam_name_raw"""
+)
+def migrated_logs(spark, sf_dir):
+    """All logs, written under four versions of the schema, as one table of the newest."""
+    logs = fx.study_logs(spark, sf_dir).select("id", "log_date", "exam_name_raw", "match_confidence")
+    of = lambda k, version: logs.where(F.col("id") % 4 == k).withColumn(migrations.VERSION, F.lit(version))
+    timed = {
+        "study_date": F.when(F.col("id") % 9 != 0, F.col("log_date")), "date_time_confidence": F.col("match_confidence"), "date_time_source": F.lit("ocr"),
+    }
+    titled = {"exam_title_normalized": F.lit("own"), "exam_title_display": F.lit("shown"), "cms_description": F.lit("text")}
+    parts = [of(0, 1), of(1, 6), of(2, 8).withColumns(timed), of(3, 12).withColumns(timed | titled)]
+    found = migrations.as_one(parts, "study_logs")
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return found.select(
+        "id", dash("study_date"), "date_time_confidence", "date_time_source", "exam_title_normalized", "exam_title_display", dash("cms_description"), "schema_version"
+    )
