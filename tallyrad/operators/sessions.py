@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_description
+from .snapshots import Change, Snapshot, Warehouse
+from .tables import audit_event
 
 SESSION = "session_id string, profile_id long, status string, updated_at timestamp, rows_json string"
 
@@ -63,3 +65,25 @@ def with_status(sessions: DataFrame, session_id: str, status: str, as_of: str) -
     return sessions.withColumn("status", F.when(hit, status).otherwise(F.col("status"))).withColumn(
         "updated_at", F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at"))
     )
+
+
+#: The audit's names of a session's ends.
+ENDED = {"finalized": "day_finalized", "discarded": "day_reopened"}
+
+
+def finish(warehouse: Warehouse, session_id: str, status: str, as_of: str, profile_id: int | None = None, logs: DataFrame | None = None) -> Snapshot:
+    """Ends a session (finalized or discarded): its status in `sessions`, a line in `audit` and, if it was finalized,
+    its rows in `logs` (by day) are one commit. A session that isn't active any more is left as it is."""
+    base = warehouse.snapshot()
+    stored = warehouse.read("sessions", at=base)
+    if stored.where((F.col("session_id") == session_id) & (F.col("status") == "active")).isEmpty():
+        return base
+    summary = "Discarded active review session"
+    if status == "finalized":
+        counts = (0, 0) if logs is None else logs.agg(F.count("*"), F.count_if(F.col("needs_review"))).first()
+        summary = f"Finalized {counts[0]} studies; {counts[1]} still marked for review"
+    audit = audit_event(warehouse.spark, ENDED[status], summary, as_of, profile_id=profile_id, session_id=session_id)
+    changes = {"sessions": Change(with_status(stored, session_id, status, as_of), None, "all"), "audit": Change(audit)}
+    if status == "finalized" and logs is not None:
+        changes["logs"] = Change(logs, "log_date")
+    return warehouse.commit(changes, base, {"sessions": None})
