@@ -17,6 +17,10 @@ from .staging import cut
 #: Confidence of each stage, and least scores.
 DIRECT, COMMON, EXACT, DICTIONARY, FUZZY_ALIAS, FUZZY_TEXT = 1.0, 0.99, 0.96, 0.94, 0.9, 0.92
 LEAST_ALIAS, LEAST_DESCRIPTION, LEAST_LIBRARY, LEAST_TOP = 0.5, 0.35, 0.20, 0.50
+#: Descriptions of one word in one piece of its list.
+HELD = 4096
+#: Bounds are loosened by this much, since scores are sums of doubles.
+SLACK = 1e-7
 FOUND = ["title", "stage", "seq", "cpt_code", "modifier", "description", "work_rvu", "confidence", "source"]
 
 
@@ -37,12 +41,13 @@ def title_keys(titles: DataFrame) -> DataFrame:
 
 
 def fee_keys(cpt: DataFrame) -> DataFrame:
-    """Professional rows of the fee schedule with work units, and what their descriptions (missing: empty) say."""
+    """Professional rows of the fee schedule with work units, and what their descriptions (missing: empty) say, which
+    is derived once for each distinct one."""
     cpt = cpt.withColumn("description", F.coalesce("description", F.lit("")))
     own = cpt.where(productive(F.col("modifier"), F.col("work_rvu"))).withColumn("row", F.monotonically_increasing_id())
-    own = own.withColumn("description_key", T.normalize_description(F.col("description")))
-    own = own.withColumn("description_exam_key", T.normalize_exam_text(F.col("description_key")))
-    return own.withColumn("facts", T.description_facts(F.col("description")))
+    said = own.select("description").distinct().withColumn("description_key", T.normalize_description(F.col("description")))
+    said = said.withColumn("description_exam_key", T.normalize_exam_text(F.col("description_key")))
+    return own.join(said.withColumn("facts", T.description_facts(F.col("description"))), "description")
 
 
 def _rows(found: DataFrame, stage: int, source: str, confidence, seq="cpt_code") -> DataFrame:
@@ -153,35 +158,106 @@ def _texts(fees: DataFrame) -> DataFrame:
     )
 
 
-def _word_pairs(titles: DataFrame, texts: DataFrame) -> DataFrame:
-    """Titles and descriptions that share a word, or have equal keys, or both no long word."""
-    mark = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+def _long(text: str):
+    """Long words; a text without any has the empty one, as two such texts count as equal."""
+    long = T.long_words(F.col(text))
+    return F.when(F.size(long) == 0, F.array(F.lit(""))).otherwise(long)
 
-    def marks(key: str, exam: str, text: str):
-        long = T.long_words(F.col(text))
-        none = F.when(F.size(long) == 0, F.array(F.lit("none"))).otherwise(mark("long:", long))
-        return F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("key:"), key)), mark("exam:", T.words(F.col(exam))), none))).alias("mark")
 
-    left = titles.select("title", marks("description_key", "description_exam_key", "radiology_title"))
-    right = texts.select("description", marks("f_key", "f_exam", "description"))
-    return left.join(right, "mark").select("title", "description").distinct()
+def _frequencies(texts: DataFrame, words) -> DataFrame:
+    """How many descriptions hold a word, and into how many pieces those of a frequent word are dealt."""
+    df = texts.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("held"))
+    return df.withColumn("pieces", F.ceil(F.col("held") / HELD).cast("int"))
+
+
+def _postings(texts: DataFrame, words, frequent: DataFrame, *more) -> DataFrame:
+    """word, piece, description, the word's place in it (from 1, the rarest first) and more columns. A description is
+    in one piece of each of its words."""
+    own = texts.select("description", *more, F.explode(F.array_distinct(words)).alias("word")).join(frequent, "word")
+    rare = F.row_number().over(Window.partitionBy("description").orderBy("held", "word"))
+    own = own.withColumn("held_place", rare)
+    return own.withColumn("piece", F.pmod(F.xxhash64("description"), F.col("pieces")).cast("int")).drop("held", "pieces")
+
+
+def _probes(titles: DataFrame, words, frequent: DataFrame, *more) -> DataFrame:
+    """title, word and more columns, with the word's place (from 1, the rarest first; words that no description
+    holds are counted and left out), and the pieces to look it up in."""
+    own = titles.select("title", *more, F.explode(F.array_distinct(words)).alias("word")).join(frequent, "word", "left")
+    rare = Window.partitionBy("title").orderBy(F.coalesce("held", F.lit(0)), "word")
+    own = own.withColumn("place", F.row_number().over(rare)).where("held is not null")
+    return own.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("held", "pieces")
+
+
+def _by_exam_words(titles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs that can reach the title's least score by exam words.
+
+    They need a share of the shorter list's words. With all words in one order from rare to frequent, one of the
+    shorter list's first words is shared then: as many of them as can't all miss. So a title looks up its own first
+    words among descriptions that are as long or longer, and all its words among the first ones of shorter
+    descriptions. Repeated words only shorten the lists to be looked up.
+    """
+    t, f = T.words(F.col("description_exam_key")), T.words(F.col("f_exam"))
+    misses = lambda size: F.floor((1 - F.col("share")) * size) + 1
+    share = (F.col("least") / FUZZY_TEXT - 0.2) / 0.8 - SLACK
+    frequent = _frequencies(texts, f)
+    asked = _probes(titles.withColumns({"share": share, "n": F.size(t)}), t, frequent, "share", "n").where(F.col("share") <= 1)
+    held = _postings(texts.withColumn("m", F.size(f)), f, frequent, "m")
+    longer = asked.where(F.col("place") <= misses(F.col("n"))).join(held, ["word", "piece"]).where(F.col("n") <= F.col("m"))
+    first = asked.where(F.col("n") > 1).withColumn("held_place", F.explode(F.sequence(F.lit(1), misses(F.col("n") - 1).cast("int"))))
+    shorter = first.join(held, ["word", "piece", "held_place"]).where((F.col("n") > F.col("m")) & (F.col("held_place") <= misses(F.col("m"))))
+    return longer.select("title", "description").unionByName(shorter.select("title", "description"))
+
+
+def _by_long_words(titles: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs that can reach the title's least score by facts and long words.
+
+    groups: asked, has and given, the score of facts alone, to which the words' Jaccard index adds 0.10 at most. What
+    is missing is the least index; with it a title's rarest words are looked up, among the descriptions of the group
+    and of a fitting number of words.
+    """
+    x, y = _long("radiology_title"), _long("description")
+    frequent = _frequencies(texts, y)
+    asked = _probes(titles.withColumn("n", F.size(x)), x, frequent, "asked", "least", "n").join(groups, "asked")
+    asked = asked.withColumn("index", F.greatest(F.lit(0.0), (F.col("least") - F.col("given")) * 10 - SLACK))
+    asked = asked.where((F.col("index") <= 1) & (F.col("place") <= F.least("n", F.col("n") - F.ceil(F.col("index") * F.col("n")) + 1)))
+    held = _postings(texts.withColumns({"has": F.to_json("f_facts"), "m": F.size(y)}), y, frequent, "has", "m")
+    both = asked.join(held, ["has", "word", "piece"])
+    return both.where((F.col("m") >= F.col("index") * F.col("n")) & (F.col("n") >= F.col("index") * F.col("m"))).select("title", "description")
+
+
+def close_pairs(titles: DataFrame, texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Titles (with asked and least) and descriptions whose score can reach the title's least: pairs of equal keys,
+    of enough exam words, or of facts and enough long words. No pair that does reach it is left out."""
+    equal = titles.select("title", F.col("description_key").alias("f_key")).join(texts, "f_key").select("title", "description")
+    pairs = equal.unionByName(_by_exam_words(titles, texts)).unionByName(_by_long_words(titles, texts, groups))
+    return pairs.distinct()
 
 
 def fuzzy_description(titles: DataFrame, fees: DataFrame, k: int) -> DataFrame:
     """Rows of the fee schedule by similarity of their descriptions, the best 3 k of each title.
 
-    A score counts from LEAST_DESCRIPTION on. Without a shared word it is what facts give (modality, parts and
-    contrast), as the text then gives 0.184 at most. So pairs with a shared word are scored one by one; of the others
-    a title needs only the first 3 k rows by the facts' score, which all titles with the same facts have in common.
-    Facts are few combinations of fixed words, however many rows there are.
+    Without a shared word a score is what facts give (modality, parts and contrast), as the text then gives 0.184 at
+    most. So the first 3 k rows by the facts' score, which all titles with the same facts have in common, are ranked
+    once for each combination of facts; these are few combinations of fixed words, however many rows there are. The
+    last of them tells what another row must reach (else LEAST_DESCRIPTION), and only pairs that can reach it
+    (close_pairs) are scored one by one.
     """
     n, texts = 3 * k, _texts(fees)
     order = ["cpt_code", "description", "work_rvu", "row"]
     first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= n).drop("nth")
     few = first(fees.select("row", "cpt_code", "modifier", "description", "work_rvu", F.to_json("facts").alias("has")), "description")
+    titles = titles.withColumn("asked", F.to_json("facts"))
+    asked = titles.select("asked", "facts").dropDuplicates(["asked"])
+    kinds = texts.select(F.to_json("f_facts").alias("has"), "f_facts").dropDuplicates(["has"])
+    groups = cut(asked.crossJoin(kinds).select("asked", "has", T.facts_score(F.col("facts"), F.col("f_facts")).alias("given")))
+    alike = groups.where(F.col("given") >= LEAST_DESCRIPTION).withColumnRenamed("given", "confidence").join(first(few, "has"), "has")
+    best = Window.partitionBy("asked").orderBy(F.desc("confidence"), *order)
+    alike = cut(alike.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n))
+    reached = alike.where(F.col("nth") == n).select("asked", F.col("confidence").alias("reached"))
+    bounded = titles.join(reached, "asked", "left").withColumn("least", F.coalesce("reached", F.lit(LEAST_DESCRIPTION))).drop("reached")
+    pairs = close_pairs(bounded, texts, groups).join(titles.drop("keys"), "title").join(texts, "description")
     exact = F.when(F.col("f_key") == F.col("description_key"), EXACT).otherwise(0.0)
-    pairs = _word_pairs(titles, texts).join(titles.select("title", "radiology_title", "facts", "description_key", "description_exam_key"), "title")
-    pairs = pairs.join(texts, "description").withColumn(
+    pairs = pairs.withColumn(
         "confidence",
         F.greatest(
             exact, T.radiology_score(F.col("radiology_title"), F.col("facts"), F.col("description"), F.col("f_facts")),
@@ -189,13 +265,7 @@ def fuzzy_description(titles: DataFrame, fees: DataFrame, k: int) -> DataFrame:
         ),
     )
     near = pairs.where(F.col("confidence") >= LEAST_DESCRIPTION).select("title", "description", "confidence").join(few, "description")
-    asked = titles.select(F.to_json("facts").alias("asked"), "facts").dropDuplicates(["asked"])
-    kinds = texts.select(F.to_json("f_facts").alias("has"), "f_facts").dropDuplicates(["has"])
-    alike = asked.crossJoin(kinds).withColumn("confidence", T.facts_score(F.col("facts"), F.col("f_facts")))
-    alike = alike.where(F.col("confidence") >= LEAST_DESCRIPTION).select("asked", "has", "confidence").join(first(few, "has"), "has")
-    best = Window.partitionBy("asked").orderBy(F.desc("confidence"), *order)
-    alike = alike.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= n).drop("nth")
-    far = titles.select("title", F.to_json("facts").alias("asked")).join(alike, "asked")
+    far = titles.select("title", "asked").join(alike.drop("nth"), "asked")
     columns = ["title", "row", "cpt_code", "modifier", "description", "work_rvu"]
     every = near.select(*columns, "confidence").unionByName(far.select(*columns, "confidence"))
     every = every.groupBy(*columns).agg(F.max("confidence").alias("confidence"))
