@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codes import let
+from .rows import once
 
 _CLOCK = r"\s+(\d{1,2}):(\d{2})(?::\d{2})?\s*(AM|PM|am|pm)?\b"
 
@@ -26,9 +27,9 @@ def _date(year: Column, month: Column, day: Column) -> Column:
     """A date between 1990 and 2099; null if there is no such day."""
 
     def made(x: Column) -> Column:
-        text = F.format_string("%04d-%02d-%02d", x["year"], x["month"], x["day"])
+        text = F.concat_ws("-", *[x[c].cast("string") for c in ("year", "month", "day")])
         valid = x["year"].between(1990, 2099) & x["month"].between(1, 12) & x["day"].between(1, 31)
-        return F.when(valid, F.try_to_date(text, "yyyy-MM-dd"))
+        return F.when(valid, text.try_cast("date"))
 
     return let(F.struct(year.alias("year"), month.alias("month"), day.alias("day")), made)
 
@@ -36,14 +37,16 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def _moment(date: Column, hour: Column, minute: Column) -> Column:
     def made(x: Column) -> Column:
         valid = x["date"].isNotNull() & x["hour"].between(0, 23) & x["minute"].between(0, 59)
-        return F.when(valid, F.concat(x["date"].cast("string"), F.format_string(" %02d:%02d:00", x["hour"], x["minute"])).cast("timestamp_ntz"))
+        clock = F.concat_ws(":", x["hour"].cast("string"), x["minute"].cast("string"), F.lit("00"))
+        return F.when(valid, F.concat_ws(" ", x["date"].cast("string"), clock).cast("timestamp_ntz"))
 
     return let(F.struct(date.alias("date"), hour.alias("hour"), minute.alias("minute")), made)
 
 
 def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -> DataFrame:
     """Adds a struct of study_datetime, study_date, confidence and pattern, or null; patterns are asked in
-    order. Every step is a column of its own, so that what later steps use twice is computed once."""
+    order. Every step is a column of its own, so that what later steps use twice is computed once; the parts of a
+    pattern are only taken from texts that it is in."""
 
     def part(name: str, group: int) -> Column:
         return F.regexp_extract(text, PATTERNS[name], group).try_cast("int")
@@ -53,19 +56,23 @@ def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -
 
     timed, months = ("US_DATE_TIME", "ISO_DATE_TIME", "US_DASH_DATE_TIME"), own("months")
     now = df.withColumns(
-        {own(n): F.array(*[part(n, g) for g in range(1, 6 if n in timed else 4)]) for n in (*timed, "US_DATE_ONLY", "ISO_DATE_ONLY")}
+        {
+            own(n): F.when(F.rlike(F.col(text), F.lit(PATTERNS[n])), F.array(*[part(n, g) for g in range(1, 6 if n in timed else 4)]))
+            for n in (*timed, "US_DATE_ONLY", "ISO_DATE_ONLY")
+        }
         | {months: F.lower(F.regexp_extract(text, PATTERNS["ABBREV_MONTH"], 0))}
         | {own("said"): F.lower(F.regexp_extract(text, PATTERNS["RELATIVE_DATE"], 1))}
     )
     at = lambda name, k: F.get(F.col(f"`{own(name)}`"), F.lit(k))
+    has = lambda name, value: F.when(F.col(f"`{own(name)}`").isNotNull(), value)
     whole = F.col(f"`{months}`")
 
     def dated(name: str) -> Column:
         if name.startswith("ISO"):
-            return _date(at(name, 0), at(name, 1), at(name, 2))
+            return has(name, _date(at(name, 0), at(name, 1), at(name, 2)))
         short = at(name, 2)
         year = F.when(short < 50, short + 2000).when(short < 100, short + 1900).otherwise(short)
-        return _date(year, at(name, 0), at(name, 1))
+        return has(name, _date(year, at(name, 0), at(name, 1)))
 
     month = F.coalesce(*[F.when(F.contains(whole, F.lit(name)), k + 1) for k, name in enumerate(MONTHS)])
     year = F.coalesce(F.regexp_extract(whole, r"\b(20\d{2})\b", 1).try_cast("int"), F.year(as_of))
@@ -73,14 +80,14 @@ def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -
     said = F.col(f"`{own('said')}`")
     relative = F.when(said == "yesterday", F.date_sub(F.to_date(as_of), 1)).when(said == "today", F.to_date(as_of))
     found = {n: dated(n) for n in (*timed, "US_DATE_ONLY", "ISO_DATE_ONLY")}
-    found |= {"ABBREV_MONTH": _date(year, month, day), "RELATIVE_DATE": relative}
+    found |= {"ABBREV_MONTH": F.when(whole != "", _date(year, month, day)), "RELATIVE_DATE": relative}
     now = now.withColumns({own(n) + ":date": d for n, d in found.items()})
     date = lambda name: F.col(f"`{own(name)}:date`")
 
     def clock(name: str) -> Column:
         hour, half = at(name, 3), F.upper(F.regexp_extract(text, PATTERNS[name], 6)) if name.startswith("US") else F.lit("")
         full = F.when((half == "PM") & (hour < 12), hour + 12).when((half == "AM") & (hour == 12), 0).otherwise(hour)
-        return _moment(date(name), full, at(name, 4))
+        return F.when(date(name).isNotNull(), _moment(date(name), full, at(name, 4)))
 
     now = now.withColumns({own(n) + ":time": clock(n) for n in timed})
     nothing = F.lit(None).cast("timestamp_ntz")
@@ -97,7 +104,7 @@ def with_moment(df: DataFrame, text: str, as_of: Column, into: str = "moment") -
             )
         )
     chosen = F.when(F.length(F.trim(text)) >= 3, F.coalesce(*results))
-    return now.select(*[F.col(f"`{c}`") for c in df.columns], chosen.alias(into))
+    return once(now, into, chosen).select(*[F.col(f"`{c}`") for c in df.columns if c != into], into)
 
 
 def hhmm(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import codes, dates
+from ..functions import codes, dates, rows
 from ..functions import text as T
 from ..operators import duplicates, reconcile, records, review, tables
 from ..sources import readers, seeds
@@ -203,7 +203,7 @@ def best_moment(spark, sf_dir):
         .when(F.col("id") % 5 == 3, "no date here").otherwise(form("M/d/yyyy h:mm a"))
     )
     lines = logs.select(F.floor(F.col("id") / 5).alias("file"), F.col("id").alias("line_no"), F.concat(F.lit("seen "), text).alias("value"))
-    found = dates.with_moment(lines, "value", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), "m")
+    found = dates.with_moment(rows.spread(lines), "value", F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), "m")
     return records.best_moment(found, "file").select(
         "file", F.date_format("study_datetime", "yyyy-MM-dd HH:mm").alias("study_datetime"), "study_date", "confidence"
     )
