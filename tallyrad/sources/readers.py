@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codes, dates
+from ..functions.rows import once, spread
 from ..functions.text import collapsed, trimmed
 
 # Columns of a fee schedule by place, and other names of their headers.
@@ -235,8 +236,8 @@ def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
         bare = F.regexp_replace(bare, pattern, " ")
     # each step is a column of its own, as the next ones use it several times
     more = [c for c in lines.columns if c != "value"]
-    now = lines.select(trimmed(F.col("value")).alias("raw_text"), *more).where(F.length("raw_text") >= 3)
-    now = now.withColumn("bare", bare).withColumn("labelled", F.col("bare").rlike(ACCESSION))
+    now = spread(lines).select(trimmed(F.col("value")).alias("raw_text"), *more).where(F.length("raw_text") >= 3)
+    now = once(now, "bare", bare).withColumn("labelled", F.col("bare").rlike(ACCESSION))
     now = now.withColumn("unlabelled", _replace_first(F.col("bare"), ACCESSION))
     now = now.withColumn("rest", _replace_first(F.col("unlabelled"), LONG_NUMBER))
     now = now.withColumn("rest", _replace_first(F.col("rest"), LABELS))
@@ -248,9 +249,7 @@ def ocr_studies(lines: DataFrame, as_of: str) -> DataFrame:
         F.nullif(F.regexp_extract("bare", LONG_NUMBER, 1), F.lit(""))
     )
     name = F.when(F.col("labelled"), F.col("unlabelled")).otherwise(_replace_first(F.col("bare"), LONG_NUMBER))
-    now = now.select(
-        "raw_text", trimmed(F.regexp_replace(name, r"\s{2,}", " ")).alias("exam_name"), number.alias("accession_number"), *more
-    )
+    now = once(now, "exam_name", trimmed(F.regexp_replace(name, r"\s{2,}", " "))).select("raw_text", "exam_name", number.alias("accession_number"), *more)
     return dates.with_moment(now, "raw_text", F.lit(as_of).cast("timestamp_ntz"), "m").where(F.length("exam_name") >= 2).select(
         "raw_text", "exam_name", F.col("m.study_datetime").alias("study_datetime"), F.col("m.study_date").alias("study_date"),
         "accession_number", F.coalesce("m.confidence", F.lit(0.0)).alias("confidence"), *more,

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tallyrad.functions import dates
+from tallyrad.functions import dates, rows
 from tallyrad.operators import records
+from tallyrad.sources import readers
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -29,3 +30,10 @@ def test_moments_of_odd_texts(spark):
     for r in dates.with_moment(df, "t", F.lit(AS_OF).cast("timestamp_ntz"), "m").collect():
         want = texts.get(r.t)
         assert (r.m and (str(r.m.study_date), r.m.study_datetime and str(r.m.study_datetime))) == want, r.t
+
+
+def test_lines_go_to_all_tasks(spark):
+    lines = spark.range(40).select(F.format_string("CT head 1/5/2024 10:%02d ACC: A00000%02d", F.col("id"), F.col("id")).alias("value")).coalesce(1)
+    found = readers.ocr_studies(lines, AS_OF)
+    assert found.rdd.getNumPartitions() > 1 and found.count() == 40
+    assert rows.spread(lines).rdd.getNumPartitions() >= 4
