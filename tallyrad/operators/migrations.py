@@ -25,6 +25,21 @@ def _or_null(name: str) -> Callable[[DataFrame], Column]:
     return lambda df: F.col(name) if name in df.columns else F.lit(None)
 
 
+class OfText:
+    """A fill that a text decides alone: each distinct text is normalised once, not each row."""
+
+    def __init__(self, column: str, function: Callable[[Column], Column]):
+        self.column, self.function = column, function
+
+    def added(self, rows: DataFrame, asked: Column, name: str) -> DataFrame:
+        """`rows` with column `name`: in rows that are asked for what the function makes of the column (missing: empty), else null."""
+        text = F.coalesce(self.column, F.lit(""))
+        key = f"{name}:text"
+        keyed = rows.withColumn(key, F.when(asked, text))
+        each = keyed.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, self.function(F.col(key)))
+        return keyed.join(each, key, "left").drop(key)
+
+
 #: What each version brought, and what older rows get.
 STEPS: list[tuple[int, str, dict[str, Fill]]] = [
     (3, "study_logs", {"profile_id": ("long", None)}),
@@ -38,7 +53,7 @@ STEPS: list[tuple[int, str, dict[str, Fill]]] = [
     (
         10, "study_logs",
         {
-            "exam_title_normalized": ("string", lambda df: normalize_description(F.coalesce("exam_name_raw", F.lit("")))),
+            "exam_title_normalized": ("string", OfText("exam_name_raw", normalize_description)),
             "exam_title_display": ("string", lambda df: F.coalesce("exam_name_raw", F.lit(""))), "cms_description": ("string", None),
         },
     ),
@@ -77,8 +92,12 @@ def migrate(rows: DataFrame, table: str, to: int = NEWEST) -> DataFrame:
             continue
         older = F.col(VERSION) < version
         for name, (kind, value) in fills.items():
+            if isinstance(value, OfText):
+                asked = older if name in now.columns else F.lit(True)
+                now, value = value.added(now, asked, f"{name}:new"), lambda df, name=name: F.col(f"`{name}:new`")
             new = (value(now) if callable(value) else F.lit(value)).cast(kind)
             now = now.withColumn(name, F.when(older, F.coalesce(name, new)).otherwise(F.col(name)) if name in now.columns else new)
+            now = now.drop(f"{name}:new")
     return now.withColumn(VERSION, F.greatest(F.col(VERSION), F.lit(to)))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyrad.functions import text as T
 from tallyrad.operators import migrations
 
 
@@ -23,3 +24,15 @@ def test_again_changes_nothing(spark):
     assert once.columns == again.columns and once.exceptAll(again).isEmpty()
     row = once.where(F.col("id") == 1).first()
     assert row.require_crop_before_ocr is True and row.auto_delete_processed is False and row.estimated_comp_per_wrvu is None
+
+
+def test_texts_are_normalised_once_each(spark):
+    rows = spark.createDataFrame([(1, "CT Head w/o contrast", 1), (2, None, 1), (3, "CT Head w/o contrast", 12)], "id int, exam_name_raw string, schema_version int")
+    found = migrations.migrate(rows, "study_logs")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [exam_title_normalized:new:text" in plan.replace("`", "")
+    assert {r.id: r.exam_title_normalized for r in found.collect()} == {
+        r.id: r.t for r in rows.select("id", T.normalize_description(F.coalesce("exam_name_raw", F.lit(""))).alias("t")).collect()
+    }
+    own = migrations.migrate(rows.withColumn("exam_title_normalized", F.when(F.col("id") == 2, "kept")), "study_logs")
+    assert {r.id: r.exam_title_normalized for r in own.collect()} == {1: found.where("id = 1").first().exam_title_normalized, 2: "kept", 3: None}
