@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import spread
+
 
 def reconcile(hospital: DataFrame, local: DataFrame, order: str = "id") -> DataFrame:
     """Discrepancies: key, kind and both sides' values. Both: exam_key, cpt_code, modifier, work_rvu.
@@ -37,14 +39,18 @@ def weighted_totals(hospital: DataFrame) -> DataFrame:
 
 
 def audit_of_logs(logs: DataFrame, audit: DataFrame) -> DataFrame:
-    """For each log the distinct actions of its session or its day; one join for each of both keys.
+    """For each log (id, unique) the distinct actions of its session or its day; one join for each of both keys.
 
-    The audit comes down to distinct actions of each key before it meets the logs.
+    The audit comes down to one list of distinct actions for each key before it meets the logs, so a log stays one
+    row and no pairs of logs and actions are shuffled.
     """
-    by_session = logs.select("id", "session_id").join(audit.select("session_id", "action").distinct(), "session_id").select("id", "action")
-    by_day = logs.select("id", "log_date").join(audit.select("log_date", "action").distinct(), "log_date").select("id", "action")
-    actions = by_session.union(by_day).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("action")), ";").alias("actions"))
-    return logs.select("id").join(actions, "id", "left").select("id", F.coalesce("actions", F.lit("")).alias("actions"))
+
+    def of(key: str) -> DataFrame:
+        return audit.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set("action").alias(f"of_{key}"))
+
+    met = spread(logs.select("id", "session_id", "log_date")).join(of("session_id"), "session_id", "left").join(of("log_date"), "log_date", "left")
+    lists = [F.coalesce(f"of_{key}", F.array().cast("array<string>")) for key in ("session_id", "log_date")]
+    return met.select("id", F.array_join(F.sort_array(F.array_union(*lists)), ";").alias("actions"))
 
 
 def action_minutes(audit: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from tallyrad.functions import text as T
-from tallyrad.operators import duplicates, matching
+from tallyrad.operators import duplicates, matching, reconcile
 from tallyrad.plans import analytics
 from tallyrad.plans import fixtures as fx
 
@@ -147,3 +147,13 @@ def test_title_similarity(spark):
     found = queries()["title_similarity"](spark, SF).collect()
     assert {tuple(x) for x in found} == want and len(found) == len(want)
     assert any(a[:2] != b[:2] for a, b, _ in want)
+
+
+def test_audit_keeps_a_row_for_each_log(spark):
+    """No pairs of logs and actions: nothing is grouped by log, and the logs meet two lists."""
+    logs = spark.createDataFrame([(1, "s", "d"), (2, None, "d"), (3, "t", None), (4, "u", "e")], "id long, session_id string, log_date string")
+    audit = spark.createDataFrame([("s", "x", "b"), ("s", "d", "a"), ("t", "d", None), (None, "d", "c"), ("s", "d", "a")], "session_id string, log_date string, action string")
+    found = reconcile.audit_of_logs(logs, audit)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" not in plan
+    assert {r.id: r.actions for r in found.collect()} == {1: "a;b;c", 2: "a;c", 3: "", 4: ""}
