@@ -20,13 +20,16 @@ def code_list(cells: Column) -> Column:
 
 def manual_logs(entries: DataFrame) -> DataFrame:
     """Study logs of entries that people typed: id, profile_id, log_date, exam_name_raw and the candidate they chose.
-    There is no time and no accession number; under SURE an entry goes to review."""
+    There is no time and no accession number; under SURE an entry goes to review. Titles are normalised once each, not
+    once a row."""
     exam = F.trim("exam_name_raw")
     nothing = F.lit(None).cast("string")
-    print_ = fingerprint(normalize_exam_text(exam), F.col("cpt_code"), F.col("log_date"), F.lit(None).cast("timestamp_ntz"), nothing, F.col("modality"))
+    titles = entries.select("exam_name_raw").distinct().withColumn("exam_key", normalize_exam_text(exam))
+    entries = entries.drop("exam_key").join(titles, "exam_name_raw", "left")
+    print_ = fingerprint(F.col("exam_key"), F.col("cpt_code"), F.col("log_date"), F.lit(None).cast("timestamp_ntz"), nothing, F.col("modality"))
     return entries.select(
         "id", "profile_id", "log_date", F.lit(None).cast("timestamp_ntz").alias("study_datetime"), exam.alias("exam_name_raw"),
-        normalize_exam_text(exam).alias("exam_key"), "cpt_code", "modifier", "work_rvu", "modality", F.col("method").alias("match_method"),
+        "exam_key", "cpt_code", "modifier", "work_rvu", "modality", F.col("method").alias("match_method"),
         F.col("confidence").alias("match_confidence"), (F.col("confidence") < SURE).alias("needs_review"),
         nothing.alias("accession_number"), nothing.alias("session_id"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
         F.nullif(F.trim("notes"), F.lit("")).alias("notes"), print_.alias("fingerprint"), "description",

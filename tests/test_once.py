@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyrad.functions import dates, rows
-from tallyrad.operators import records
+from tallyrad.operators import duplicates, records
 from tallyrad.sources import readers
 
 AS_OF = "2024-02-01 00:00:00"
@@ -37,3 +37,15 @@ def test_lines_go_to_all_tasks(spark):
     found = readers.ocr_studies(lines, AS_OF)
     assert found.rdd.getNumPartitions() > 1 and found.count() == 40
     assert rows.spread(lines).rdd.getNumPartitions() >= 4
+
+
+def test_typed_titles_are_normalised_once_each(spark):
+    entries = spark.createDataFrame(
+        [(k, 1, " CT Head w/o ", "70450", "26", 1.0, "CT", "m", 0.9, " ", "d") for k in range(3)] + [(9, 1, None, "70450", None, 1.0, "CT", "m", 0.5, "n", "d")],
+        "id long, profile_id long, exam_name_raw string, cpt_code string, modifier string, work_rvu double, modality string, method string, confidence double, notes string, description string",
+    ).withColumn("log_date", F.lit("2024-01-05").cast("date"))
+    logs = records.manual_logs(entries)
+    assert "Aggregate [exam_name_raw" in _plan(logs)
+    own = duplicates.with_fingerprint(logs.select("id", F.trim("exam_name_raw").alias("exam_name_raw"), "cpt_code", "log_date", "study_datetime", "accession_number", "modality"))
+    key = lambda df: {r.id: r.exam_key for r in df.collect()}
+    assert key(logs) == key(own) and key(logs)[9] is None
