@@ -44,6 +44,9 @@ def repeats_in_batch(rows: DataFrame, order: str = "id") -> DataFrame:
 #: Minutes up to which studies of one code are very likely and possibly the same, and the share of a
 #: name's words that counts where there is no time.
 VERY_LIKELY, POSSIBLE, NAMES_ALIKE = 3, 15, 0.7
+#: What each rule says: equal number, equal fingerprint, close, near, similar name.
+TIERS = ("exact", "exact", "very_likely", "possible", "possible")
+REASONS = ("same accession number", "identical fingerprint", "same code, close in time", "same code, near in time", "same code, similar name")
 
 
 def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
@@ -51,7 +54,8 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
 
     Both sides come from with_fingerprint. As the first log is wanted, logs are summed up to the smallest id of each
     accession number, fingerprint, minute and name before they are joined; a candidate looks up its keys and the
-    quarters of an hour around its own. So a code that is very frequent in a day gives no pairs of rows.
+    quarters of an hour around its own, once for all candidates of a minute. So a code that is very frequent in a day
+    gives no pairs of rows. What is found is kept as numbers until each candidate has one row.
     """
     number = F.nullif(F.upper(F.trim("accession_number")), F.lit(""))
     minute = minutes_of_day(F.col("study_datetime"))
@@ -60,8 +64,8 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
     c, g = candidates.select(*columns), logs.select(*columns)
     lowest = F.min("id").alias("log_id")
 
-    def found(df: DataFrame, rule, tier, reason) -> DataFrame:
-        return df.select("id", "log_id", rule.alias("rule"), tier.alias("tier"), reason.alias("reason"))
+    def found(df: DataFrame, rule) -> DataFrame:
+        return df.select("id", "log_id", rule.cast("int").alias("rule"))
 
     lit = F.lit
     by_number = c.join(g.where(F.col("number").isNotNull()).groupBy("log_date", "number").agg(lowest), ["log_date", "number"])
@@ -73,11 +77,17 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("log_id", "minute")).alias("there")
     )
     asks = F.explode(F.sequence(F.floor(F.col("minute") / width) - 1, F.floor(F.col("minute") / width) + 1)).alias("quarter")
-    near = c.where(F.col("minute").isNotNull()).select("id", "log_date", "cpt_code", F.col("minute").alias("own"), asks)
+    timed = c.where(F.col("minute").isNotNull()).select("id", "log_date", "cpt_code", "minute")
+    asked = timed.select("log_date", "cpt_code", "minute").distinct()
+    near = asked.select("log_date", "cpt_code", F.col("minute").alias("own"), asks)
     by_time = near.join(quarters, ["log_date", "cpt_code", "quarter"])
     by_time = by_time.withColumn("met", F.array_min(F.filter("there", lambda x: F.abs(x["minute"] - F.col("own")) <= POSSIBLE)))
-    by_time = by_time.where(F.col("met").isNotNull()).select("id", "met.log_id", (F.col("met.minute") - F.col("own")).alias("apart"))
-    close = F.abs("apart") <= VERY_LIKELY
+    by_time = by_time.where(F.col("met").isNotNull()).select("log_date", "cpt_code", "own", "met.log_id", F.abs(F.col("met.minute") - F.col("own")).alias("apart"))
+    # the first log of all quarters, and how near it is
+    of_minute = [F.min(F.when(hit, F.col("log_id"))).alias(n) for n, hit in (("close", F.col("apart") <= VERY_LIKELY), ("near", F.col("apart") > VERY_LIKELY))]
+    first = by_time.groupBy("log_date", "cpt_code", F.col("own").alias("minute")).agg(*of_minute)
+    first = first.select("log_date", "cpt_code", "minute", F.least("close", "near").alias("log_id"), (F.coalesce(F.col("close") <= F.col("near"), F.col("close").isNotNull())).alias("is_close"))
+    by_time = timed.join(first, ["log_date", "cpt_code", "minute"])
 
     names = c.select("log_date", "cpt_code", "exam_key", "untimed").distinct()
     had = g.groupBy("log_date", "cpt_code", F.col("exam_key").alias("name")).agg(lowest, F.min(F.when(F.col("untimed"), F.col("id"))).alias("untimed_id"))
@@ -89,17 +99,14 @@ def duplicate_matches(candidates: DataFrame, logs: DataFrame) -> DataFrame:
     alike = alike.groupBy("log_date", "cpt_code", "exam_key", "untimed").agg(F.min("log_id").alias("log_id")).where(F.col("log_id").isNotNull())
     by_name = c.join(alike, ["log_date", "cpt_code", "exam_key", "untimed"])
 
-    every = found(by_number, lit(1), lit("exact"), lit("same accession number"))
-    every = every.unionByName(found(by_print, lit(2), lit("exact"), lit("identical fingerprint")))
-    every = every.unionByName(
-        found(
-            by_time, F.when(close, 3).otherwise(4), F.when(close, "very_likely").otherwise("possible"),
-            F.when(close, "same code, close in time").otherwise("same code, near in time"),
-        )
-    )
-    every = every.unionByName(found(by_name, lit(5), lit("possible"), lit("same code, similar name")))
-    best = F.min(F.struct("log_id", "rule", "tier", "reason")).alias("best")
-    return every.groupBy("id").agg(best).select("id", "best.log_id", "best.tier", "best.reason")
+    every = found(by_number, lit(1)).unionByName(found(by_print, lit(2))).unionByName(found(by_time, F.when(F.col("is_close"), 3).otherwise(4)))
+    every = every.unionByName(found(by_name, lit(5)))
+    rules = range(1, 6)
+    firsts = every.groupBy("id").agg(*[F.min(F.when(F.col("rule") == r, F.col("log_id"))).alias(f"of_{r}") for r in rules])
+    log_id = F.least(*[f"of_{r}" for r in rules])
+    best = firsts.select("id", log_id.alias("log_id"), F.coalesce(*[F.when(F.col(f"of_{r}") == log_id, r) for r in rules]).alias("rule"))
+    named = lambda names: F.element_at(F.array(*[lit(n) for n in names]), F.col("rule"))
+    return best.select("id", "log_id", named(TIERS).alias("tier"), named(REASONS).alias("reason"))
 
 
 def check_batch(candidates: DataFrame, logs: DataFrame) -> DataFrame:

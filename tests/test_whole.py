@@ -157,3 +157,18 @@ def test_audit_keeps_a_row_for_each_log(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [id" not in plan
     assert {r.id: r.actions for r in found.collect()} == {1: "a;b;c", 2: "a;c", 3: "", 4: ""}
+
+
+def test_minutes_are_asked_once(spark):
+    """Candidates of one minute share one look-up, and ties of rules go to the smaller log."""
+    kind = "id long, log_date string, accession_number string, fingerprint string, cpt_code string, study_datetime timestamp_ntz, exam_key string"
+    from datetime import datetime
+
+    at = lambda m: datetime(2024, 1, 5, 10, m)
+    stored = spark.createDataFrame([(7, "d", None, "p", "1", at(20), "x"), (5, "d", None, "q", "1", at(9), "x"), (9, "d", "N", "r", "1", at(40), "x")], kind)
+    asked = spark.createDataFrame([(k, "d", "n" if k == 3 else None, f"z{k}", "1", at(m), "y") for k, m in ((1, 21), (2, 21), (3, 41), (4, 7), (6, 59))], kind)
+    found = duplicates.duplicate_matches(asked, stored)
+    assert "Aggregate [log_date#" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: tuple(r)[1:3] for r in found.collect()} == {1: (5, "possible"), 2: (5, "possible"), 3: (9, "exact"), 4: (5, "very_likely")}
+    explode = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(sequence" in x]
+    assert explode and not any("id#" in x for x in explode)
