@@ -322,9 +322,17 @@ def candidates(
 
 
 def library_search(titles: DataFrame, cpt: DataFrame, k: int = 8) -> DataFrame:
-    """Search of the fee schedule: fixed and exact mappings first, then a blend of three similarities."""
+    """Search of the fee schedule: fixed and exact mappings first, then a blend of three similarities.
+
+    Rows of one description have the same confidence, so of each only the 2 * k that come first can be among a
+    title's best; of the other stages, which take each code and modifier once, the first row of each. Titles meet
+    these rows alone, however many rows a description has.
+    """
     keys, fees = cut(title_keys(titles)), cut(fee_keys(cpt))
-    scored = scored_descriptions(keys, fees).withColumn("f_raw", T.normalize_exam_text(F.col("description")))
+    few = Window.partitionBy("description").orderBy(F.desc("work_rvu"), "cpt_code")
+    few = cut(fees.withColumn("place", F.row_number().over(few)).where(F.col("place") <= 2 * k).drop("place"))
+    each = cut(fees.groupBy("cpt_code", "modifier", "description", "description_key").agg(F.min("work_rvu").alias("work_rvu")))
+    scored = scored_descriptions(keys, few).withColumn("f_raw", T.normalize_exam_text(F.col("description")))
     raw = T.combined_similarity(F.col("exam_key"), F.col("f_raw"))
     many = F.size(F.split(F.trim("title"), r"\s+")) > 3
     blend = F.when(many, F.col("radiology_score") * 0.70 + raw * 0.15 + F.col("text_score") * 0.15).otherwise(
@@ -335,9 +343,9 @@ def library_search(titles: DataFrame, cpt: DataFrame, k: int = 8) -> DataFrame:
     best = scored.withColumn("confidence", F.greatest(exact, blend)).where(F.col("confidence") >= LEAST_LIBRARY)
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * k)
     fuzzy = _rows(best.withColumn("place", F.format_string("%06d", "place")), 6, "fuzzy description", F.col("confidence"), "place")
-    every = direct(keys, fees).unionByName(common(keys, fees)).unionByName(exact_description(keys, fees)).unionByName(fuzzy)
-    every = every.withColumn("starts", F.min("stage").over(Window.partitionBy("title")))
-    every = every.where((F.col("starts") > 0) | (F.col("stage") == 0))
+    coded = direct(keys, each)
+    others = common(keys, each).unionByName(exact_description(keys, each)).unionByName(fuzzy)
+    every = coded.unionByName(others.join(coded.select("title").distinct(), "title", "left_anti"))
     first = F.row_number().over(Window.partitionBy("title", "cpt_code", "modifier").orderBy("stage", "seq", "description", "work_rvu"))
     place = F.row_number().over(Window.partitionBy("title").orderBy("stage", "seq", "cpt_code"))
     return (

@@ -71,3 +71,20 @@ def test_few_pairs_are_scored(spark, tables):
     by_words = matching._by_exam_words(titles, texts).distinct().count()
     print(by_words, near.count(), many)
     assert 0 < by_words < many / 4 and by_words < near.count() < many / 2
+
+
+def test_library_search_meets_few_rows_of_a_description(spark, monkeypatch):
+    """Titles are scored with 2 * k rows of each description, however many it has, and find the same."""
+    from tallyrad.operators import matching
+
+    met, scored = [], matching.scored_descriptions
+    monkeypatch.setattr(matching, "scored_descriptions", lambda keys, fees: met.append(fees.count()) or scored(keys, fees))
+    rows = [(n, f"{70000 + n % 40}", "26", d, float(1 + n % 7)) for d in ("CT head w/o contrast", "MRI brain") for n in range(300)]
+    cpt = spark.createDataFrame(rows, "id long, cpt_code string, modifier string, description string, work_rvu double")
+    titles = spark.createDataFrame([("CT head without contrast",), ("70003",), ("mri brain",)], "title string")
+    found = matching.library_search(titles, cpt, k=8).collect()
+    assert met == [2 * 2 * 8]
+    own = [(r.rank, r.cpt_code) for r in sorted(found, key=lambda r: r.rank) if r.title == "mri brain" and r.source == "exact description"]
+    assert own == [(n + 1, f"{70000 + n}") for n in range(8)]
+    # of a code's rows the first by description and work units stays
+    assert {(r.cpt_code, r.description, r.work_rvu) for r in found if r.title == "70003"} == {("70003", "CT head w/o contrast", 1.0)}
