@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .anchors import LENGTH, find, mixed
+from .anchors import LENGTH, PART, WIDTH, find, mixed
 from .common import bucketed, stored
 from .transforms import repeated_strings
 
@@ -35,8 +35,9 @@ REPEATED, OPEN, BOTH = 1, 2, 3
 HOT = 8192
 #: Rows merged at once, and rows of one gram that step 1 holds.
 MERGED, HELD = 16_384, 16_384
-#: Anchors of which contexts are cut at once.
+#: Anchors of which contexts are cut at once, and of which strings are digested at once: their contexts are one part.
 CUT = 5_000
+DIGESTED = PART // (LENGTH + WIDTH - 1)
 
 CANDIDATE = "deal long, gram long, whole long, again long, row long, low int, high int, place int, state int"
 DECIDED = "gram long, row long, low int, high int, place int, state int"
@@ -197,8 +198,8 @@ def counted(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, contexts, (_, low, high, _) in _open_of(batch):
-                for at in range(0, len(row), 2000):
-                    part = slice(at, at + 2000)
+                for at in range(0, len(row), DIGESTED):
+                    part = slice(at, at + DIGESTED)
                     n = (high[part] - low[part] + 1).astype(np.int64)
                     data = np.frombuffer(b"".join(contexts[part]), np.uint8)
                     sizes = n + LENGTH - 1
