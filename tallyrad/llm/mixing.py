@@ -9,11 +9,12 @@ streams of the vocabulary, each occurrence judged by what the others say.
 
 Domains (languages, say) have a model each: frequent words by their counts there, and the rest of the probability by
 bits. Within a text, frequent words are also foretold by how often they came in it before, which counts more or less.
-All these models, and the one by bits alone, are weighed by how well each coded the text so far; this last gate is
+All these models, the one by bits alone, and that of wordbits.py, whose contexts cross words and whose mixer is learnt
+online along the texts and refined within each, are weighed by how well each coded the text so far; this last gate is
 refined word by word within every text, whose domain is not asked for.
 
-Slots and weights depend on how often words occur, so bits of a word are the same wherever it stands. Each distinct
-word is coded once, by Spark, whatever the number of its occurrences; texts then add up what their words cost.
+Slots and weights of spelt words depend on how often words occur, so their bits are the same wherever they stand. Each
+distinct word is spelt once, by Spark, whatever the number of its occurrences; texts then add up what their words cost.
 Frequent words, a fixed number, go to the tasks that read texts; the others are looked up by a join, so no text is
 ever shuffled.
 """
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import wordbits
 from .common import stored
 
 #: Bytes of the contexts besides the whole word so far, and slots of each predictor as a power of two.
@@ -258,6 +260,35 @@ def vocabulary(docs: DataFrame, part: Column, parts: int) -> DataFrame:
     return counted.groupBy("word").agg(of(F.col("part") < parts, "c"), *each)
 
 
+def _blocks(n: np.ndarray, slot_bits: int) -> Iterator[pa.RecordBatch]:
+    """A task's slots by blocks: places of those that aren't empty and what they hold, small numbers in a byte each."""
+    width = 2 << _BLOCK
+    for p in range(len(n)):
+        for b in range(0, 2 << slot_bits, width):
+            own = n[p, b : b + width]
+            for at, kind in ((np.flatnonzero((own > 0) & (own < 256)), np.uint8), (np.flatnonzero(own >= 256), np.float32)):
+                if len(at):
+                    row = [p * (1 << slot_bits - _BLOCK) + b // width, at.astype("<u2").tobytes(), own[at].astype(kind).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "at", "n"])
+
+
+def _joined(blocks: DataFrame, predictors: int, slot_bits: int) -> np.ndarray:
+    """Tables of the slots' states from all tasks' blocks."""
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 << _BLOCK, np.float64)
+        for batch in batches:
+            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8 if 2 * len(n) == len(at) else np.float32)
+        state = states(total[0::2], total[1::2]).astype("<u2").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([state], pa.binary())], ["block", "state"])
+
+    tables = np.zeros(predictors << slot_bits, np.uint16)
+    for row in blocks.groupBy("block").applyInArrow(join, "block long, state binary").toLocalIterator():
+        tables[row.block << _BLOCK : row.block + 1 << _BLOCK] = np.frombuffer(row.state, "<u2")
+    return tables.reshape(predictors, -1)
+
+
 def fill_slots(vocabulary: DataFrame, size: int, slot_bits: int = SLOT_BITS) -> np.ndarray:
     """The predictors' slots from all words to learn from. size: bytes of these words. What comes to the driver are
     two bytes a slot, whatever the corpus; each task sums its own slots before they are shuffled by blocks."""
@@ -272,28 +303,10 @@ def fill_slots(vocabulary: DataFrame, size: int, slot_bits: int = SLOT_BITS) ->
                 for so_far, bit in bits(data):
                     for p, x in enumerate(found):
                         np.add.at(n[p], slot(x, so_far, slot_bits) << np.uint32(1) | bit, c)
-        width = 2 << _BLOCK
-        for p in range(PREDICTORS):
-            for b in range(0, 2 << slot_bits, width):
-                at = np.flatnonzero(n[p, b : b + width])
-                if len(at):
-                    row = [p * (1 << slot_bits - _BLOCK) + b // width, at.astype("<u2").tobytes(), n[p, b : b + width][at].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["block", "at", "n"])
-
-    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 << _BLOCK, np.float64)
-        for batch in batches:
-            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.float32)
-        state = states(total[0::2], total[1::2]).astype("<u2").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([state], pa.binary())], ["block", "state"])
+        yield from _blocks(n, slot_bits)
 
     words = vocabulary.where("c > 0").select("word", "c").coalesce(1 + size // FILLED)
-    blocks = words.mapInArrow(fill, "block long, at binary, n binary").groupBy("block").applyInArrow(join, "block long, state binary")
-    tables = np.zeros(PREDICTORS << slot_bits, np.uint16)
-    for row in blocks.toLocalIterator():
-        tables[row.block << _BLOCK : row.block + 1 << _BLOCK] = np.frombuffer(row.state, "<u2")
-    return tables.reshape(PREDICTORS, -1)
+    return _joined(words.mapInArrow(fill, "block long, at binary, n binary"), PREDICTORS, slot_bits)
 
 
 def mix(vocabulary: DataFrame, tables: np.ndarray) -> list[np.ndarray]:
@@ -354,6 +367,15 @@ def _gated(frequent: list, totals: list[int]) -> tuple[np.ndarray, np.ndarray, n
     return np.array(values), np.array(together), np.array(left)
 
 
+def _log(x: np.ndarray) -> np.ndarray:
+    """Logarithms in single precision, also of what only double precision holds."""
+    with np.errstate(divide="ignore"):
+        found = np.log(x.astype(np.float32))
+    low = np.flatnonzero(x < 1e-30)
+    found[low] = np.log(x[low])
+    return found
+
+
 def _experts(at: np.ndarray, sizes: list[int], values: np.ndarray, together: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Logarithm of what each expert gives to the tokens of some texts, a row a text. at: a frequent word's number or
     the number of frequent words, for another word, whose own probability is left to be added."""
@@ -370,47 +392,63 @@ def _experts(at: np.ndarray, sizes: list[int], values: np.ndarray, together: np.
     before[order] = run - np.maximum.accumulate(np.where(new, run, 0))
     place = run - np.searchsorted(own, np.arange(n))[own]
     came, counts = before / np.maximum(1, place), place / (place + WARM)
+    texts, starts = np.unique(own, return_index=True)
     found = []
     for value, mass, rest in zip(values, together, left):
         p = value[at]
         for most in RECENT:
             q = most * counts
-            found.append(np.bincount(own, np.log((1 - q) * p + q * mass * came), n) + others * rest)
+            each = _log((1 - q) * p + q * mass * came if most else p)
+            total = others * rest
+            if len(own):
+                total[texts] += np.add.reduceat(each, starts, dtype=np.float64)
+            found.append(total)
     return np.array(found).T
 
 
+def _code(frequent: list, totals: list[int], n: int) -> wordbits.Code:
+    """Bits of frequent words, each at home in the domain that it takes the largest share of, and of all other words."""
+    c = np.array([r.c for r in frequent] + [0], np.int64)
+    c[-1] = max(1, n - c.sum())
+    shares = np.array([[r[f"c{k}"] / max(1, total) for k, total in enumerate(totals)] for r in frequent]).reshape(-1, len(totals))
+    return wordbits.Code(c, np.append(shares.argmax(axis=1), len(totals)))
+
+
 def _known_sums(docs: DataFrame, frequent: list, base_of, totals: list[int]) -> DataFrame:
-    """Of every document what its frequent words add up to, and its other words with their counts."""
+    """Of every document what its frequent words add up to, its other words with their counts, and the numbers of its
+    frequent words in the order of the text, others as one number more."""
     plain = np.array([[float(r.c > 0), base_of(r.c)] for r in frequent] + [[0.0, 0.0]])
     shared = docs.sparkSession.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(frequent)}, plain, _gated(frequent, totals)))
-    own = docs.select("text", "doc_id")
+    own = docs.select("text", "doc_id", "learnt")
     schema = own.drop("text").schema.add("n_tokens", "long").add("n_bytes", "long").add("s_known", "double").add("s_base", "double")
-    kind = schema.simpleString()[len("struct<") : -1] + ",s_gate array<double>,others array<struct<word: binary, n: long>>"
-    rest = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    kind = schema.simpleString()[len("struct<") : -1] + ",s_gate array<double>,others array<struct<word: binary, n: long>>,symbols binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, plain, gated = shared.value
         none = len(plain) - 1
 
-        def rows(ids: pa.Array) -> pa.RecordBatch:
+        def rows(kept: list[pa.Array]) -> pa.RecordBatch:
             each = [len(at) for at in found]
             gate = _experts(np.concatenate(found), each, *gated)
             known, base = np.array([plain[at].sum(axis=0) for at in found]).T
             columns = [pa.array(x) for x in (each, n_bytes, known, base, list(gate))]
-            return pa.RecordBatch.from_arrays([ids, *columns, pa.array(others, rest)], [*schema.names, "s_gate", "others"])
+            n = np.fromiter((n for rare in others for n in rare.values()), np.int64)
+            rare = pa.StructArray.from_arrays([pa.array([w for rare in others for w in rare], pa.binary()), pa.array(n)], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), rare)
+            symbols = pa.array([at.astype("<i4").tobytes() for at in found], pa.binary())
+            return pa.RecordBatch.from_arrays([*kept, *columns, rare, symbols], [*schema.names, "s_gate", "others", "symbols"])
 
         for batch in batches:
             found, n_bytes, others, tokens, start = [], [], [], 0, 0
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = tokens_of(text)
                 at = np.fromiter(map(index.get, words, repeat(none)), np.int64, len(words))
-                rare = Counter(words[k] for k in np.flatnonzero(at == none).tolist())
-                others.append([{"word": w, "n": n} for w, n in rare.items()])
+                others.append(Counter(words[k] for k in np.flatnonzero(at == none).tolist()))
                 n_bytes.append(sum(map(len, words)) + len(words))
                 found.append(at)
                 tokens += len(words)
                 if tokens >= TOKENS or i + 1 == batch.num_rows:
-                    yield rows(batch.column(1).slice(start, len(found)))
+                    yield rows([batch.column(k).slice(start, len(found)) for k in (1, 2)])
                     found, n_bytes, others, tokens, start = [], [], [], 0, i + 1
 
     return own.mapInArrow(run, kind)
@@ -448,12 +486,20 @@ def score(docs: DataFrame, learn: Column, domain: Column | None = None, slot_bit
     known = stored(known.withColumn("row", F.monotonically_increasing_id()))
     other = known.select("row", F.explode("others").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
     met = other.join(scored.select("word", "c", "e"), "word")
+    code = _code(frequent, [total[f"c{k}"] for k in range(parts)], total.n)
+    texts = known.where("learnt").select("symbols")
+    slots = wordbits.fill(texts, code, total.n, slot_bits, _blocks, _joined)
+    weights = wordbits.learn(texts, code, slots, LEARNT, SEEN)
+    coded = wordbits.score(known.drop("others", "learnt"), code, slots, SCORED, SEEN, weights)
     add = lambda value, name: F.sum(value * F.col("times")).alias(name)
-    more = met.groupBy("row").agg(add((F.col("c") > 0).cast("double"), "known"), add(F.log10((F.col("c") + 0.5) / F.lit(below)), "base"), add(F.col("e"), "e"))
-    every = known.join(more, "row", "left")
+    more = met.groupBy("row").agg(F.sum("times").alias("rare"), add((F.col("c") > 0).cast("double"), "known"), add(F.log10((F.col("c") + 0.5) / F.lit(below)), "base"), add(F.col("e"), "e"))
+    every = coded.join(more, "row", "left")
     more = lambda c: F.coalesce(c, F.lit(0.0))
-    best = F.array_max("s_gate")
-    mean = best + F.log(F.aggregate("s_gate", F.lit(0.0), lambda a, x: a + F.exp(x - best)) / F.size("s_gate"))
+    # bits spell words that aren't frequent, as which none of the frequent ones comes
+    unspelt = -math.log(1 - min(sum(math.exp(r.e) for r in frequent), 0.999))
+    every = every.withColumn("experts", F.concat("s_gate", F.array(F.col("s_text") + more("rare") * unspelt)))
+    best = F.array_max("experts")
+    mean = best + F.log(F.aggregate("experts", F.lit(0.0), lambda a, x: a + F.exp(x - best)) / F.size("experts"))
     found = every.withColumn("score", (mean + more("e")) / math.log(10))
     return found.select(
         "doc_id", "n_tokens", (F.col("s_known") + more("known")).cast("long").alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
