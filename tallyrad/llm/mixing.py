@@ -22,17 +22,16 @@ ever shuffled.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbits
-from .common import stored
+from .common import byte_parts, stored
 
 #: Bytes of the contexts besides the whole word so far, and slots of each predictor as a power of two.
 ORDERS = (1, 2, 3, 5)
@@ -45,13 +44,16 @@ STEP, CHUNK = 1 << 14, 1 << 15
 PRIOR, FIRST_WEIGHT, PACE, HALVED = 0.1, 0.3, 0.4, 50
 #: Words that go to the tasks that read texts, and bytes of the longest such word.
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
-#: What the text so far may count for, at most, and after how many frequent words it counts half of that; tokens
-#: of texts that are scored at once.
-RECENT, WARM, TOKENS = (0.0, 0.1, 0.3), 20, 100_000
+#: What the text so far may count for, at most, and after how many frequent words it counts half of that.
+RECENT, WARM = (0.0, 0.1, 0.3), 20
+#: Bytes of texts whose words are counted at once, and of those that are scored at once.
+COUNTED, SCORED_AT_ONCE = 1 << 22, 1 << 20
 #: Domains that have a model of their own, the largest; all others share one.
 DOMAINS = 15
-#: Distinct words that a task counts before it hands them on, and bytes of words in one task that fills slots.
-COUNTED, FILLED = 400_000, 1 << 25
+#: Bytes of words in one task that fills slots.
+FILLED = 1 << 25
+#: Frequencies are told apart by so many classes for each power of two when frequent words are looked for.
+CLASSES = 8
 
 END = b"\xff"
 PREDICTORS = len(ORDERS) + 1
@@ -72,6 +74,24 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().translate(_LOWER).split(), END]
 
 
+def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`tokens_of` all of some texts, one after the other, and how many each has."""
+    marked = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.binary()), b""), pa.scalar(END), pa.scalar(b" "))
+    offsets = np.frombuffer(marked.buffers()[1], np.int32, len(marked) + 1, 4 * marked.offset)
+    data = np.frombuffer(marked.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]].translate(_LOWER), np.uint8)
+    offsets = offsets - offsets[0]
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    word = ~space
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= space[:-1]
+    ends[:-1] &= space[1:]
+    begins[offsets[:-1]], ends[offsets[1:] - 1] = word[offsets[:-1]], True
+    begins = np.flatnonzero(begins)
+    places = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - begins)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(places), pa.py_buffer(data[word])])
+    return words, np.diff(np.searchsorted(begins, offsets))
+
+
 def units(words: list[bytes]) -> Iterator[tuple[bytes, int]]:
     """What is coded of each word, in pieces, and the word's number."""
     for k, word in enumerate(words):
@@ -122,7 +142,12 @@ def bits(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def slot(context: np.ndarray, so_far: np.ndarray, slot_bits: int) -> np.ndarray:
-    x = (context ^ _BITS[so_far]) * _SPREAD
+    return hashed(context, _BITS[so_far], slot_bits)
+
+
+def hashed(context: np.ndarray, own: np.ndarray, slot_bits: int) -> np.ndarray:
+    """The slot of a context and the hash of the bits of the byte so far."""
+    x = (context ^ own) * _SPREAD
     return ((x ^ (x >> np.uint32(13))) * _SPREAD) >> np.uint32(32 - slot_bits)
 
 
@@ -178,9 +203,9 @@ class Inputs:
         """For each of the eight bits the predictors' log odds of the bit that came."""
         given = self.given
         for so_far, bit in bits(self.data):
-            came = bit.astype(np.uint32) << np.uint32(16)
+            came, own = bit.astype(np.uint32) << np.uint32(16), _BITS[so_far]
             for p, x in enumerate(self.found):
-                given[p] = self.by[came | self.tables[p][slot(x, so_far, self.slot_bits)]]
+                given[p] = self.by[came | self.tables[p][hashed(x, own, self.slot_bits)]]
             given[PREDICTORS] = np.where(bit == 1, _BIAS, -_BIAS)
             yield given
 
@@ -239,25 +264,21 @@ def vocabulary(docs: DataFrame, part: Column, parts: int) -> DataFrame:
     part: the number of a document's part, null if it isn't learnt from.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k, own in enumerate(found):
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(np.full(len(own), k, np.int32)), pa.array(own.values(), pa.int64())], ["word", "part", "n"])
-                    own.clear()
+    names = [f"c{k}" for k in range(parts)]
 
-        found = [Counter() for _ in range(parts + 1)]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[k].update(tokens_of(text))
-                if len(found[k]) > COUNTED:
-                    yield from rows()
-        yield from rows()
+            for own in byte_parts(batch, 0, COUNTED):
+                words, each = tokenised(own.column(0))
+                coded = words.dictionary_encode()
+                at = coded.indices.to_numpy() + np.repeat(own.column(1).to_numpy() * len(coded.dictionary), each)
+                n = np.bincount(at, minlength=(parts + 1) * len(coded.dictionary)).reshape(parts + 1, -1)
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, n[:parts])], ["word", *names])
 
-    counted = docs.select("text", F.coalesce(part, F.lit(parts)).cast("int").alias("part")).mapInArrow(count, "word binary, part int, n long")
-    of = lambda hit, name: F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(name)
-    each = [of(F.col("part") == k, f"c{k}") for k in range(parts)]
-    return counted.groupBy("word").agg(of(F.col("part") < parts, "c"), *each)
+    numbered = docs.select("text", F.coalesce(part, F.lit(parts)).cast("long").alias("part"))
+    counted = numbered.mapInArrow(count, "word binary, " + ", ".join(f"{c} long" for c in names))
+    summed = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    return summed.select("word", sum((F.col(c) for c in names[1:]), F.col(names[0])).alias("c"), *names)
 
 
 def _blocks(n: np.ndarray, slot_bits: int) -> Iterator[pa.RecordBatch]:
@@ -284,8 +305,9 @@ def _joined(blocks: DataFrame, predictors: int, slot_bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([state], pa.binary())], ["block", "state"])
 
     tables = np.zeros(predictors << slot_bits, np.uint16)
-    for row in blocks.groupBy("block").applyInArrow(join, "block long, state binary").toLocalIterator():
-        tables[row.block << _BLOCK : row.block + 1 << _BLOCK] = np.frombuffer(row.state, "<u2")
+    found = blocks.groupBy("block").applyInArrow(join, "block long, state binary").toArrow()
+    for block, state in zip(found["block"].to_pylist(), found["state"]):
+        tables[block << _BLOCK : block + 1 << _BLOCK] = np.frombuffer(state.as_buffer(), "<u2")
     return tables.reshape(predictors, -1)
 
 
@@ -301,17 +323,18 @@ def fill_slots(vocabulary: DataFrame, size: int, slot_bits: int = SLOT_BITS) ->
                 data, found, starts = contexts(own)
                 c = np.repeat(often[of], np.diff(np.append(starts, len(data)))).astype(np.float32)
                 for so_far, bit in bits(data):
+                    before = _BITS[so_far]
                     for p, x in enumerate(found):
-                        np.add.at(n[p], slot(x, so_far, slot_bits) << np.uint32(1) | bit, c)
+                        np.add.at(n[p], hashed(x, before, slot_bits) << np.uint32(1) | bit, c)
         yield from _blocks(n, slot_bits)
 
     words = vocabulary.where("c > 0").select("word", "c").coalesce(1 + size // FILLED)
     return _joined(words.mapInArrow(fill, "block long, at binary, n binary"), PREDICTORS, slot_bits)
 
 
-def mix(vocabulary: DataFrame, tables: np.ndarray) -> list[np.ndarray]:
-    """The mixers' weights: each task learns online along its words, and the tasks' weights are averaged."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(tables)
+def mix(vocabulary: DataFrame, shared) -> list[np.ndarray]:
+    """The mixers' weights: each task learns online along its words, and the tasks' weights are averaged. shared: the
+    tables' broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, step = first_weights(), 0
@@ -331,20 +354,35 @@ def mix(vocabulary: DataFrame, tables: np.ndarray) -> list[np.ndarray]:
     return [flat[a:b].reshape(PREDICTORS + 1, -1) for a, b in zip(bounds, bounds[1:])]
 
 
-def score_words(vocabulary: DataFrame, tables: np.ndarray, weights: list[np.ndarray]) -> DataFrame:
-    """The vocabulary with e, the natural logarithm of each word's probability."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast((tables, weights))
+def score_words(vocabulary: DataFrame, shared, weights: list[np.ndarray]) -> DataFrame:
+    """The vocabulary with e, the natural logarithm of each word's probability. shared: the tables' broadcast."""
     schema = vocabulary.select("*").schema.add("e", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = costs(batch.column(0).to_pylist(), *shared.value)
+            found = costs(batch.column(0).to_pylist(), shared.value, weights)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], schema.names)
 
     return vocabulary.mapInArrow(run, schema)
 
 
-def _gated(frequent: list, totals: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent_words(scored: DataFrame) -> pa.Table:
+    """The FREQUENT words that come most often in texts to learn from, of bounded size, ties in the words' order.
+
+    Counts of frequencies, in classes, tell first how often such a word comes at least, so that only words that come
+    as often are sorted, by executors; what comes to the driver is a fixed number of words.
+    """
+    able = scored.where((F.octet_length("word") <= FREQUENT_BYTES) & (F.col("c") > 0))
+    kind = F.floor(F.log2("c") * CLASSES).cast("int").alias("kind")
+    n, least = 0, 0
+    for row in sorted(able.groupBy(kind).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), reverse=True):
+        n, least = n + row.n, row.least
+        if n >= FREQUENT:
+            break
+    return stored(able.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(FREQUENT)).orderBy(F.desc("c"), "word").toArrow()
+
+
+def _gated(frequent: dict[str, np.ndarray], totals: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each frequent word's probability by bits alone and in every domain, what frequent words have together, and
     the logarithm of a factor for the others.
 
@@ -352,14 +390,14 @@ def _gated(frequent: list, totals: list[int]) -> tuple[np.ndarray, np.ndarray, n
     words not yet seen (Good and Turing); among them its counts decide, and to a lesser part the bits. What it leaves
     goes to other words as the bits would have it.
     """
-    bits = np.exp(np.array([r.e for r in frequent], np.float64))
+    bits = np.exp(frequent["e"])
     here = min(bits.sum(), 0.999)
-    all_c = np.array([r.c for r in frequent], np.float64)
+    all_c = frequent["c"].astype(np.float64)
     values, together, left = [bits], [here], [0.0]
     for k, total in enumerate(totals):
-        c = np.array([r[f"c{k}"] for r in frequent], np.float64)
+        c = frequent[f"c{k}"].astype(np.float64)
         once = c == 1
-        other = (total - c.sum() + (once & (all_c == 1)).sum() + 1) / (total + 2) if frequent else 1.0
+        other = (total - c.sum() + (once & (all_c == 1)).sum() + 1) / (total + 2) if len(c) else 1.0
         prior = (once & (all_c > 1)).sum() + 1
         values.append((1 - other) * (c + prior * bits / max(here, 1e-300)) / (c.sum() + prior))
         together.append(1 - other)
@@ -369,10 +407,10 @@ def _gated(frequent: list, totals: list[int]) -> tuple[np.ndarray, np.ndarray, n
 
 def _log(x: np.ndarray) -> np.ndarray:
     """Logarithms in single precision, also of what only double precision holds."""
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", over="ignore"):
         found = np.log(x.astype(np.float32))
-    low = np.flatnonzero(x < 1e-30)
-    found[low] = np.log(x[low])
+    far = np.flatnonzero((x < 1e-30) | (x > 1e30))
+    found[far] = np.log(x[far])
     return found
 
 
@@ -393,63 +431,72 @@ def _experts(at: np.ndarray, sizes: list[int], values: np.ndarray, together: np.
     place = run - np.searchsorted(own, np.arange(n))[own]
     came, counts = before / np.maximum(1, place), place / (place + WARM)
     texts, starts = np.unique(own, return_index=True)
+
+    def summed(each: np.ndarray) -> np.ndarray:
+        total = np.zeros(n)
+        if len(own):
+            total[texts] = np.add.reduceat(each, starts, dtype=np.float64)
+        return total
+
+    # words that came before are foretold by more than their own probability; the others lose the same in all models
+    again = np.flatnonzero(before)
+    again_at, again_text, less, gains = at[again], own[again], [], []
+    for most in RECENT:
+        q = most * counts
+        less.append(summed(np.log1p(-q)))
+        gains.append((q * came / (1 - q))[again])
     found = []
     for value, mass, rest in zip(values, together, left):
-        p = value[at]
-        for most in RECENT:
-            q = most * counts
-            each = _log((1 - q) * p + q * mass * came if most else p)
-            total = others * rest
-            if len(own):
-                total[texts] += np.add.reduceat(each, starts, dtype=np.float64)
-            found.append(total)
+        value = np.maximum(value, 1e-300)
+        plain, more = others * rest + summed(_log(value)[at]), (mass / value)[again_at]
+        for most, lost, gain in zip(RECENT, less, gains):
+            found.append(plain + lost + np.bincount(again_text, _log(1 + gain * more), n) if most else plain)
     return np.array(found).T
 
 
-def _code(frequent: list, totals: list[int], n: int) -> wordbits.Code:
+def _code(frequent: dict[str, np.ndarray], totals: list[int], n: int) -> wordbits.Code:
     """Bits of frequent words, each at home in the domain that it takes the largest share of, and of all other words."""
-    c = np.array([r.c for r in frequent] + [0], np.int64)
-    c[-1] = max(1, n - c.sum())
-    shares = np.array([[r[f"c{k}"] / max(1, total) for k, total in enumerate(totals)] for r in frequent]).reshape(-1, len(totals))
-    return wordbits.Code(c, np.append(shares.argmax(axis=1), len(totals)))
+    c = np.append(frequent["c"], max(1, n - frequent["c"].sum()))
+    shares = np.array([frequent[f"c{k}"] / max(1, total) for k, total in enumerate(totals)])
+    return wordbits.Code(c, np.append(shares.argmax(axis=0), len(totals)))
 
 
-def _known_sums(docs: DataFrame, frequent: list, base_of, totals: list[int]) -> DataFrame:
+def _known_sums(docs: DataFrame, shared) -> DataFrame:
     """Of every document what its frequent words add up to, its other words with their counts, and the numbers of its
-    frequent words in the order of the text, others as one number more."""
-    plain = np.array([[float(r.c > 0), base_of(r.c)] for r in frequent] + [[0.0, 0.0]])
-    shared = docs.sparkSession.sparkContext.broadcast(({bytes(r.word): k for k, r in enumerate(frequent)}, plain, _gated(frequent, totals)))
+    frequent words in the order of the text, others as one number more. shared: the broadcast of the frequent words,
+    what each adds (to known tokens, to the base) and what `_gated` gives."""
     own = docs.select("text", "doc_id", "learnt")
     schema = own.drop("text").schema.add("n_tokens", "long").add("n_bytes", "long").add("s_known", "double").add("s_base", "double")
     kind = schema.simpleString()[len("struct<") : -1] + ",s_gate array<double>,others array<struct<word: binary, n: long>>,symbols binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, plain, gated = shared.value
-        none = len(plain) - 1
-
-        def rows(kept: list[pa.Array]) -> pa.RecordBatch:
-            each = [len(at) for at in found]
-            gate = _experts(np.concatenate(found), each, *gated)
-            known, base = np.array([plain[at].sum(axis=0) for at in found]).T
-            columns = [pa.array(x) for x in (each, n_bytes, known, base, list(gate))]
-            n = np.fromiter((n for rare in others for n in rare.values()), np.int64)
-            rare = pa.StructArray.from_arrays([pa.array([w for rare in others for w in rare], pa.binary()), pa.array(n)], ["word", "n"])
-            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, others)]), pa.int32()), rare)
-            symbols = pa.array([at.astype("<i4").tobytes() for at in found], pa.binary())
-            return pa.RecordBatch.from_arrays([*kept, *columns, rare, symbols], [*schema.names, "s_gate", "others", "symbols"])
+    def lists(values: pa.Array, bounds: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+    def rows(own: pa.RecordBatch) -> pa.RecordBatch:
+        frequent, plain, gated = shared.value
+        words, each = tokenised(own.column(0))
+        coded = words.dictionary_encode()
+        code, distinct, none = coded.indices.to_numpy(), coded.dictionary, len(frequent)
+        at = pc.fill_null(pc.index_in(distinct, value_set=frequent), none).to_numpy().astype(np.int64)[code]
+        bounds = np.append(0, np.cumsum(each))
+        first, text = bounds[:-1], np.repeat(np.arange(len(each)), each)
+        n_bytes = each + np.add.reduceat(pc.binary_length(distinct).to_numpy()[code], first, dtype=np.int64)
+        known, base = (np.add.reduceat(x[at], first) for x in plain)
+        gate = _experts(at, each, *gated)
+        rare = np.flatnonzero(at == none)
+        key, n = np.unique(text[rare] * len(distinct) + code[rare], return_counts=True)
+        of, word = np.divmod(key, len(distinct))
+        others = pa.StructArray.from_arrays([distinct.take(pa.array(word)), pa.array(n)], ["word", "n"])
+        symbols = [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(at.astype("<i4"))]
+        columns = [own.column(1), own.column(2), *map(pa.array, (each, n_bytes, known, base))]
+        columns.append(lists(pa.array(gate.reshape(-1)), gate.shape[1] * np.arange(len(each) + 1)))
+        columns.append(lists(others, np.searchsorted(of, np.arange(len(each) + 1))))
+        columns.append(pa.Array.from_buffers(pa.binary(), len(each), symbols))
+        return pa.RecordBatch.from_arrays(columns, [*schema.names, "s_gate", "others", "symbols"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, n_bytes, others, tokens, start = [], [], [], 0, 0
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                words = tokens_of(text)
-                at = np.fromiter(map(index.get, words, repeat(none)), np.int64, len(words))
-                others.append(Counter(words[k] for k in np.flatnonzero(at == none).tolist()))
-                n_bytes.append(sum(map(len, words)) + len(words))
-                found.append(at)
-                tokens += len(words)
-                if tokens >= TOKENS or i + 1 == batch.num_rows:
-                    yield rows([batch.column(k).slice(start, len(found)) for k in (1, 2)])
-                    found, n_bytes, others, tokens, start = [], [], [], 0, i + 1
+            yield from map(rows, byte_parts(batch, 0, SCORED_AT_ONCE))
 
     return own.mapInArrow(run, kind)
 
@@ -476,27 +523,34 @@ def score(docs: DataFrame, learn: Column, domain: Column | None = None, slot_bit
     size = F.octet_length("word")
     sums = {"n": F.sum("c"), "v": F.count_if(F.col("c") > 0), "size": F.sum(F.when(F.col("c") > 0, size))} | {f"c{k}": F.sum(f"c{k}") for k in range(parts)}
     total = words.agg(*[F.coalesce(s, F.lit(0)).alias(k) for k, s in sums.items()]).first()
-    tables = fill_slots(words, total.size, slot_bits)
+    context = docs.sparkSession.sparkContext
+    tables = context.broadcast(fill_slots(words, total.size, slot_bits))
     scored = stored(score_words(words, tables, mix(words, tables)))
+    tables.destroy()
     below = total.n + 0.5 * (total.v + 1)
-    base_of = lambda c: math.log10((c + 0.5) / below)
-    # a fixed number of words of bounded size, however large the vocabulary
-    frequent = scored.where((size <= FREQUENT_BYTES) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    known = _known_sums(own, frequent, base_of, [total[f"c{k}"] for k in range(parts)])
-    known = stored(known.withColumn("row", F.monotonically_increasing_id()))
+    found = frequent_words(scored)
+    frequent = {k: found[k].to_numpy() for k in found.column_names if k != "word"}
+    totals = [total[f"c{k}"] for k in range(parts)]
+    # of a frequent word, and of one that isn't, which adds nothing here
+    plain = np.array([np.append(frequent["c"] > 0, 0), np.append(np.log10((frequent["c"] + 0.5) / below), 0)])
+    tables = context.broadcast((found["word"].combine_chunks(), plain, _gated(frequent, totals)))
+    known = stored(_known_sums(own, tables).withColumn("row", F.monotonically_increasing_id()))
+    tables.destroy()
     other = known.select("row", F.explode("others").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
     met = other.join(scored.select("word", "c", "e"), "word")
-    code = _code(frequent, [total[f"c{k}"] for k in range(parts)], total.n)
+    code = _code(frequent, totals, total.n)
     texts = known.where("learnt").select("symbols")
-    slots = wordbits.fill(texts, code, total.n, slot_bits, _blocks, _joined)
-    weights = wordbits.learn(texts, code, slots, LEARNT, SEEN)
-    coded = wordbits.score(known.drop("others", "learnt"), code, slots, SCORED, SEEN, weights)
+    shared = context.broadcast(code)
+    slots = wordbits.fill(texts, shared, total.n, slot_bits, _blocks, _joined)
+    shared.destroy()
+    shared = context.broadcast((code, slots, LEARNT, SCORED, SEEN))
+    coded = wordbits.score(known.drop("others", "learnt"), shared, wordbits.learn(texts, shared))
     add = lambda value, name: F.sum(value * F.col("times")).alias(name)
     more = met.groupBy("row").agg(F.sum("times").alias("rare"), add((F.col("c") > 0).cast("double"), "known"), add(F.log10((F.col("c") + 0.5) / F.lit(below)), "base"), add(F.col("e"), "e"))
     every = coded.join(more, "row", "left")
     more = lambda c: F.coalesce(c, F.lit(0.0))
     # bits spell words that aren't frequent, as which none of the frequent ones comes
-    unspelt = -math.log(1 - min(sum(math.exp(r.e) for r in frequent), 0.999))
+    unspelt = -math.log(1 - min(np.exp(frequent["e"]).sum(), 0.999))
     every = every.withColumn("experts", F.concat("s_gate", F.array(F.col("s_text") + more("rare") * unspelt)))
     best = F.array_max("experts")
     mean = best + F.log(F.aggregate("experts", F.lit(0.0), lambda a, x: a + F.exp(x - best)) / F.size("experts"))

@@ -45,7 +45,8 @@ _SPREAD = np.uint32(0x9E3779B1)
 
 
 class Code:
-    """The bits of each symbol: symbol s has `size[s]` of them from `first[s]` on in `node` and `bit`."""
+    """The bits of each symbol: symbol s has `size[s]` of them from `first[s]` on in `steps`, each a node's number and
+    the bit."""
 
     def __init__(self, counts: np.ndarray, homes: np.ndarray):
         n = len(counts)
@@ -74,7 +75,15 @@ class Code:
         self.homes = homes.astype(np.uint32)
         self.size = np.bincount(leaf, minlength=n)
         self.first = np.cumsum(self.size) - self.size
-        self.node, self.bit = (node[order] - n).astype(np.uint32) * _ODD[0], bit[order].astype(np.uint8)
+        self.steps = (node[order] - n << 1 | bit[order]).astype(np.uint32)
+
+    @property
+    def node(self) -> np.ndarray:
+        return (self.steps >> np.uint32(1)) * _ODD[0]
+
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.steps & np.uint32(1)).astype(np.uint8)
 
 
 def contexts(code: Code, at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -96,13 +105,13 @@ def contexts(code: Code, at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 
 
 class Bits:
-    """Bits of some words: the word's number, where the code has the bit, and slots. hashes: the words' contexts."""
+    """Bits of some words: the word's number, the bit, and slots. hashes: the words' contexts."""
 
     def __init__(self, code: Code, at: np.ndarray, hashes: list[np.ndarray], slot_bits: int):
         size = code.size[at]
         self.word = np.repeat(np.arange(len(at)), size)
-        self.where = np.arange(len(self.word)) + np.repeat(code.first[at] - (np.cumsum(size) - size), size)
-        self.bit, node = code.bit.take(self.where), code.node.take(self.where)
+        step = code.steps.take(np.arange(len(self.word)) + np.repeat(code.first[at] - (np.cumsum(size) - size), size))
+        self.bit, node = (step & np.uint32(1)).astype(np.uint8), (step >> np.uint32(1)) * _ODD[0]
         self.slots = []
         for x in hashes:
             x = np.repeat(x, size)
@@ -220,10 +229,9 @@ def _pieces(code: Code, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.
             yield at[a : a + PIECE], [x[a : a + PIECE] for x in hashes]
 
 
-def fill(texts: DataFrame, code: Code, tokens: int, slot_bits: int, blocks, joined) -> np.ndarray:
-    """The predictors' slots from the texts to learn from. tokens: how many these have; blocks, joined: how a task hands
-    its slots on, and how these become tables."""
-    shared = texts.sparkSession.sparkContext.broadcast(code)
+def fill(texts: DataFrame, shared, tokens: int, slot_bits: int, blocks, joined) -> np.ndarray:
+    """The predictors' slots from the texts to learn from. shared: the code's broadcast; tokens: how many these have;
+    blocks, joined: how a task hands its slots on, and how these become tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((PREDICTORS, 2 << slot_bits), np.float32)
@@ -237,15 +245,15 @@ def fill(texts: DataFrame, code: Code, tokens: int, slot_bits: int, blocks, join
     return joined(found, PREDICTORS, slot_bits)
 
 
-def learn(texts: DataFrame, code: Code, tables: np.ndarray, by: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The mixer's weights: each task learns online along its texts, and the tasks' weights are averaged."""
-    shared = texts.sparkSession.sparkContext.broadcast((code, tables, by, seen))
+def learn(texts: DataFrame, shared) -> np.ndarray:
+    """The mixer's weights: each task learns online along its texts, and the tasks' weights are averaged. shared: the
+    broadcast of the code, the tables, their log odds when weights are learnt and when texts are scored, and classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, *others = shared.value
+        code, tables, by, _, seen = shared.value
         weights, step = first_weights(), 0
         for at, hashes in _pieces(code, batches):
-            step = learn_online(Given(code, at, hashes, *others), weights, step)
+            step = learn_online(Given(code, at, hashes, tables, by, seen), weights, step)
         if step:
             flat = weights.reshape(-1).astype(np.float64)
             columns = [np.arange(len(flat)), flat * step, np.full(len(flat), float(step))]
@@ -258,15 +266,14 @@ def learn(texts: DataFrame, code: Code, tables: np.ndarray, by: np.ndarray, seen
     return flat.reshape(PREDICTORS, GATES)
 
 
-def score(texts: DataFrame, code: Code, tables: np.ndarray, by: np.ndarray, seen: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """`texts` with s_text, the natural logarithm of its symbols' probability, instead of these."""
-    shared = texts.sparkSession.sparkContext.broadcast((code, tables, by, seen, weights))
+def score(texts: DataFrame, shared, weights: np.ndarray) -> DataFrame:
+    """`texts` with s_text, the natural logarithm of its symbols' probability, instead of these. shared: as for `learn`."""
     schema = texts.drop("symbols").schema.add("s_text", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, *others = shared.value
+        code, tables, _, by, seen = shared.value
         for rows, at, sizes in _texts(batches):
-            found = refined(code, at, sizes, *others)
+            found = refined(code, at, sizes, tables, by, seen, weights)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found)], schema.names)
 
     return texts.mapInArrow(run, schema)

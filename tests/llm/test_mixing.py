@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyrad.llm import mixing, queries
@@ -154,3 +155,29 @@ def test_held_out_texts_cost_less_than_by_the_base(spark):
     # the base gives all words that it doesn't know one probability, so only texts of known words compare
     known = [r for r in held if r.n_known >= 0.95 * r.n_tokens]
     assert sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
+def test_texts_are_split_together_as_one_by_one():
+    own = [*ODD, *texts(30), None, "ÀB\x0c\x1fC d E", " a", "a "]
+    for array in (pa.array(own), pa.array([None, "zz y", *own, "x"]).slice(2, len(own)), pa.array(own[:1])):
+        words, each = mixing.tokenised(array)
+        want = [mixing.tokens_of(t) for t in array.to_pylist()]
+        assert each.tolist() == [len(w) for w in want] and words.to_pylist() == [w for own in want for w in own]
+
+
+def test_frequent_words_are_the_first_of_all(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FREQUENT", 20)
+    r = random.Random(8)
+    rows = [(f"w{k}".encode(), r.choice([0, 1, 1, 2, 2, 2, 3, 900, 901, 10**6]), -1.0) for k in range(300)] + [(b"l" * 65, 10**9, -1.0)]
+    for most in (rows, rows[:25], []):
+        frame = spark.createDataFrame(most, "word binary, c long, e double").repartition(7)
+        want = sorted((-c, w) for w, c, _ in most if c and len(w) <= 64)[:20]
+        got = mixing.frequent_words(frame)
+        assert list(zip(got["c"].to_pylist(), got["word"].to_pylist())) == [(-c, w) for c, w in want]
+
+
+def test_tables_hold_the_counts_of_all_partitions(spark):
+    words = [f"word{k}".encode() for k in range(50)]
+    frame = spark.createDataFrame([(w, 3) for w in words], "word binary, c long").repartition(5)
+    n = filled(words, [3] * 50, 16)
+    assert (mixing.fill_slots(frame, 300, 16) == mixing.states(n[:, :, 0], n[:, :, 1])).all()
